@@ -1,8 +1,9 @@
 """The corpus operators' queries by name, and SQL for those that SQL can express."""
 
-from factloom.llm import decontaminate
+from factloom.llm import decontaminate, packing
 
 QUERIES = {
+    "op1_packing": packing.op1,
     "op7_benchmark_decontamination": decontaminate.op7,
 }
 
