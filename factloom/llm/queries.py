@@ -1,9 +1,10 @@
 """The corpus operators' queries by name, and SQL for those that SQL can express."""
 
-from factloom.llm import decontaminate, packing
+from factloom.llm import decontaminate, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op3_toxicity": toxicity.op3,
     "op7_benchmark_decontamination": decontaminate.op7,
 }
 
