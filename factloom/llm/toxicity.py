@@ -6,7 +6,7 @@ into overlapping ones, so whole texts count. Two units are compared by the kerne
 subsequences of ``ORDER`` letters, each weighted by ``DECAY`` for every letter it spans, normalised. Inserted and
 missing letters thus lower a match a little instead of losing it. Landmarks map units to a finite feature space,
 where a squared-hinge machine is trained on labelled sentences: those of toxic documents are bags of which the
-best unit is the witness (chosen again in every round), all units of the others are negative, hard ones first.
+best units are witnesses (chosen again in every round), all units of the others are negative, hard ones first.
 A document scores the logistic of its best unit's margin.
 
 Labels are learned from a sample of at most ``SAMPLE`` labelled rows a class (by hash of the id, texts of up to
@@ -19,13 +19,18 @@ labels of an id count as toxic if one does, null labels as none; without labels
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.llm._common import mix
+
 ORDER, DECAY, LONGEST = 3, 0.6, 24
-SAMPLE, TRAIN_CHARS, LANDMARKS, ROUNDS = 1500, 20_000, 64, 3
+SAMPLE, TRAIN_CHARS, LANDMARKS, ROUNDS, COST = 1500, 20_000, 72, 4, 1000.0
+#: Witnesses of a toxic bag besides its best unit, and the least z-score of those.
+WITNESSES, SIGNIFICANT = 4, 3.0
 #: Units whose margin a Python worker keeps.
 CACHE_UNITS = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,7 +75,9 @@ def set_or_list(text: str):
 
 
 def _codes(words: list[str], pad: int) -> np.ndarray:
-    n = max(map(len, words))
+    """Code points, after a mark of the unit's start."""
+    n = max(map(len, words)) + 1
+    words = ["\1" + w for w in words]
     a = np.frombuffer("".join(w.ljust(n, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
     return np.where(a == 0, pad, a).astype(np.int32)
 
@@ -112,10 +119,9 @@ def similarity(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine by Newton's steps, classes balanced."""
+def _machine(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared-hinge machine by Newton's steps; rows count by weight."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * c * 100
     w, reg = np.zeros(x.shape[1]), np.eye(x.shape[1])
     reg[-1, -1] = 1e-6
     for _ in range(50):
@@ -141,9 +147,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.shift), -50, 50)))
 
 
+def _witnesses(score: np.ndarray, sure: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    """The best unit of a bag, and up to ``WITNESSES`` that the labels mark by themselves."""
+    bag = bag[np.argsort(-score[bag], kind="stable")]
+    return np.union1d(bag[:1], bag[sure[bag]][:WITNESSES])
+
+
+def _without_copies(bags: list[tuple], toxic: list[int]) -> tuple[list[tuple], list[int]]:
+    """Bags without near copies of earlier ones (two of four min-hashes seen before): a copied text is one witness, not many."""
+    seen, kept = set(), []
+    for i, bag in enumerate(bags):
+        h = mix(np.array([zlib.crc32(u.encode()) for u in bag], np.uint64)) if bag else np.zeros(1, np.uint64)
+        marks = [(k, int((h * np.uint64(2 * k + 3)).min())) for k in range(4)]
+        if sum(m in seen for m in marks) < 2:
+            kept.append(i)
+        seen.update(marks)
+    return [bags[i] for i in kept], [toxic[i] for i in kept]
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """Train on labelled texts; None if a class has no text with units."""
-    bags = [sorted(set().union(*(units(s) for s in _SENTENCE.split(t)))) for t in texts]
+    bags = [tuple(sorted(set().union(*(units(s) for s in _SENTENCE.split(t))))) for t in texts]
+    bags, toxic = _without_copies(bags, toxic)
     pos, neg = [b for b, y in zip(bags, toxic) if y and b], [b for b, y in zip(bags, toxic) if not y and b]
     if not pos or not neg:
         return None
@@ -156,29 +181,45 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     p, q = (in_pos + 0.5) / (len(pos) + 1), (in_neg + 0.5) / (len(neg) + 1)
     link = (p - q) / np.sqrt(p * (1 - p) / len(pos) + q * (1 - q) / len(neg))
     marks: list[str] = []
-    for i in np.argsort(-link, kind="stable")[: 8 * LANDMARKS]:
-        if len(marks) < LANDMARKS // 2 and (not marks or similarity([vocabulary[i]], marks).max() < 0.8):
-            marks.append(vocabulary[i])
     rng = np.random.default_rng(7)
     plain = np.flatnonzero(in_neg > 0)
-    marks += [vocabulary[i] for i in rng.choice(plain, min(len(plain), LANDMARKS - len(marks)), replace=False) if vocabulary[i] not in marks]
-    kernel = similarity(vocabulary, marks)
-    value, vector = np.linalg.eigh(similarity(marks, marks).astype(float))
-    keep = value > 1e-6
-    root = vector[:, keep] / np.sqrt(value[keep])
-    x = kernel @ root
-    score = link
+    kernel = np.zeros((len(vocabulary), 0), np.float32)
+
+    def add(ranked: np.ndarray, most: int, like: float) -> np.ndarray:
+        """The kernel, with up to ``most`` more landmarks: the best of ``ranked`` that none taken before is ``like``."""
+        pool = [vocabulary[i] for i in ranked[:3000]]
+        near = similarity(pool, marks).max(1) if marks and pool else np.zeros(len(pool))
+        new: list[str] = []
+        while len(new) < most and (near < like).any():
+            new.append(pool[int((near < like).argmax())])
+            near = np.maximum(near, similarity(pool, new[-1:])[:, 0])
+        marks.extend(new)
+        return np.hstack([kernel, similarity(vocabulary, new)]) if new else kernel
+
+    kernel = add(np.argsort(-link, kind="stable"), LANDMARKS // 2, 0.6)
+    kernel = add(rng.permutation(plain), LANDMARKS // 6, 0.9)
+    score, sure = link, link >= max(SIGNIFICANT, link.max() / 2)
     some = rng.choice(plain, min(len(plain), 20_000), replace=False)
-    for _ in range(ROUNDS):
-        witness = [max((at[u] for u in b), key=lambda i: score[i]) for b in pos]
-        hard = plain[np.argsort(-score[plain], kind="stable")[:2000]]
+    for turn in range(ROUNDS):
+        value, vector = np.linalg.eigh(similarity(marks, marks).astype(float))
+        root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
+        x = kernel @ root
+        witness = np.concatenate([_witnesses(score, sure, np.array([at[u] for u in b])) for b in pos])
+        hard = plain[np.argsort(-score[plain], kind="stable")[:4000]]
         negative = np.union1d(some, hard)
-        w, bias = _machine(np.vstack([x[witness], x[negative]]), np.r_[np.ones(len(witness)), -np.ones(len(negative))])
+        weight = COST * np.r_[np.full(len(witness), 1 / len(witness)), in_neg[negative] / len(neg)]
+        w, bias = _machine(np.vstack([x[witness], x[negative]]), weight, np.r_[np.ones(len(witness)), -np.ones(len(negative))])
         score = x @ w + bias
+        beta = root @ w
+        if turn < ROUNDS - 1:
+            kernel = add(plain[np.argsort(-score[plain], kind="stable")], LANDMARKS // 6, 0.9)
     best = lambda own: np.array([score[[at[u] for u in b]].max() for b in own])
-    high, low = np.quantile(best(pos), 0.05), np.quantile(best(neg), 0.999)
-    shift = (high + low) / 2
-    return Model(marks, root @ w, bias, 8 / max(high - low, 0.5), shift)
+    high, low = np.sort(best(pos)), np.sort(best(neg))
+    each = np.unique(np.concatenate([high, low, [low.max() + 1]]))
+    cost = np.searchsorted(high, each) / len(high) + 3 * (len(low) - np.searchsorted(low, each)) / len(low)
+    i = int(cost.argmin())
+    shift = (each[i] + (each[i - 1] if i else each[i] - 1)) / 2
+    return Model(list(marks), beta, bias, 6.0, float(shift))
 
 
 def _margins(column: pa.Array, model: Model | None, cache: dict) -> np.ndarray:
