@@ -1,10 +1,11 @@
 """The corpus operators' queries by name, and SQL for those that SQL can express."""
 
-from factloom.llm import decontaminate, packing, toxicity
+from factloom.llm import decontaminate, jaccard, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op3_toxicity": toxicity.op3,
+    "op4_ngram_jaccard_join": jaccard.op4,
     "op7_benchmark_decontamination": decontaminate.op7,
 }
 
