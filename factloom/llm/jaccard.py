@@ -10,12 +10,14 @@ so linked sets agree in some segments. The larger set R probes its own band and
 partners; S is indexed in its own band by the content of every segment that is not empty. In bands of small sets
 segments are fewer and larger, and the one-deletion neighbourhood of each is indexed and probed as well, so
 that an agreement within one element counts twice. Costs are allocated by R: it may skip as many segments as it
-has beyond the pigeonhole's need, and skips those whose index lists are the longest (common passages). A set
-whose segments are too few for the bound (hashes fell together) goes by a prefix filter instead, so none is lost.
+has beyond the pigeonhole's need, and skips those whose index lists are the longest (common passages). Shingles
+that a sample finds in very many texts (common passages) are left out of the segments, which only makes the bound
+safer. A set whose segments are then too few for the bound is also found by the prefix filter: it and all sets that
+could be its partners list their rarest shingles, as many as no linked pair can all differ in. So no link is lost.
 
-Candidates meet the least member of each list first; verified links make components, and then every remaining
-candidate pair between different components is verified on the whole sets, so no link between components is lost
-and a group of near copies costs no pair of its members. Hashes of 64 bits stand for shingles throughout.
+Classes meet one member of their lists first, the most central ones; verified links make components, and then every
+remaining candidate pair between different components is verified on the whole sets, so no link between components
+is lost and a group of near copies costs no pair of its members. Hashes of 64 bits stand for shingles throughout.
 
 Defined results: null, empty and wordless texts have size 0 and link with nothing; repeated rows are one class
 and one row each; a component is named by the smallest doc_id that reaches it (null ids never do, unless alone);
@@ -39,6 +41,8 @@ LEAST = 4
 SMALL = 48
 #: Signatures of one shuffle group.
 GROUP = 3_000_000
+#: Texts sampled for common shingles, the share of them that makes a shingle common, and how many are kept.
+SAMPLE, COMMON, MAX_COMMON = 4000, 0.0025, 200_000
 #: Index lists longer than this are skipped where the bound leaves room.
 LONG_LIST = 24
 #: Ids of documents under verification that are broadcast at most; beyond, the join is by shuffle.
@@ -72,6 +76,8 @@ def _levels(size: int):
 
 def _signatures(x: np.ndarray, band: int):
     """Of a sorted set: (signature, is a deletion) arrays, the elements of each segment that is not empty."""
+    if not len(x):
+        return x, np.zeros(0, bool), np.zeros(0, np.int64)
     m = _segments(band)
     seg = ((x >> _U(32)) * _U(m)) >> _U(32)
     start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
@@ -111,27 +117,66 @@ def _class_id(x: np.ndarray) -> int:
     return int(mix(np.array([mix(x + _U(1)).sum() ^ _U(len(x))], np.uint64))[0] >> _U(1)) if len(x) else -1
 
 
-def _sized(docs: DataFrame, n: int) -> DataFrame:
-    """id, set size, class, and slack per probed band."""
+def _common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of the shingles that a bounded sample finds in many texts; they decide costs, never results."""
+    total = docs.count()
+    own = docs if total <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < SAMPLE * 1_000_000 // total)
+
+    def run(batches):
+        for batch in batches:
+            x, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(batch.column(0), n)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(k)], ["token", "k"])
+
+    counts = own.select("text").mapInArrow(run, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
+    top = counts.filter(F.col("k") >= max(10, int(COMMON * min(total, SAMPLE)))).orderBy(F.desc("k"), "token").limit(MAX_COMMON).select("token").toPandas()
+    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _is_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common) or not len(x):
+        return np.zeros(len(x), bool)
+    return common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
+
+
+def _sized(docs: DataFrame, n: int, sent) -> DataFrame:
+    """id, set size, class, how many of its shingles are common, and slack per probed band."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = []
             for x in _sets(batch.column(1), n):
-                slack = [_slack(_signatures(x, k)[2], len(x), k) for k in _levels(len(x))] if len(x) >= LEAST else []
-                rows.append((len(x), _class_id(x), slack))
-            c = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.int32()))], ["id", "n_shingles", "class", "slack"])
+                hot = _is_common(x, sent.value)
+                rare = x[~hot]
+                slack = [_slack(_signatures(rare, k)[2], len(x), k) for k in _levels(len(x))] if len(x) >= LEAST else []
+                rows.append((len(x), _class_id(x), int(hot.sum()), slack))
+            c = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.list_(pa.int32()))], ["id", "n_shingles", "class", "hot", "slack"])
+
+    return docs.mapInArrow(run, f"id {kind}, n_shingles long, class long, hot long, slack array<int>")
+
 
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, class long, slack array<int>")
+def _uncovered(sized: DataFrame) -> dict[int, int]:
+    """For each band (some tens at most) that holds partners of sets that their segments don't cover: the fewest common shingles that such a set has."""
+    out: dict[int, int] = {}
+    size = sized.filter(F.exists("slack", lambda s: s < 0)).groupBy(F.floor(F.log("n_shingles") * 64).alias("b")).agg(F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.min("hot").alias("hot"))
+    for r in size.collect():
+        for k in {*_levels(r.n0), *_levels(r.n1)}:
+            out[k] = min(out.get(k, r.hot), r.hot)
+    return out
 
 
-_RUN = struct.Struct("<QBH")
+def _prefix(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Signatures of the set's rarest shingles, as many as linked sets can't all differ in."""
+    keep = np.concatenate([x[~hot], x[hot]])[: len(x) - -(-len(x) * 4 // 5) + 1]
+    return mix(keep ^ _U(0x2545F4914F6CDD1D))
 
 
-def _packed(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """Signatures of every class that a task meets (once a task), packed by group: runs of (class, level, count), then 6 bytes each and flags."""
+def _packed(docs: DataFrame, n: int, parts: int, sent, uncovered: dict[int, int]) -> DataFrame:
+    """Signatures of every class that a task meets (once a task), packed by group: runs of (class, level, count), then 6 bytes each and flags.
+
+    Level 255 has the prefix signatures.
+    """
 
     def flush(held, size):
         sig = np.concatenate([h[2] for h in held])
@@ -161,10 +206,16 @@ def _packed(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 if len(x) < LEAST or c in seen:
                     continue
                 seen.add(c)
-                for level, k in enumerate(_levels(len(x))):
-                    sig, gone, _ = _signatures(x, k)
+                hot = _is_common(x, sent.value)
+                bands = _levels(len(x))
+                for level, k in enumerate(bands):
+                    sig, gone, _ = _signatures(x[~hot], k)
                     held.append((c, level, sig, gone))
                     size += len(sig)
+                if any(k in uncovered and hot.sum() >= uncovered[k] - (int(_EDGES[k + 1]) - 1 + len(x)) // 9 for k in bands):
+                    sig = _prefix(x, hot)
+                    held.append((c, 255, sig, np.zeros(len(sig), bool)))
+                    size += len(sig)
                 if size > 1 << 21:
                     yield flush(held, size)
                     held, size = [], 0
@@ -175,7 +226,7 @@ def _packed(docs: DataFrame, n: int, parts: int) -> DataFrame:
 
 
 def _lists(packed: DataFrame) -> DataFrame:
-    """Signatures that several classes share: sig, class, level, gone (a deletion), hub (least class indexed), cost (length of the index list)."""
+    """Signatures that several classes share: sig, class, level, gone (a deletion), cost (length of the index list)."""
 
     def run(key, table):
         sig, cls, level, gone = [], [], [], []
@@ -200,28 +251,39 @@ def _lists(packed: DataFrame) -> DataFrame:
         s, c, l, g = sig[order], cls[order], level[order], gone[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
         size = np.diff(np.concatenate([start, [len(s)]]))
-        own = np.add.reduceat((l == 0).astype(np.int64), start) if len(s) else size
+        own = np.add.reduceat(((l == 0) | (l == 255)).astype(np.int64), start) if len(s) else size
         whole = np.add.reduceat((g == 0).astype(np.int64), start) if len(s) else size
-        hub = np.minimum.reduceat(np.where(l == 0, c, np.iinfo(np.int64).max), start) if len(s) else size
         good = np.repeat((size > 1) & (own > 0) & (whole > 0), size)
         wide = lambda v: np.repeat(v, size)[good]
         part = np.int64(key[0].as_py()) << 48
-        return pa.table({"sig": (s[good].astype(np.int64) | part), "class": c[good], "level": l[good].astype(np.int32), "gone": g[good].astype(np.int32), "hub": wide(hub), "cost": wide(own)})
+        return pa.table({"sig": (s[good].astype(np.int64) | part), "class": c[good], "level": l[good].astype(np.int32), "gone": g[good].astype(np.int32), "cost": wide(own)})
 
-    return packed.groupBy("part").applyInArrow(run, "sig long, class long, level int, gone int, hub long, cost long")
+    return packed.groupBy("part").applyInArrow(run, "sig long, class long, level int, gone int, cost long")
 
 
-def _prefixes(docs: DataFrame, n: int) -> DataFrame:
-    """Least hashes of every set, as many as the prefix filter needs; (token, class, n)."""
+def _candidates(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that may link, a the larger set.
 
-    def run(batches):
-        for batch in batches:
-            for x in _sets(batch.column(0), n):
-                if len(x) >= LEAST:
-                    p = x[: len(x) - -(-len(x) * 4 // 5) + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), _class_id(x))), pa.array(np.full(len(p), len(x), np.int64))], ["token", "class", "n"])
-
-    return docs.select("text").mapInArrow(run, "token long, class long, n long")
+    a skips the longest lists that it can spare. The pair must share as many of a's segments as it has beyond the
+    number that a linked pair of these sizes can differ in, less those skipped (with deletions: one at least).
+    """
+    long_ = F.when(F.col("cost") > LONG_LIST, F.row_number().over(Window.partitionBy("class", "level").orderBy(F.desc("cost"), "sig")))
+    probe = lists.withColumn("r", F.when((F.col("n") >= SMALL) & (F.col("level") < 255), long_)).withColumn("skip", F.coalesce(F.col("r") <= F.col("slack"), F.lit(False)))
+    spared = F.sum(F.col("skip").cast("int")).over(Window.partitionBy("class", "level"))
+    probe = probe.withColumn("spared", spared).filter("not skip").select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "slack", "spared")
+    index = lists.filter("level in (0, 255)").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("gone").alias("gb"), F.col("comp").alias("cb"))
+    pairs = (
+        probe.join(index, "sig")
+        .filter("ca <> cb and ga + gb < 2 and (nb < na or (nb = na and b < a)) and 5 * nb >= 4 * na")
+        .groupBy("a", "b", "level")
+        .agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("slack").alias("slack"), F.first("spared").alias("spared"), F.max(F.col("ga") + F.col("gb")).alias("g"))
+    )
+    # Segments of a that aren't empty: its slack and need in the band; b's band ends below na (lower levels) or a's partner is no larger than a.
+    ends = F.array(*(F.lit(int(e)) for e in _EDGES))
+    end = F.element_at(ends, F.size(F.filter(ends, lambda e: e <= F.col("nb"))) + 1) - 1
+    have = F.col("slack") + F.floor((F.col("na") + F.least("na", end)) / 9) + 1
+    least = have - F.floor((F.col("na") + F.col("nb")) / 9) - F.col("spared")
+    return pairs.filter((F.col("level") == 255) | (end < SMALL) | (F.col("k") >= least)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
@@ -260,49 +322,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
 def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, class (a text's set), component_id."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sized = written(_sized(docs, n))
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, n))
+    sized = written(_sized(docs, n, sent))
     reps = sized.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.max("slack").alias("slack"))
     reps = written(reps)
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     parts = min(1 << 16, max(1, -(-int(total * 0.7) // GROUP)))
-    lists = written(_lists(_packed(docs, n, parts)))
-    met = lists.join(reps.select("class", "n", "slack"), "class").withColumn("slack", F.try_element_at("slack", F.col("level") + 1))
-
-    # 1: the least member of every list
-    first = met.filter("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("k"))
-    best = first.groupBy("class").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
-    links = written(_verified(best.select(F.col("class").alias("a"), F.col("hub").alias("b")), docs, reps, n))
-    comp = written(components(links))
-
-    # 2: every other candidate between components
-    named = met.join(comp.withColumnRenamed("v", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
-    open_ = written(named.join(mixed, "sig", "left_semi"))
-    rank = Window.partitionBy("class", "level").orderBy(F.desc("cost"), "sig")
-    probe = (
-        open_.withColumn("r", F.when(F.col("n") >= SMALL, F.row_number().over(rank)).otherwise(1 << 30))
-        .filter((F.col("cost") <= LONG_LIST) | (F.col("r") > F.col("slack")))
-        .select("sig", F.col("class").alias("a"), F.col("n").alias("na"), F.col("gone").alias("ga"), F.col("comp").alias("ca"))
-    )
-    index = open_.filter("level = 0").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("gone").alias("gb"), F.col("comp").alias("cb"))
-    more = (
-        probe.join(index, "sig")
-        .filter("ca <> cb and ga + gb < 2 and (nb < na or (nb = na and b < a)) and 5 * nb >= 4 * na")
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    uncovered = reps.filter(F.exists("slack", lambda s: s < 0))
-    if not uncovered.isEmpty():
-        prefix = written(_prefixes(docs, n).distinct())
-        left = prefix.join(uncovered.select("class"), "class", "left_semi")
-        more = more.select("a", "b").union(
-            left.select("token", F.col("class").alias("x"), F.col("n").alias("nx")).join(prefix, "token").filter("x <> class and 5 * nx >= 4 * n and 5 * n >= 4 * nx").select(F.col("x").alias("a"), F.col("class").alias("b"))
-        )
-    more = written(more.select("a", "b").distinct().join(best.select(F.col("class").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = written(_verified(more, docs, reps, n))
-        if not found.isEmpty():
-            comp = written(components(links.unionByName(found)))
+    lists = written(_lists(_packed(docs, n, parts, sent, _uncovered(sized))))
+    central = lists.groupBy("class").agg(F.sum("cost").alias("central"))
+    met = lists.join(reps.select("class", "n", "slack").join(central, "class"), "class").withColumn("slack", F.try_element_at("slack", F.col("level") + 1))
+    met, links, tried, comp = written(met), None, None, None
+
+    # Each class meets one member of its lists, the one that it shares most lists with: first the most central members, then others.
+    for order in (F.struct("central", "class"), F.struct(-F.col("class")), F.struct(F.xxhash64("class"))):
+        named = met if comp is None else met.join(comp.withColumnRenamed("v", "class"), "class", "left")
+        named = named.withColumn("comp", F.coalesce("comp", "class") if comp is not None else F.col("class"))
+        if comp is not None:
+            mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
+            named = written(named.join(mixed, "sig", "left_semi"))
+            met = named.drop("comp")
+        hub = named.filter("level in (0, 255)").groupBy("sig").agg(F.max_by(F.struct("class", "comp"), order).alias("hub"))
+        near = named.join(hub, "sig").filter("comp <> hub.comp").groupBy("class", F.col("hub.class").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
+        best = near.groupBy("class").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
+        if tried is not None:
+            best = best.join(tried, ["a", "b"], "left_anti")
+        best = written(best)
+        tried = best if tried is None else tried.unionByName(best)
+        if best.isEmpty():
+            break
+        found = written(_verified(best, docs, reps, n))
+        links = found if links is None else links.unionByName(found)
+        comp = written(components(links))
+
+    # Then every candidate that is left between components is verified.
+    if comp is not None:
+        named = met.join(comp.withColumnRenamed("v", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
+        more = _candidates(written(named.join(mixed, "sig", "left_semi")))
+        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = written(more.join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            comp = written(components(links.unionByName(written(_verified(more, docs, reps, n)))))
+    else:
+        comp = docs.sparkSession.createDataFrame([], "v long, comp long")
 
     named = reps.select("class", "rep").join(comp.withColumnRenamed("v", "class"), "class")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
