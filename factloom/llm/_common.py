@@ -36,6 +36,24 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder that are deleted once the work that reads them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_dir(self.spark))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for p in map(jvm.org.apache.hadoop.fs.Path, self.paths):
+            p.getFileSystem(conf).delete(p, True)
+        self.paths.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, in place where possible."""
     h = h.astype(np.uint64, copy=True)

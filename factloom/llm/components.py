@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm._common import written
+from factloom.llm._common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,14 +24,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     The number of rounds is logarithmic in practice; the loop ends when a round changes no edge.
     """
-    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch, old = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    e = scratch.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     last = mark(e)
     for _ in range(rounds):
         if not last[0]:
             break
-        e = written(_star(_star(e, True), False))
+        old.paths, scratch.paths = scratch.paths, []
+        e = scratch.written(_star(_star(e, True), False))
         now = mark(e)
+        old.drop()
         if now == last:
             break
         last = now

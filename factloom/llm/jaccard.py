@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factloom.llm._common import LOWER, NOT_SPACE, mix, prefix_hash, rolling, span_hash, text_steps, word_spans, written
+from factloom.llm._common import LOWER, NOT_SPACE, Scratch, mix, prefix_hash, rolling, span_hash, text_steps, word_spans, written
 from factloom.llm.components import components
 
 #: Sets of fewer elements link only when equal.
@@ -40,7 +40,7 @@ LEAST = 4
 #: Bands whose sizes stay below this use one-deletion neighbourhoods.
 SMALL = 48
 #: Signatures of one shuffle group.
-GROUP = 3_000_000
+GROUP = 1_000_000
 #: Texts sampled for common shingles, the share of them that makes a shingle common, and how many are kept.
 SAMPLE, COMMON, MAX_COMMON = 4000, 0.0025, 200_000
 #: Index lists longer than this are skipped where the bound leaves room.
@@ -292,11 +292,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
     Every pair brings the text of a to where the text of b is, in blocks of b and a salt, so that a b with very
     many partners is spread over tasks; sets are computed again there from the texts.
     """
-    pairs = written(pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16))))
-    ids = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps, "class").select("class", "rep"))
+    scratch = Scratch(docs.sparkSession)
+    pairs = scratch.written(pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16))))
+    ids = scratch.written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps, "class").select("class", "rep"))
     small = ids.count() <= MAX_BROADCAST
     texts = docs.join(F.broadcast(ids) if small else ids, docs["id"].eqNullSafe(ids["rep"])).select("class", "text")
-    texts = written(texts)
+    texts = scratch.written(texts)
     heads = pairs.select("b", "salt").distinct().join(texts, F.col("b") == F.col("class")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     parts = pairs.join(texts, F.col("a") == F.col("class")).select("b", "salt", "a", "text")
     blocks = heads.unionByName(parts)
@@ -316,11 +317,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
-    return blocks.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long").distinct()
+    out = written(blocks.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long").distinct())
+    scratch.drop()
+    return out
 
 
 def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, class (a text's set), component_id."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, n))
     sized = written(_sized(docs, n, sent))
@@ -328,10 +332,10 @@ def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "t
     reps = written(reps)
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     parts = min(1 << 16, max(1, -(-int(total * 0.7) // GROUP)))
-    lists = written(_lists(_packed(docs, n, parts, sent, _uncovered(sized))))
+    lists = scratch.written(_lists(_packed(docs, n, parts, sent, _uncovered(sized))))
     central = lists.groupBy("class").agg(F.sum("cost").alias("central"))
     met = lists.join(reps.select("class", "n", "slack").join(central, "class"), "class").withColumn("slack", F.try_element_at("slack", F.col("level") + 1))
-    met, links, tried, comp = written(met), None, None, None
+    met, links, tried, comp = scratch.written(met), None, None, None
 
     # Each class meets one member of its lists, the one that it shares most lists with: first the most central members, then others.
     for order in (F.struct("central", "class"), F.struct(-F.col("class")), F.struct(F.xxhash64("class"))):
@@ -339,18 +343,18 @@ def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "t
         named = named.withColumn("comp", F.coalesce("comp", "class") if comp is not None else F.col("class"))
         if comp is not None:
             mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
-            named = written(named.join(mixed, "sig", "left_semi"))
+            named = scratch.written(named.join(mixed, "sig", "left_semi"))
             met = named.drop("comp")
         hub = named.filter("level in (0, 255)").groupBy("sig").agg(F.max_by(F.struct("class", "comp"), order).alias("hub"))
         near = named.join(hub, "sig").filter("comp <> hub.comp").groupBy("class", F.col("hub.class").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
         best = near.groupBy("class").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
-        best = written(best)
+        best = scratch.written(best)
         tried = best if tried is None else tried.unionByName(best)
         if best.isEmpty():
             break
-        found = written(_verified(best, docs, reps, n))
+        found = _verified(best, docs, reps, n)
         links = found if links is None else links.unionByName(found)
         comp = written(components(links))
 
@@ -358,13 +362,14 @@ def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "t
     if comp is not None:
         named = met.join(comp.withColumnRenamed("v", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
-        more = _candidates(written(named.join(mixed, "sig", "left_semi")))
+        more = _candidates(scratch.written(named.join(mixed, "sig", "left_semi")))
         more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"))
+        more = scratch.written(more.join(tried, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            comp = written(components(links.unionByName(written(_verified(more, docs, reps, n)))))
+            comp = written(components(links.unionByName(_verified(more, docs, reps, n))))
     else:
         comp = docs.sparkSession.createDataFrame([], "v long, comp long")
+    scratch.drop()
 
     named = reps.select("class", "rep").join(comp.withColumnRenamed("v", "class"), "class")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
