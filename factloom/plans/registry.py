@@ -26,3 +26,7 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# The modules register their queries as they are imported.
+from factloom.plans import relational, scalars, validation  # noqa: E402, F401
