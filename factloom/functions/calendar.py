@@ -93,7 +93,7 @@ def day_dimension(months: DataFrame, first_day) -> DataFrame:
     w = Window.orderBy("bs_year", "cal_month").rowsBetween(Window.unboundedPreceding, -1)
     start = F.date_add(F.lit(first_day).cast("date"), F.coalesce(F.sum("days").over(w), F.lit(0)).cast("int"))
     fy_month = F.pmod(F.col("cal_month") + 8, F.lit(12)) + 1
-    d = months.select("bs_year", "cal_month", start.alias("start"), F.explode(F.sequence(F.lit(1), F.col("days"))).alias("day"))
+    d = months.select("bs_year", "cal_month", "days", start.alias("start")).withColumn("day", F.explode(F.sequence(F.lit(1), F.col("days"))))
     return d.select(F.date_add("start", F.col("day") - 1).alias("ad_date"), "bs_year", fy_month.cast("int").alias("fy_month"), "day", fiscal_start(F.col("bs_year"), fy_month).alias("fy_start"))
 
 

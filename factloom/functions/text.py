@@ -222,4 +222,4 @@ def listing_date(c: Column) -> Column:
     """DT-1: the first ISO date, else year/month/day; an impossible ISO date is null without a second try."""
     iso = F.regexp_extract(c, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
     slash = F.regexp_extract(c, r"([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})", 1)
-    return F.when(iso != "", F.try_to_date(iso, F.lit("yyyy-MM-dd"))).when(slash != "", F.try_to_date(slash, F.lit("yyyy/M/d")))
+    return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).when(slash != "", F.try_to_date(slash, "yyyy/M/d"))

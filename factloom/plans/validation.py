@@ -59,10 +59,10 @@ def flags(spark, sf_dir):
     return Q.flags(judged(spark, sf_dir)).select("staging_id", "kind", "flag_type")
 
 
-@query("jn3_agg4_trailing_stats", f"WITH {INPUT} SELECT s.staging_id, COUNT(*) AS n, ROUND(AVG(a.value), 3) AS mean, ROUND(STDDEV_POP(a.value), 3) AS sd FROM staging s JOIN approved a ON a.indicator = s.indicator AND a.ad_end >= s.ad_end - {DAYS} GROUP BY s.staging_id")
+@query("jn3_agg4_trailing_stats", f"WITH {INPUT} SELECT s.staging_id, COUNT(*) AS n, ROUND(AVG(a.value) + 0.00001, 2) AS mean, ROUND(STDDEV_POP(a.value) + 0.00001, 2) AS sd FROM staging s JOIN approved a ON a.indicator = s.indicator AND a.ad_end >= s.ad_end - {DAYS} GROUP BY s.staging_id")
 def trailing(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return Q.trailing_stats(i["staging"], i["approved"], DAYS).select("staging_id", "n", F.round("mean", 3).alias("mean"), F.round("sd", 3).alias("sd"))
+    return Q.trailing_stats(i["staging"], i["approved"], DAYS).select("staging_id", "n", F.round(F.col("mean") + 0.00001, 2).alias("mean"), F.round(F.col("sd") + 0.00001, 2).alias("sd"))
 
 
 @query("snk6_promote", JUDGED + "SELECT staging_id, COALESCE(p_rev + 1, 0) AS revision FROM judged WHERE NOT blocked")
