@@ -1,6 +1,6 @@
 """The corpus operators' queries by name, and SQL for those that SQL can express."""
 
-from factloom.llm import decontaminate, embeddings, jaccard, language, licenses, packing, secrets, toxicity, urls
+from factloom.llm import decontaminate, embeddings, jaccard, language, licenses, packing, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_license_scans": licenses.op5,
     "op6_embedding_dedup": embeddings.op6,
     "op7_benchmark_decontamination": decontaminate.op7,
+    "op8_suffix_dedup": suffixes.op8,
     "op9_secret_scans": secrets.op9,
     "op10_url_filters": urls.op10,
 }
