@@ -197,12 +197,12 @@ def _witnesses(score: np.ndarray, sure: np.ndarray, bag: np.ndarray) -> np.ndarr
 
 
 def _without_copies(bags: list[tuple], toxic: list[int]) -> tuple[list[tuple], list[int]]:
-    """Bags without near copies of earlier ones (two of four min-hashes seen before): a copied text is one witness, not many."""
+    """Bags without near copies of earlier ones (three of four min-hashes seen before): a copied text is one witness, not many."""
     seen, kept = set(), []
     for i, bag in enumerate(bags):
         h = mix(np.array([zlib.crc32(u.encode()) for u in bag], np.uint64)) if bag else np.zeros(1, np.uint64)
-        marks = [(k, int((h * np.uint64(2 * k + 3)).min())) for k in range(4)]
-        if sum(m in seen for m in marks) < 2:
+        marks = [(k, int(mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for k in range(4)]
+        if sum(m in seen for m in marks) < 3:
             kept.append(i)
         seen.update(marks)
     return [bags[i] for i in kept], [toxic[i] for i in kept]
