@@ -17,7 +17,7 @@ def two_mode_csv(spark: SparkSession, path: str) -> DataFrame:
     A file whose first line starts with three commas and names a table has five lines before its header; the others
     have none. Marks at the start of the file are taken off; lines are padded to the header; an empty header is an error.
     """
-    f = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("v"))
+    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("v"))
     lines = F.split(F.regexp_replace("v", r"\r\n?", "\n"), "\n")
     first = F.get(lines, F.lit(0))
     mode = F.when(first.startswith(",,,") & F.contains(first, F.lit('"Table ')), "A").otherwise("B")

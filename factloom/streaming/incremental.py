@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators.tables import insert_missing
 
 
+def arriving_files(spark: SparkSession, path: str) -> DataFrame:
+    """STM-1: files (path, length, sha256) as they arrive; empty ones are left out."""
+    f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    return f.filter("length > 0").select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def archive_new(files: DataFrame, table: str, checkpoint: str):
     """STM-1: append files (with sha256) whose hash the table at ``table`` hasn't; returns the query."""
 

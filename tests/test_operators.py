@@ -1,8 +1,6 @@
 import datetime
 import json
 
-from pyspark.sql import functions as F
-
 from factloom.functions.text import amount
 from factloom.operators import quality as Q, reshape as R, resolve as J, tables as T
 from factloom.sources import readers
@@ -61,7 +59,7 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n, t in (("a", "one"), ("b", "one"), ("c", "two")):
         (tmp_path / "in" / n).write_text(t)
-    f = spark.readStream.format("binaryFile").load(str(tmp_path / "in")).select("path", F.sha2("content", 256).alias("sha256"))
+    f = incremental.arriving_files(spark, str(tmp_path / "in"))
     for _ in range(2):
         incremental.archive_new(f, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
