@@ -270,7 +270,8 @@ def _candidates(lists: DataFrame) -> DataFrame:
     long_ = F.when(F.col("cost") > LONG_LIST, F.row_number().over(Window.partitionBy("class", "level").orderBy(F.desc("cost"), "sig")))
     probe = lists.withColumn("r", F.when((F.col("n") >= SMALL) & (F.col("level") < 255), long_)).withColumn("skip", F.coalesce(F.col("r") <= F.col("slack"), F.lit(False)))
     spared = F.sum(F.col("skip").cast("int")).over(Window.partitionBy("class", "level"))
-    probe = probe.withColumn("spared", spared).filter("not skip").select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "slack", "spared")
+    # Prefix lists are for sets that their segments don't cover; covered ones find the same partners by their segments.
+    probe = probe.withColumn("spared", spared).filter("not skip and (level < 255 or open)").select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "slack", "spared")
     index = lists.filter("level in (0, 255)").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("gone").alias("gb"), F.col("comp").alias("cb"))
     pairs = (
         probe.join(index, "sig")
@@ -334,7 +335,7 @@ def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "t
     parts = min(1 << 16, max(1, -(-int(total * 0.7) // GROUP)))
     lists = scratch.written(_lists(_packed(docs, n, parts, sent, _uncovered(sized))))
     central = lists.groupBy("class").agg(F.sum("cost").alias("central"))
-    met = lists.join(reps.select("class", "n", "slack").join(central, "class"), "class").withColumn("slack", F.try_element_at("slack", F.col("level") + 1))
+    met = lists.join(reps.select("class", "n", "slack").join(central, "class"), "class").withColumn("open", F.exists("slack", lambda x: x < 0)).withColumn("slack", F.try_element_at("slack", F.col("level") + 1))
     met, links, tried, comp = scratch.written(met), None, None, None
 
     # Each class meets one member of its lists, the one that it shares most lists with: first the most central members, then others.
