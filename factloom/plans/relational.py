@@ -370,3 +370,30 @@ def days(spark, sf_dir):
     d = day_dimension(m, "1994-04-14")
     p = o.join(F.broadcast(d), "ad_date").groupBy("fy_start", "fy_month").agg(F.count(F.lit(1)).alias("n")).select("fy_start", F.lit("monthly").alias("type"), F.col("fy_month").alias("ordinal"), "n")
     return period_bounds(p, d)
+
+
+@query("prj1_prj2_prj3_projections", "SELECT o_orderkey, CAST(o_orderkey * 2 AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS notes, 'd1' AS document_id, 'B' AS grade, 0 AS revision, 'NPR' AS unit FROM orders")
+def projections(spark, sf_dir):
+    from factloom.operators import staging as S
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 2).alias("value"), F.lit("B").alias("grade_proposed"))
+    return S.stamped(S.approved(S.staged(o, "r1", "d1"), F.lit(0)), unit="NPR")
+
+
+@query("flt5_flt6_srt6_listings", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '5-LOW' AND NOT (o_orderstatus = 'F') AND o_orderkey % 3 <> 0 ORDER BY o_orderkey LIMIT 50")
+def listings(spark, sf_dir):
+    from factloom.operators import staging as S
+
+    o = table(spark, sf_dir, "orders")
+    f = S.unresolved(S.matching(o, o_orderpriority="5-LOW", o_orderstatus=None).withColumn("resolved_at", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))))
+    return S.capped(f, o.filter("o_orderkey % 3 = 0"), ["o_orderkey"], ["o_orderkey"], 50).select("o_orderkey", "o_custkey")
+
+
+@query("snk13_jsn2_arr1_records", """SELECT c_custkey, '{"name":"' || c_name || '","kind":"' || c_mktsegment || '"}' AS meta, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS n_modes, '{"discovered":{"c_custkey":' || c_custkey || '},"archived":{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || '}}' AS record FROM customer""")
+def records(spark, sf_dir):
+    from factloom.operators import staging as S
+
+    c = table(spark, sf_dir, "customer")
+    modes = S.array_or_empty(F.when(F.col("c_custkey") % 2 == 0, F.array("c_name")))
+    side = S.sidecar(c.select("c_custkey"), c.select("c_custkey", "c_nationkey"), "c_custkey")
+    return c.select("c_custkey", S.metadata(name=F.col("c_name"), kind=F.col("c_mktsegment")).alias("meta"), F.size(modes).alias("n_modes")).join(side, "c_custkey")
