@@ -56,6 +56,13 @@ def links(pages: DataFrame, base: str, html: str, keep=is_pdf, key: str = "page_
     return a.withColumn("rn", F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))).filter("rn = 1").drop("rn")
 
 
+def container_text(html: Column, href: Column, most: int = 200) -> Column:
+    """STR-15: text of the list item or table row around a link, ``most`` characters at most; by splitting at container tags, without a parser."""
+    parts = F.split(html, r"(?i)<(?:li|tr|div|p)\b[^>]*>")
+    own = F.get(F.filter(parts, lambda x: F.contains(x, href)), F.lit(0))
+    return F.substring(inner_text(own), 1, most)
+
+
 def pages_kept(found: DataFrame, page: str, url: str, cap: int = 20) -> DataFrame:
     """WIN-7: (page, new): pages before the first that adds no new url, ``cap`` at most; ``found`` has a row for each page and url."""
     first = found.groupBy(url).agg(F.min(page).alias(page))

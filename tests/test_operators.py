@@ -1,6 +1,8 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
 from factloom.functions.text import amount
 from factloom.operators import quality as Q, reshape as R, resolve as J, tables as T
 from factloom.sources import readers
@@ -52,6 +54,8 @@ def test_two_mode_csv_and_links(spark, tmp_path):
     assert rows["b.csv", 0] == ("B", ["prov", "dist"])
     html = '<a href="/x/1.pdf?v=1">One</a><a href="2.PDF"><b>Two</b> &amp; more</a><a href="/x/1.pdf?v=1">again</a><a href="/p.html">no</a>'
     got = [(r.url, r.text) for r in readers.links(spark.createDataFrame([(1, "http://h.org/c/d?e", html)], "page_id int, url string, html string"), "url", "html").orderBy("pos").collect()]
+    item = spark.createDataFrame([("<ul><li>2024-10-12 <a href='a.pdf'>A</a></li><li>x <a href='b.pdf'>B</a></li></ul>", "b.pdf")], "h string, u string")
+    assert item.select(readers.container_text(F.col("h"), F.col("u")).alias("x")).first().x == "x B"
     assert got == [("http://h.org/x/1.pdf?v=1", "One"), ("http://h.org/c/2.PDF", "Two & more")]
 
 
