@@ -9,8 +9,8 @@ Sizes fall into bands. A band cuts the hash universe into segments, more than th
 so linked sets agree in some segments. The larger set R probes its own band and those below that can hold its
 partners; S is indexed in its own band by the content of every segment that is not empty. In bands of small sets
 segments are fewer and larger, and the one-deletion neighbourhood of each is indexed and probed as well, so
-that an agreement within one element counts twice. Costs are allocated by R: it may skip as many segments as it
-has beyond the pigeonhole's need, and skips those whose index lists are the longest (common passages). Shingles
+that an agreement within one element counts twice. Costs are allocated by R: in the other bands it may skip as many
+segments as it has beyond the pigeonhole's need, and skips those whose index lists are the longest (common passages). Shingles
 that a sample finds in very many texts (common passages) are left out of the segments, which only makes the bound
 safer. A set whose segments are then too few for the bound is also found by the prefix filter: it and all sets that
 could be its partners list their rarest shingles, as many as no linked pair can all differ in. So no link is lost.
@@ -267,8 +267,12 @@ def _candidates(lists: DataFrame) -> DataFrame:
     a skips the longest lists that it can spare. The pair must share as many of a's segments as it has beyond the
     number that a linked pair of these sizes can differ in, less those skipped (with deletions: one at least).
     """
+    ends = F.array(*(F.lit(int(e)) for e in _EDGES))
+    end_of = lambda size, level: F.try_element_at(ends, (F.size(F.filter(ends, lambda e: e <= size)) + 1 - level).cast("int")) - 1
+    # Where the probed band has deletions, slack is a weight of up to two a segment and a skipped list could cost both: nothing is skipped.
+    plain = F.when(F.col("level") < 255, end_of(F.col("n"), F.col("level")) >= SMALL)
     long_ = F.when(F.col("cost") > LONG_LIST, F.row_number().over(Window.partitionBy("class", "level").orderBy(F.desc("cost"), "sig")))
-    probe = lists.withColumn("r", F.when((F.col("n") >= SMALL) & (F.col("level") < 255), long_)).withColumn("skip", F.coalesce(F.col("r") <= F.col("slack"), F.lit(False)))
+    probe = lists.withColumn("r", F.when(plain, long_)).withColumn("skip", F.coalesce(F.col("r") <= F.col("slack"), F.lit(False)))
     spared = F.sum(F.col("skip").cast("int")).over(Window.partitionBy("class", "level"))
     # Prefix lists are for sets that their segments don't cover; covered ones find the same partners by their segments.
     probe = probe.withColumn("spared", spared).filter("not skip and (level < 255 or open)").select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "slack", "spared")
@@ -280,8 +284,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("slack").alias("slack"), F.first("spared").alias("spared"), F.max(F.col("ga") + F.col("gb")).alias("g"))
     )
     # Segments of a that aren't empty: its slack and need in the band; b's band ends below na (lower levels) or a's partner is no larger than a.
-    ends = F.array(*(F.lit(int(e)) for e in _EDGES))
-    end = F.element_at(ends, F.size(F.filter(ends, lambda e: e <= F.col("nb"))) + 1) - 1
+    end = end_of(F.col("nb"), F.lit(0))
     have = F.col("slack") + F.floor((F.col("na") + F.least("na", end)) / 9) + 1
     least = have - F.floor((F.col("na") + F.col("nb")) / 9) - F.col("spared")
     return pairs.filter((F.col("level") == 255) | (end < SMALL) | (F.col("k") >= least)).select("a", "b").distinct()

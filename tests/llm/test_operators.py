@@ -144,6 +144,47 @@ def test_jaccard_pigeonhole(size):
         assert hit or jaccard._slack(n, len(x), k) < 0 and set(jaccard._prefix(x, no).tolist()) & set(jaccard._prefix(y, np.zeros(len(y), bool)).tolist())
 
 
+def test_jaccard_skips_lose_no_link(spark):
+    """Sets of 48 to 57 shingles, with longer lists than LONG_LIST in a band of deletions, meet all partners that brute force links."""
+    rng = np.random.default_rng(11)
+    band = int(np.searchsorted(jaccard._EDGES, 42, "right")) - 1
+    fresh = lambda k: rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2) + np.uint64(1)
+    sets, want = [], set()
+    for size in range(48, 58):
+        while True:
+            x = np.unique(fresh(size))
+            segment = ((x >> np.uint64(32)) * np.uint64(jaccard._segments(band))) >> np.uint64(32)
+            kinds, n = np.unique(segment, return_counts=True)
+            if len(n) == jaccard._segments(band) and n.min() >= 4:
+                break
+        slack = jaccard._slack(n, size, band)
+        rest = kinds[slack:]
+        least = -(-size * 4 // 5)
+        gone = np.concatenate([np.flatnonzero(segment == k)[:2] for k in rest])
+        gone = np.concatenate([gone, np.setdiff1d(np.flatnonzero(np.isin(segment, rest)), gone)])[: max(len(gone), size - 46)]
+        if size - len(gone) >= least:
+            want.add((len(sets), len(sets) + 1))
+        sets += [x, np.delete(x, gone)]
+        shared = x[np.isin(segment, kinds[:slack])]
+        for _ in range(jaccard.LONG_LIST + 6):
+            y = fresh(4 * size)
+            y = y[~np.isin(((y >> np.uint64(32)) * np.uint64(jaccard._segments(band))) >> np.uint64(32), kinds[:slack])]
+            sets.append(np.unique(np.concatenate([shared, y[: 42 - len(shared)]])))
+    assert len(want) >= 8
+    rows, own, whole = [], collections.Counter(), set()
+    for c, x in enumerate(sets):
+        levels = jaccard._levels(len(x))
+        slack = [jaccard._slack(jaccard._signatures(x, k)[2], len(x), k) for k in levels]
+        for level, k in enumerate(levels):
+            sig, gone, _ = jaccard._signatures(x, k)
+            for s, g in set(zip(sig.view(np.int64).tolist(), gone.tolist())):
+                rows.append((s, c, level, int(g), len(x), slack[level], any(v < 0 for v in slack), c))
+                own[s] += level == 0
+                whole |= {s} if not g else set()
+    lists = spark.createDataFrame([(*r, own[r[0]]) for r in rows if r[0] in whole and own[r[0]]], "sig long, class long, level int, gone int, n long, slack int, open boolean, comp long, cost long")
+    assert want <= {(r.a, r.b) for r in jaccard._candidates(lists).collect()}
+
+
 def test_licenses(spark, docs, none):
     texts = ["Under the MIT License. mit-license; General PUBLIC license", "Licensed under the Apache License, Version 2.0", "mit der license", None, "", "SPDX-License-Identifier: GPL-3.0-only"]
     got = [r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
