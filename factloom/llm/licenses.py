@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 Rules are made from a table of license families and sentence forms (``rules()``: some hundreds of regexes), each with
-a keyword that gates it, a label, a weight and a priority. A text whose lowered bytes hold no gate word at all is done
+keywords that gate it (a form's, and one for each of the family's names), a label, a weight and a priority. A text whose lowered bytes hold no gate word at all is done
 after its words are counted. Others are normalised to words joined by single spaces, the rules whose keyword occurs
 are applied, and detections are taken in order of priority, longer first: one that lies within an interval already
 taken is suppressed. The base phrases are counted besides, and their labels always stay.
@@ -25,58 +25,58 @@ from factloom.llm._common import ALNUM, LOWER, text_steps, word_spans
 
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: label, gate word, names as regexes over space-joined words.
+#: label, names as regexes over space-joined words.
 FAMILIES = (
-    ("0bsd", "0bsd", ("0bsd", "zero clause bsd", "bsd zero clause")),
-    ("afl-3.0", "academic", ("academic free(?: license)?(?: v(?:ersion)? ?3(?: 0)?)?",)),
-    ("agpl-3.0", "affero", ("(?:gnu )?affero general public(?: license)?(?: v(?:ersion)? ?3(?: 0)?)?",)),
-    ("apache-1.1", "apache", ("apache(?: software)?(?: license)? v(?:ersion)? ?1 1",)),
-    ("apache-2.0", "apache", ("apache(?: software)?(?: license)?,? v(?:ersion)? ?2(?: 0)?", "apache 2(?: 0)?")),
-    ("artistic-2.0", "artistic", ("artistic(?: license)? (?:v(?:ersion)? ?)?2(?: 0)?",)),
-    ("blueoak-1.0.0", "blue", ("blue oak model(?: license)?",)),
-    ("bsd-2-clause", "bsd", ("(?:simplified|freebsd|2 clause) bsd", "bsd 2 clause")),
-    ("bsd-3-clause", "bsd", ("(?:new|revised|modified|3 clause) bsd", "bsd 3 clause")),
-    ("bsd-4-clause", "bsd", ("(?:original|old|4 clause) bsd", "bsd 4 clause")),
-    ("bsl-1.0", "boost", ("boost software(?: license)?(?: v(?:ersion)? ?1(?: 0)?)?",)),
-    ("busl-1.1", "business", ("business source(?: license)?(?: 1 1)?",)),
-    ("cc-by-4.0", "creative", ("creative commons attribution 4 0(?: international)?",)),
-    ("cc-by-sa-4.0", "creative", ("creative commons attribution share ?alike 4 0(?: international)?",)),
-    ("cc-by-nc-4.0", "creative", ("creative commons attribution non ?commercial 4 0(?: international)?",)),
-    ("cc0-1.0", "cc0", ("cc0(?: 1 0)?(?: universal)?",)),
-    ("cddl-1.0", "distribution", ("common development and distribution(?: license)?",)),
-    ("cecill-2.1", "cecill", ("cecill(?: free software)?(?: license)?(?: 2 1)?",)),
-    ("cpl-1.0", "common", ("common public(?: license)? (?:v(?:ersion)? ?)?1(?: 0)?",)),
-    ("ecl-2.0", "educational", ("educational community(?: license)?",)),
-    ("epl-1.0", "eclipse", ("eclipse public(?: license)? (?:v(?:ersion)? ?)?1(?: 0)?",)),
-    ("epl-2.0", "eclipse", ("eclipse public(?: license)? (?:v(?:ersion)? ?)?2(?: 0)?",)),
-    ("eupl-1.2", "european", ("european union public(?: licence| license)?",)),
-    ("fdl-1.3", "documentation", ("(?:gnu )?free documentation(?: license)?",)),
-    ("gpl-2.0", "general", ("(?:gnu )?general public(?: license)? (?:v(?:ersion)? ?)2(?: 0)?", "gplv2")),
-    ("gpl-3.0", "general", ("(?:gnu )?general public(?: license)? (?:v(?:ersion)? ?)3(?: 0)?", "gplv3")),
-    ("isc", "isc", ("isc",)),
-    ("json", "json", ("json",)),
-    ("lgpl-2.1", "lesser", ("(?:gnu )?lesser general public(?: license)? (?:v(?:ersion)? ?)2(?: 1)?",)),
-    ("lgpl-3.0", "lesser", ("(?:gnu )?lesser general public(?: license)?(?: v(?:ersion)? ?3(?: 0)?)?",)),
-    ("lppl-1.3", "latex", ("latex project public(?: license)?",)),
-    ("mit", "mit", ("mit", "mit x11", "expat")),
-    ("mit-0", "attribution", ("mit no attribution",)),
-    ("mpl-1.1", "mozilla", ("mozilla public(?: license)? (?:v(?:ersion)? ?)?1 1",)),
-    ("mpl-2.0", "mozilla", ("mozilla public(?: license)?(?: v(?:ersion)? ?2(?: 0)?)?",)),
-    ("ms-pl", "microsoft", ("microsoft public(?: license)?",)),
-    ("ncsa", "ncsa", ("(?:university of illinois )?ncsa(?: open source)?",)),
-    ("odbl-1.0", "database", ("open database(?: license)?",)),
-    ("ofl-1.1", "font", ("sil open font(?: license)?",)),
-    ("osl-3.0", "open", ("open software(?: license)? (?:v(?:ersion)? ?)?3(?: 0)?",)),
-    ("postgresql", "postgresql", ("postgresql",)),
-    ("psf-2.0", "python", ("python software foundation(?: license)?",)),
-    ("sspl-1.0", "server", ("server side public(?: license)?",)),
-    ("unlicense", "unlicense", ("the unlicense", "unlicense")),
-    ("upl-1.0", "universal", ("universal permissive(?: license)?",)),
-    ("wtfpl", "wtfpl", ("wtfpl", "do what the fuck you want to public(?: license)?")),
-    ("zlib", "zlib", ("zlib",)),
-    ("zpl-2.1", "zope", ("zope public(?: license)?",)),
+    ("0bsd", ("0bsd", "zero clause bsd", "bsd zero clause")),
+    ("afl-3.0", ("academic free(?: license)?(?: v(?:ersion)? ?3(?: 0)?)?",)),
+    ("agpl-3.0", ("(?:gnu )?affero general public(?: license)?(?: v(?:ersion)? ?3(?: 0)?)?",)),
+    ("apache-1.1", ("apache(?: software)?(?: license)? v(?:ersion)? ?1 1",)),
+    ("apache-2.0", ("apache(?: software)?(?: license)?,? v(?:ersion)? ?2(?: 0)?", "apache 2(?: 0)?")),
+    ("artistic-2.0", ("artistic(?: license)? (?:v(?:ersion)? ?)?2(?: 0)?",)),
+    ("blueoak-1.0.0", ("blue oak model(?: license)?",)),
+    ("bsd-2-clause", ("(?:simplified|freebsd|2 clause) bsd", "bsd 2 clause")),
+    ("bsd-3-clause", ("(?:new|revised|modified|3 clause) bsd", "bsd 3 clause")),
+    ("bsd-4-clause", ("(?:original|old|4 clause) bsd", "bsd 4 clause")),
+    ("bsl-1.0", ("boost software(?: license)?(?: v(?:ersion)? ?1(?: 0)?)?",)),
+    ("busl-1.1", ("business source(?: license)?(?: 1 1)?",)),
+    ("cc-by-4.0", ("creative commons attribution 4 0(?: international)?",)),
+    ("cc-by-sa-4.0", ("creative commons attribution share ?alike 4 0(?: international)?",)),
+    ("cc-by-nc-4.0", ("creative commons attribution non ?commercial 4 0(?: international)?",)),
+    ("cc0-1.0", ("cc0(?: 1 0)?(?: universal)?",)),
+    ("cddl-1.0", ("common development and distribution(?: license)?",)),
+    ("cecill-2.1", ("cecill(?: free software)?(?: license)?(?: 2 1)?",)),
+    ("cpl-1.0", ("common public(?: license)? (?:v(?:ersion)? ?)?1(?: 0)?",)),
+    ("ecl-2.0", ("educational community(?: license)?",)),
+    ("epl-1.0", ("eclipse public(?: license)? (?:v(?:ersion)? ?)?1(?: 0)?",)),
+    ("epl-2.0", ("eclipse public(?: license)? (?:v(?:ersion)? ?)?2(?: 0)?",)),
+    ("eupl-1.2", ("european union public(?: licence| license)?",)),
+    ("fdl-1.3", ("(?:gnu )?free documentation(?: license)?",)),
+    ("gpl-2.0", ("(?:gnu )?general public(?: license)? (?:v(?:ersion)? ?)2(?: 0)?", "gplv2")),
+    ("gpl-3.0", ("(?:gnu )?general public(?: license)? (?:v(?:ersion)? ?)3(?: 0)?", "gplv3")),
+    ("isc", ("isc",)),
+    ("json", ("json",)),
+    ("lgpl-2.1", ("(?:gnu )?lesser general public(?: license)? (?:v(?:ersion)? ?)2(?: 1)?",)),
+    ("lgpl-3.0", ("(?:gnu )?lesser general public(?: license)?(?: v(?:ersion)? ?3(?: 0)?)?",)),
+    ("lppl-1.3", ("latex project public(?: license)?",)),
+    ("mit", ("mit", "mit x11", "expat")),
+    ("mit-0", ("mit no attribution",)),
+    ("mpl-1.1", ("mozilla public(?: license)? (?:v(?:ersion)? ?)?1 1",)),
+    ("mpl-2.0", ("mozilla public(?: license)?(?: v(?:ersion)? ?2(?: 0)?)?",)),
+    ("ms-pl", ("microsoft public(?: license)?",)),
+    ("ncsa", ("(?:university of illinois )?ncsa(?: open source)?",)),
+    ("odbl-1.0", ("open database(?: license)?",)),
+    ("ofl-1.1", ("sil open font(?: license)?",)),
+    ("osl-3.0", ("open software(?: license)? (?:v(?:ersion)? ?)?3(?: 0)?",)),
+    ("postgresql", ("postgresql",)),
+    ("psf-2.0", ("python software foundation(?: license)?",)),
+    ("sspl-1.0", ("server side public(?: license)?",)),
+    ("unlicense", ("the unlicense", "unlicense")),
+    ("upl-1.0", ("universal permissive(?: license)?",)),
+    ("wtfpl", ("wtfpl", "do what the fuck you want to public(?: license)?")),
+    ("zlib", ("zlib",)),
+    ("zpl-2.1", ("zope public(?: license)?",)),
 )
-#: Sentence forms around a name, best first: form, gate word besides the family's, weight.
+#: Sentence forms around a name, best first: form, gate word besides the names', weight.
 FORMS = (
     ("spdx license identifier {id}(?: or later| only)?", "spdx", 0.98),
     ("(?:licensed|released|distributed|available|published) under(?: the terms of)?(?: the)? {name}(?: license| licence)?", "under", 0.9),
@@ -92,28 +92,36 @@ NOTICES = (
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
     ("bsd-3-clause", "endorse", "neither the name of .{0,80}? may be used to endorse or promote products derived", 0.9),
     ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 0.95),
-    ("gpl", "gnu", "(?:gnu )?general public licen[sc]e", 0.7),
+    ("gpl", "general", "(?:gnu )?general public licen[sc]e", 0.7),
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[sc]e", 0.8),
     ("apache", "apache", "apache licen[sc]e", 0.7),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee", 0.95),
     ("proprietary", "reserved", "all rights reserved", 0.3),
-    ("proprietary", "proprietary", "(?:proprietary|confidential) and (?:proprietary|confidential)", 0.5),
+    ("proprietary", " and ", "(?:proprietary|confidential) and (?:proprietary|confidential)", 0.5),
     ("public-domain", "domain", "(?:released|dedicated|placed) (?:in)?to the public domain|in the public domain", 0.7),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 0.3),
 )
-#: A text with none of these holds no rule's keywords.
-GATES = (b"licen", b"spdx", b"permission", b"warrant", b"redistribut", b"endorse", b"reserved", b"proprietary", b"domain", b"copyright", b"gnu", b" under ", b"granted")
+#: A text with none of these holds no rule's keywords; each lies within a word, as other characters than spaces may part words.
+GATES = (b"licen", b"spdx", b"permission", b"warrant", b"redistribut", b"endorse", b"reserved", b"proprietary", b"confidential", b"domain", b"copyright", b"gnu", b"under", b"granted")
+
+
+def _keyword(name: str) -> str:
+    """The longest literal that every match of a name's regex holds."""
+    while (plain := re.sub(r"\(\?:[^()]*\)\??", "\0", name)) != name:
+        name = plain
+    return max(re.sub(r".\?", "\0", name).split("\0"), key=len).strip()
 
 
 def rules() -> list[tuple]:
-    """(priority, label, gate words, regex, weight), best first."""
+    """(priority, label, gates, regex, weight), best first; of each gate one keyword must occur."""
     out = []
     for form, gate, weight in FORMS:
-        for label, word, names in FAMILIES:
+        for label, names in FAMILIES:
             name = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + ")"
             ident = re.escape(label.replace("-", " ").replace(".", " "))
-            out.append((label, tuple({gate, "spdx" if "{id}" in form else word}), form.format(name=name, id=ident), weight))
-    out += [(label, (word,), pattern, weight) for label, word, pattern, weight in NOTICES]
+            own = () if "{id}" in form else (tuple(map(_keyword, names)),)
+            out.append((label, ((gate,), *own), form.format(name=name, id=ident), weight))
+    out += [(label, ((word,),), pattern, weight) for label, word, pattern, weight in NOTICES]
     return [(i, label, gates, re.compile(rf"(?<!\S){pattern}(?!\S)"), weight) for i, (label, gates, pattern, weight) in enumerate(sorted(out, key=lambda r: -r[3]))]
 
 
@@ -133,7 +141,7 @@ def detect(text: str) -> tuple[list[tuple[int, int, str, float]], list[tuple[int
     found = []
     known: dict[str, bool] = {}
     for i, label, gates, pattern, weight in _RULES:
-        if all(known[g] if g in known else known.setdefault(g, g in line) for g in gates):
+        if all(any(known[g] if g in known else known.setdefault(g, g in line) for g in own) for own in gates):
             found += [(i, m.start() - m.end(), m.start(), m.end(), label, weight) for m in pattern.finditer(line)]
     kept: list[tuple] = []
     for _, _, a, z, label, weight in sorted(found):

@@ -194,6 +194,51 @@ def test_licenses(spark, docs, none):
     assert len(licenses.rules()) > 200 and licenses.scan(none).count() == 0
 
 
+def forms_of(pattern):
+    """Texts that a regex of literals, classes, groups, alternatives and short repeats matches: every alternative, optional parts in and out."""
+
+    def texts(parsed):
+        out = [""]
+        for kind, arg in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                own = [chr(arg)]
+            elif kind == "IN":
+                own = [chr(x[0] if isinstance(x, tuple) else x) for _, x in arg]
+            elif kind == "ANY":
+                own = ["x"]
+            elif kind == "SUBPATTERN":
+                own = texts(arg[3])
+            elif kind == "BRANCH":
+                own = [t for branch in arg[1] for t in texts(branch)]
+            else:
+                own = ["", *texts(arg[2])] if arg[0] == 0 else texts(arg[2])
+            out = [a + b for a in out for b in own]
+        return out
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_license_gates_lose_no_rule(monkeypatch):
+    """Gated and ungated scans agree on every name in every form, and on every notice, whatever parts the words."""
+    import pyarrow as pa
+
+    lines = []
+    for label, *_, names in licenses.FAMILIES:
+        for form, *_ in licenses.FORMS:
+            shown = [n for name in names for n in forms_of(name)] if "{name}" in form else [""]
+            some = forms_of(form.replace("{name}", "N").replace("{id}", "I"))
+            lines += [some[i % len(some)].replace("N", n).replace("I", re.sub("[-.]", " ", label)) for i, n in enumerate([*shown, shown[-1]])]
+    lines += [t for n in licenses.NOTICES for t in forms_of(n[2])]
+    texts = [gap.join(line.split()) for line in lines for gap in ("\n", ": ", '"')] + ["Licensed under GPLv3", "released under the Expat license", "Released under\nzlib", "distributed under: WTFPL", 'available under "CC0 1.0"']
+    gated = list(licenses._rows(pa.array(texts)))
+    monkeypatch.setattr(licenses, "GATES", (b"",))
+    monkeypatch.setattr(licenses, "_RULES", [(i, label, (), pattern, weight) for i, label, _, pattern, weight in licenses.rules()])
+    free = list(licenses._rows(pa.array(texts)))
+    assert len(texts) > 1000 and [t for t, a, b in zip(texts, gated, free) if a != b] == []
+    assert [r[5] for r in gated[-5:]] == ["gpl-3.0", "mit", "zlib", "wtfpl", "cc0-1.0"]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
