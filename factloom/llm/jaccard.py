@@ -31,6 +31,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from factloom.llm._common import LOWER, NOT_SPACE, Scratch, mix, prefix_hash, rolling, span_hash, text_steps, word_spans, written
 from factloom.llm.components import components
@@ -326,8 +327,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
     return out
 
 
-def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, class (a text's set), component_id."""
+def _components(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sized rows of ``docs`` (id, n_shingles, class), and every class that isn't empty: class, rep (its least id), comp (its component's least class), component_id."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, n))
@@ -377,15 +378,53 @@ def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "t
 
     named = reps.select("class", "rep").join(comp.withColumnRenamed("v", "class"), "class")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = reps.select("class", "rep").join(named.select("class", "comp").join(least, "comp"), "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = named.select("class", "comp").join(least, "comp").select("class", "comp", "component_id", F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep"))
+    return sized, reps.select("class", "rep").join(linked, "class", "left").select("class", "rep", F.coalesce("comp", "class").alias("comp"), own.alias("component_id"))
+
+
+def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, class (a text's set), component_id."""
+    sized, by_class = _components(docs, n, id_col, text_col)
+    by_class = by_class.select("class", "component_id")
     empty = sized.filter("n_shingles = 0").select("id", "n_shingles", "class", F.col("id").alias("component_id"))
     return sized.filter("n_shingles > 0").join(by_class, "class").select("id", "n_shingles", "class", "component_id").unionByName(empty).withColumnRenamed("id", id_col)
 
 
+def _with_class(docs: DataFrame, n: int, text_col: str) -> DataFrame:
+    """``docs`` with the class of each row's text."""
+    where = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            own = pa.array([_class_id(x) for x in _sets(batch.column(where), n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "_class"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_class", LongType())]))
+
+
 def first_of_each(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, one document of each component: that with the smallest id; rows that repeat an id of a component are one."""
-    kept = join(docs, n, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with its columns, one row of each component: that with the smallest id (null last), of its class.
+
+    Rows without words link with nothing: of those that repeat an id one is kept, and all that have none. Ids that are
+    null or stand in several rows don't tell which row is meant; the classes of these rows are computed again.
+    """
+    sized, by_class = _components(docs, n, id_col, text_col)
+    kept = by_class.groupBy("comp").agg(F.min_by(F.struct("class", "rep"), F.struct(F.col("rep").isNull(), "rep", "class")).alias("k")).select("k.*")
+    kept = written(kept.unionByName(sized.filter("n_shingles = 0").select("class", F.col("id").alias("rep")).distinct()))
+    vague = written(sized.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or id is null").select("id"))
+    sure = kept.filter("rep is not null").join(vague, kept["rep"] == vague["id"], "left_anti").select("rep")
+    out = docs.join(sure, docs[id_col] == sure["rep"], "left_semi")
+    if vague.isEmpty():
+        return out
+    rows = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(vague, docs[id_col] == vague["id"], "left_semi"))
+    rows = _with_class(rows, n, text_col)
+    rows = rows.join(kept, (rows["_class"] == kept["class"]) & rows[id_col].eqNullSafe(kept["rep"]), "left_semi")
+    # One row of each (class, id); which of several is told by all columns that can be hashed.
+    order = F.struct(F.col(text_col), F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString())))
+    nameless = F.col(id_col).isNull() & (F.col("_class") < 0)
+    one = rows.filter(~nameless).groupBy(F.col("_class").alias("c"), F.col(id_col).alias("i")).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return out.unionByName(one).unionByName(rows.filter(nameless).select(docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,15 @@ def test_jaccard_pigeonhole(size):
         assert hit or jaccard._slack(n, len(x), k) < 0 and set(jaccard._prefix(x, no).tolist()) & set(jaccard._prefix(y, np.zeros(len(y), bool)).tolist())
 
 
+def test_first_of_each_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, b), (7, a), (7, b), (7, a), (7, c), (1, a + " x"), (9, d), (9, d), (None, d), (None, b + " y"), (None, "lone words that no other row has"), (None, "lone words that no other row has"), (5, ""), (5, None), (None, ""), (None, " ")]
+    got = jaccard.first_of_each(spark.createDataFrame([(*r, 0.5) for r in rows], SCHEMA)).collect()
+    show = lambda x: sorted(x, key=repr)
+    assert show((r.doc_id, r.text) for r in got if r.text and r.text.strip()) == show([(1, a + " x"), (3, b), (7, c), (9, d), (None, "lone words that no other row has")])
+    assert show(r.doc_id for r in got if not (r.text and r.text.strip())) == show([5, None, None])
+
+
 def test_jaccard_skips_lose_no_link(spark):
     """Sets of 48 to 57 shingles, with longer lists than LONG_LIST in a band of deletions, meet all partners that brute force links."""
     rng = np.random.default_rng(11)
