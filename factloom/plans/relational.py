@@ -232,6 +232,15 @@ def pagination(spark, sf_dir):
     return pages_kept(table(spark, sf_dir, "orders").filter("o_orderkey < 60").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("url")), "page", "url", 50)
 
 
+@query("win7_pagination_stop_all", "WITH o AS (SELECT o_orderkey // 100 AS crawl, o_orderkey % 100 + 1 AS page, o_custkey FROM orders), f AS (SELECT crawl, o_custkey, MIN(page) AS page FROM o GROUP BY 1, 2), n AS (SELECT p.crawl, p.page, COUNT(f.page) AS new FROM (SELECT DISTINCT crawl, page FROM o) p LEFT JOIN f ON f.crawl = p.crawl AND f.page = p.page GROUP BY 1, 2), s AS (SELECT crawl, MIN(page) AS stop FROM n WHERE new = 0 GROUP BY 1) SELECT n.crawl, page, new FROM n LEFT JOIN s ON s.crawl = n.crawl WHERE page < COALESCE(stop, 51) AND page <= 50")
+def pagination_all(spark, sf_dir):
+    """All orders, dealt over crawls of up to 100 pages."""
+    from factloom.sources.readers import pages_kept
+
+    k = F.col("o_orderkey")
+    return pages_kept(table(spark, sf_dir, "orders").select(F.floor(k / 100).alias("crawl"), (k % 100 + 1).alias("page"), F.col("o_custkey").alias("url")), "page", "url", 50, "crawl")
+
+
 @query("win10_pulse", f"WITH m AS (SELECT event_type, CAST(ts AS DATE) AS d, {MONEY.format('value')} AS v FROM events GROUP BY 1, 2) SELECT event_type, d, v, LAG(v) OVER w AS previous, LAG(v, 12) OVER w AS year_before FROM m WINDOW w AS (PARTITION BY event_type ORDER BY d)")
 def pulse(spark, sf_dir):
     m = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("d")).agg(money("value").alias("v"))
@@ -315,6 +324,16 @@ def overlaps(spark, sf_dir):
     return A.overlaps(spark.sql(BOXES), least=0.2).withColumn("iou", F.round("iou", 6))
 
 
+# All rows, as many orders a page as above.
+ALL_BOXES = BOXES.replace("l_orderkey % 50 AS page", "CAST(FLOOR(l_orderkey / 30) AS BIGINT) AS page").replace(" WHERE l_orderkey < 1500", "")
+
+
+@query("ocr3_jn11_overlaps_all", f"WITH b AS ({ALL_BOXES}), j AS (SELECT l.page, l.cell_id AS left_id, r.cell_id AS right_id, least(l.page_x + l.w, r.page_x + r.w) - greatest(l.page_x, r.page_x) AS ww, least(l.page_y + l.h, r.page_y + r.h) - greatest(l.page_y, r.page_y) AS hh, l.w * l.h + r.w * r.h AS area, l.confidence - r.confidence AS d FROM b l JOIN b r ON l.page = r.page AND l.cell_id < r.cell_id AND l.tile_id <> r.tile_id) SELECT page, left_id, right_id, ROUND(CAST(ww * hh AS DOUBLE) / (area - ww * hh), 6) AS iou, CASE WHEN d >= 0.1 THEN 'left' WHEN -d >= 0.1 THEN 'right' ELSE 'review' END AS resolution FROM j WHERE ww > 0 AND hh > 0 AND CAST(ww * hh AS DOUBLE) / (area - ww * hh) >= 0.2")
+def overlaps_all(spark, sf_dir):
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return A.overlaps(spark.sql(ALL_BOXES), least=0.2).withColumn("iou", F.round("iou", 6))
+
+
 @query("ocr1_ocr2_page_boxes", "SELECT l_orderkey, l_linenumber, l_linenumber * 5 + l_suppkey AS page_x, LEAST(l_linenumber * 5, l_linenumber * 3, 100 - l_linenumber * 5 - 8, 80 - l_linenumber * 3 - 6) AS seam FROM lineitem")
 def boxes(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("tile_id"), (F.col("l_linenumber") * 5).alias("x"), (F.col("l_linenumber") * 3).alias("y"), F.lit(8).alias("w"), F.lit(6).alias("h"))

@@ -141,3 +141,20 @@ def narrative(spark, sf_dir):
     t = F.when(k == 0, F.concat(F.lit("the Balance of Payments (BOP) remained at a surplus of Rs."), v, F.lit(" billion"))).when(k == 1, F.concat(F.lit("Balance of\nPayments (BOP) remained at a deficit of Rs. "), v, F.lit(" billion"))).otherwise("nothing here")
     rows = extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")), [s for s in SPECS if s[0] == "bop-surplus-ytd"])
     return rows.select(F.col("doc_id").alias("o_orderkey"), "value", "note")
+
+
+@query("rgx1_rgx2_rgx3_narrative_all", """WITH x AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v, o_orderkey % 8 AS k FROM orders), s(i, slug) AS (VALUES (0, 'ncpi-yoy-overall'), (1, 'remittance-inflow-ytd'), (2, 'merchandise-imports-ytd'), (3, 'trade-deficit-ytd'), (4, 'bop-surplus-ytd'), (5, 'gross-forex-reserves'), (6, 'forex-reserves-months-of-import-cover'))
+SELECT o_orderkey, slug, CASE WHEN k = i THEN CAST(v AS DOUBLE) END AS value, CASE WHEN k = i AND i = 4 THEN 'BOP deficit' END AS note, CASE WHEN k <> i THEN 'PageLayoutChanged' END AS error FROM x CROSS JOIN s""")
+def narrative_all(spark, sf_dir):
+    """Every spec over all orders, each of which has the text of one spec or of none."""
+    from factloom.operators.extract import extract
+
+    k, v = F.pmod("o_orderkey", F.lit(8)), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    texts = (
+        ("y-o-y consumer price\ninflation in Nepal remained at ", " percent"), ("Remittance inflows increased 1.5 percent to Rs. ", " billion"), ("merchandise imports decreased 1.5 percent to Rs.", " billion"), ("Total trade deficit increased 1.5 percent to Rs ", " billion"),
+        ("Balance of Payments (BOP) remained at a deficit of Rs. ", " billion"), ("Gross foreign exchange reserves of the banks increased 2.5 percent to about Rs. ", " billion"), ("enough for merchandise and services imports of ", " months"),
+    )
+    t = F.lit("nothing here")
+    for i, (before, after) in enumerate(texts):
+        t = F.when(k == i, F.concat(F.lit(before), v, F.lit(after))).otherwise(t)
+    return extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))).select(F.col("doc_id").alias("o_orderkey"), "slug", "value", "note", "error")

@@ -63,12 +63,17 @@ def container_text(html: Column, href: Column, most: int = 200) -> Column:
     return F.substring(inner_text(own), 1, most)
 
 
-def pages_kept(found: DataFrame, page: str, url: str, cap: int = 20) -> DataFrame:
-    """WIN-7: (page, new): pages before the first that adds no new url, ``cap`` at most; ``found`` has a row for each page and url."""
-    first = found.groupBy(url).agg(F.min(page).alias(page))
-    new = found.select(page).distinct().join(first.groupBy(page).agg(F.count(F.lit(1)).alias("new")), page, "left").na.fill(0, ["new"])
-    stop = new.filter("new = 0").agg(F.coalesce(F.min(page), F.lit(cap + 1)).alias("stop"))
-    return new.join(F.broadcast(stop), (F.col(page) < F.col("stop")) & (F.col(page) <= cap)).select(page, "new")
+def pages_kept(found: DataFrame, page: str, url: str, cap: int = 20, crawl: str | None = None) -> DataFrame:
+    """WIN-7: (page, new): pages before the first that adds no new url, ``cap`` at most; ``found`` has a row for each page and url.
+
+    With a ``crawl`` column each crawl stops by itself, and the column comes first.
+    """
+    by = [crawl] if crawl else []
+    first = found.groupBy(*by, url).agg(F.min(page).alias(page))
+    new = found.select(*by, page).distinct().join(first.groupBy(*by, page).agg(F.count(F.lit(1)).alias("new")), [*by, page], "left").na.fill(0, ["new"])
+    stop = new.filter("new = 0").groupBy(*by).agg(F.coalesce(F.min(page), F.lit(cap + 1)).alias("stop"))
+    met = new.join(stop, by, "left") if by else new.crossJoin(F.broadcast(stop))
+    return met.filter((F.col(page) < F.coalesce("stop", F.lit(cap + 1))) & (F.col(page) <= cap)).select(*by, page, "new")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
