@@ -47,6 +47,21 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
+    def apart(self, df: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of ``kind`` 0, which stay, and of ``kind`` 1, which are deleted with the rest."""
+        path = shared_dir(self.spark)
+        df.write.partitionBy(kind).option("compression", "zstd").parquet(path)
+        self.paths.append(f"{path}/{kind}=1")
+        out = []
+        for k in (0, 1):
+            schema = df.drop(kind).schema
+            out.append(self.spark.read.schema(schema).parquet(f"{path}/{kind}={k}") if self._there(f"{path}/{kind}={k}") else self.spark.createDataFrame([], schema))
+        return out[0], out[1]
+
+    def _there(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def drop(self) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for p in map(jvm.org.apache.hadoop.fs.Path, self.paths):

@@ -3,21 +3,27 @@
 A text's words are maximal runs of characters other than space, tab and line ends, A-Z lowered; its set is the
 distinct 64-bit hashes of ``n`` consecutive words (of all its words, if fewer). Texts of one set are one class.
 Two classes link when 100 * intersection >= 80 * union, so their symmetric difference is at most
-floor((|R| + |S|) / 9).
-
-Sizes fall into bands. A band cuts the hash universe into segments, more than that difference allows to differ,
-so linked sets agree in some segments. The larger set R probes its own band and those below that can hold its
-partners; S is indexed in its own band by the content of every segment that is not empty. In bands of small sets
-segments are fewer and larger, and the one-deletion neighbourhood of each is indexed and probed as well, so
-that an agreement within one element counts twice. Costs are allocated by R: in the other bands it may skip as many
-segments as it has beyond the pigeonhole's need, and skips those whose index lists are the longest (common passages). Shingles
-that a sample finds in very many texts (common passages) are left out of the segments, which only makes the bound
-safer. A set whose segments are then too few for the bound is also found by the prefix filter: it and all sets that
-could be its partners list their rarest shingles, as many as no linked pair can all differ in. So no link is lost.
-
-Classes meet one member of their lists first, the most central ones; verified links make components, and then every
-remaining candidate pair between different components is verified on the whole sets, so no link between components
-is lost and a group of near copies costs no pair of its members. Hashes of 64 bits stand for shingles throughout.
+floor((|R| + |S|) / 9), and a quarter of either set.
+
+A shingle that no other class holds differs from every partner. Such own shingles are counted twice. First over half
+of the hash universe, by 24 bits of every hash and without naming classes (both can only lower a count): sets with
+over a quarter of own shingles link with nothing, which settles most texts at the cost of one number a shingle. Then
+exactly, among the classes that are left. From there on only the shared shingles of a class matter, and its own ones
+are charged to the bound: a pair with u and v own ones may differ in floor((|R| + |S|) / 9) - u - v shared shingles.
+So texts that were each changed on their own and just miss the threshold are ruled out by two numbers.
+
+Sizes fall into bands. A band cuts the hash universe into segments, more than the difference allowed, so linked sets
+agree in some segments. The larger set R probes its own band and those below that can hold its partners; S is indexed
+in its own band by the content of every segment that is not empty. In bands of small sets segments are fewer and
+larger, and the one-deletion neighbourhood of each is indexed and probed as well, so that an agreement within one
+element counts twice. Costs are allocated by R: in the other bands it may skip as many segments as it has beyond the
+pigeonhole's need, and skips those whose index lists are the longest. A set whose segments are too few for the bound
+is also found by the prefix filter: it and all sets that could be its partners list some shared shingles, as many as
+no linked pair can all differ in. So no link is lost.
+
+Classes meet the member of their lists with the fewest own shingles first; verified links make components, and then
+every remaining candidate pair between different components is verified on the whole sets, so no link between
+components is lost and a group of near copies costs no pair of its members. Hashes of 64 bits stand for shingles.
 
 Defined results: null, empty and wordless texts have size 0 and link with nothing; repeated rows are one class
 and one row each; a component is named by the smallest doc_id that reaches it (null ids never do, unless alone);
@@ -26,12 +32,11 @@ an empty table gives no row.
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from factloom.llm._common import LOWER, NOT_SPACE, Scratch, mix, prefix_hash, rolling, span_hash, text_steps, word_spans, written
 from factloom.llm.components import components
@@ -40,14 +45,16 @@ from factloom.llm.components import components
 LEAST = 4
 #: Bands whose sizes stay below this use one-deletion neighbourhoods.
 SMALL = 48
-#: Signatures of one shuffle group.
-GROUP = 1_000_000
-#: Texts sampled for common shingles, the share of them that makes a shingle common, and how many are kept.
-SAMPLE, COMMON, MAX_COMMON = 4000, 0.0025, 200_000
+#: Shingles of a shuffle group, and of a chunk of sets that is counted together before it is shuffled.
+GROUP, CHUNK = 500_000, 1 << 19
 #: Index lists longer than this are skipped where the bound leaves room.
 LONG_LIST = 24
-#: Ids of documents under verification that are broadcast at most; beyond, the join is by shuffle.
+#: Ids whose texts are read again that are broadcast at most; beyond, the join is by shuffle.
 MAX_BROADCAST = 500_000
+#: Pairs that one block of a verified set meets.
+BLOCK = 512
+#: Rounds in which classes meet central members of their lists.
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -94,12 +101,15 @@ def _signatures(x: np.ndarray, band: int):
     return sig, gone, n
 
 
-def _slack(n: np.ndarray, size: int, band: int) -> int:
-    """Weight beyond the pigeonhole's need that a set has in a band; below 0 it is not covered."""
+def _weight(n: np.ndarray, band: int) -> int:
+    """What a set's segments of these sizes count in a band."""
+    return int(np.minimum(n, 2).sum()) if _EDGES[band + 1] - 1 < SMALL else len(n)
+
+
+def _slack(n: np.ndarray, size: int, band: int, own: int = 0) -> int:
+    """Weight beyond the pigeonhole's need that a set with ``own`` shingles of its own has in a band; below 0 it is not covered."""
     partner = min(size, int(_EDGES[band + 1]) - 1)
-    need = (size + partner) // 9 + 1
-    weight = int(np.minimum(n, 2).sum()) if _EDGES[band + 1] - 1 < SMALL else len(n)
-    return weight - need
+    return _weight(n, band) - ((size + partner) // 9 + 1 - own)
 
 
 def _sets(column: pa.Array, n: int):
@@ -118,155 +128,250 @@ def _class_id(x: np.ndarray) -> int:
     return int(mix(np.array([mix(x + _U(1)).sum() ^ _U(len(x))], np.uint64))[0] >> _U(1)) if len(x) else -1
 
 
-def _common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the shingles that a bounded sample finds in many texts; they decide costs, never results."""
-    total = docs.count()
-    own = docs if total <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < SAMPLE * 1_000_000 // total)
+def _class_id(x: np.ndarray) -> int:
+    return int(mix(np.array([mix(x + _U(1)).sum() ^ _U(len(x))], np.uint64))[0] >> _U(1)) if len(x) else -1
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> _U(48)) * _U(parts)) >> _U(16)).astype(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            x, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(batch.column(0), n)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(k)], ["token", "k"])
 
-    counts = own.select("text").mapInArrow(run, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
-    top = counts.filter(F.col("k") >= max(10, int(COMMON * min(total, SAMPLE)))).orderBy(F.desc("k"), "token").limit(MAX_COMMON).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+def _split(part: np.ndarray, *columns: np.ndarray):
+    """(part, slices of the columns) for runs of a sorted ``part``."""
+    start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    for i, j in zip(start, np.append(start[1:], len(part))):
+        yield int(part[i]), [c[i:j] for c in columns]
 
 
-def _is_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
-    if not len(common) or not len(x):
-        return np.zeros(len(x), bool)
-    return common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
+def _chunked(rows, most: int = CHUNK):
+    """Lists of (head, set) of about ``most`` elements in all."""
+    held, size = [], 0
+    for head, x in rows:
+        held.append((head, x))
+        size += len(x)
+        if size >= most or len(held) == 0xFFFF:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def _sized(docs: DataFrame, n: int, sent) -> DataFrame:
-    """id, set size, class, how many of its shingles are common, and slack per probed band."""
-    kind = docs.schema["id"].dataType.simpleString()
+_ONCE = "chunk long, part int, blob binary"
+
+
+def _sized(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """Two kinds of rows: kind 0 has id, set size and class of every row; kind 1 what a chunk of new classes of a task holds.
+
+    The latter are blobs by shuffle group of half of the hash universe: 24 bits of every hash, in order of the group,
+    and the place in the chunk of the one class that has it (the highest number for a hash that several have, which
+    is sent once a chunk however many they are); the blob of group -1 has the chunk's classes and their sizes.
+    """
+    kind = docs.schema["id"].dataType
+    arrow = [("id", None), ("n_shingles", pa.int64()), ("class", pa.int64()), ("chunk", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("kind", pa.int32())]
+
+    def packed(held, chunk):
+        x = np.concatenate([x for _, x in held])
+        at = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for _, x in held])
+        half = x & _U(1) == 0
+        x, at = x[half], at[half]
+        order = np.argsort(x, kind="stable")
+        x, at = x[order], at[order]
+        new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+        many = new & ~np.append(new[1:], True) if len(x) else new
+        x, at = x[new], np.where(many[new], np.uint16(0xFFFF), at[new])
+        out = [(-1, np.array([(c, len(s)) for c, s in held], "<i8").tobytes())]
+        low = (x >> _U(16)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        for p, (own, who) in _split(_part(x, parts), low, at):
+            out.append((p, who.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() + own.tobytes()))
+        p, blobs = zip(*out)
+        return [None, None, None, pa.array([chunk] * len(p), pa.int64()), pa.array(p, pa.int32()), pa.array(blobs, pa.binary()), pa.array([1] * len(p), pa.int32())]
 
     def run(batches):
+        first, seen, chunk = None, set(), TaskContext.get().partitionId() << 32
+
+        def whole(columns):
+            size = len(next(c for c in columns if c is not None))
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t or first) if c is None else c for c, (_, t) in zip(columns, arrow)], [k for k, _ in arrow])
+
+        held, size = [], 0
         for batch in batches:
-            rows = []
+            first, rows = batch.column(0).type, []
             for x in _sets(batch.column(1), n):
-                hot = _is_common(x, sent.value)
-                rare = x[~hot]
-                slack = [_slack(_signatures(rare, k)[2], len(x), k) for k in _levels(len(x))] if len(x) >= LEAST else []
-                rows.append((len(x), _class_id(x), int(hot.sum()), slack))
-            c = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.list_(pa.int32()))], ["id", "n_shingles", "class", "hot", "slack"])
+                c = _class_id(x)
+                rows.append((len(x), c))
+                if len(x) >= LEAST and c not in seen:
+                    seen.add(c)
+                    held.append((c, x))
+                    size += len(x)
+                    if size >= CHUNK or len(held) == 0xFFFF:
+                        yield whole(packed(held, chunk))
+                        held, size, chunk = [], 0, chunk + 1
+            a, b = zip(*rows) if rows else ((), ())
+            yield whole([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), None, None, None, pa.array([0] * len(rows), pa.int32())])
+        if held:
+            yield whole(packed(held, chunk))
+
+    schema = StructType([StructField("id", kind), *(StructField(k, t) for k, t in (("n_shingles", LongType()), ("class", LongType()), ("chunk", LongType()), ("part", IntegerType()), ("blob", BinaryType()), ("kind", IntegerType())))])
+    return docs.mapInArrow(run, schema)
+
+
+def _survivors(blobs: DataFrame) -> DataFrame:
+    """Classes (class, n) of which a quarter at most is known to be their own."""
+
+    def count(key, table):
+        """Of a group: by chunk, how many hashes of each place no other chunk or class has, 4 bytes each."""
+        chunks, blobs = table.column("chunk").to_pylist(), table.column("blob").to_pylist()
+        size = [len(b) // 5 for b in blobs]
+        who = np.concatenate([np.frombuffer(b, np.uint8, 2 * k).reshape(2, k).T.copy().view("<u2")[:, 0] for b, k in zip(blobs, size)])
+        low = np.zeros((len(who), 4), np.uint8)
+        low[:, :3] = np.concatenate([np.frombuffer(b, np.uint8, 3 * k, 2 * k).reshape(k, 3) for b, k in zip(blobs, size)])
+        _, inverse, times = np.unique(low.view("<u4")[:, 0], return_inverse=True, return_counts=True)
+        lone = (times[inverse] == 1) & (who != 0xFFFF)
+        at, out = np.cumsum([0, *size]), []
+        for a, z in zip(at, at[1:]):
+            place, k = np.unique(who[a:z][lone[a:z]], return_counts=True)
+            out.append(np.stack([place.astype("<u2"), np.minimum(k, 0xFFFF).astype("<u2")]).tobytes())
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    def judge(key, table):
+        head, *counts = [b for _, b in sorted(zip(table.column("part").to_pylist(), table.column("blob").to_pylist()))]
+        classes, n = np.frombuffer(head, "<i8").reshape(-1, 2).T
+        own = np.zeros(len(n), np.int64)
+        for b in counts:
+            place, k = np.frombuffer(b, "<u2").reshape(2, -1)
+            own[place] += k
+        keep = 4 * own <= n
+        return pa.table({"class": pa.array(classes[keep]), "n": pa.array(n[keep])})
+
+    counts = blobs.filter("part >= 0").groupBy("part").applyInArrow(count, _ONCE)
+    return blobs.filter("part < 0").select("chunk", "part", "blob").unionByName(counts).groupBy("chunk").applyInArrow(judge, "class long, n long").distinct()
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(class, n, x: the set's sorted hashes) of wanted classes (class, rep), from the texts of the rows that they name; null ids are all looked at."""
+    ids = wanted.select("rep").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    rows = docs.join(ids, docs["id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
 
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, class long, hot long, slack array<int>")
+    def run(batches):
+        for batch in batches:
+            for held in _chunked((None, x) for x in _sets(batch.column(0), n)):
+                yield pa.RecordBatch.from_arrays([pa.array([_class_id(x) for _, x in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int64()), pa.array([x.tobytes() for _, x in held], pa.binary())], ["class", "n", "x"])
+
+    return rows.mapInArrow(run, "class long, n long, x binary").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
+
+def _shared(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """(class, n, u: its own shingles, x: the shared ones, weight: of its segments by level, slack by level) of sets (class, n, x)."""
 
+    def gather(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        rows = (((c, k), np.frombuffer(x, np.uint64)) for b in batches for c, k, x in zip(*(b.column(i).to_pylist() for i in range(3))))
+        for held in _chunked(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.array([h for h, _ in held], "<i8").tobytes()], pa.binary()), pa.array([np.concatenate([x for _, x in held]).tobytes()], pa.binary())], ["chunk", "heads", "x"])
+            chunk += 1
 
-def _uncovered(sized: DataFrame) -> dict[int, int]:
-    """For each band (some tens at most) that holds partners of sets that their segments don't cover: the fewest common shingles that such a set has."""
-    out: dict[int, int] = {}
-    size = sized.filter(F.exists("slack", lambda s: s < 0)).groupBy(F.floor(F.log("n_shingles") * 64).alias("b")).agg(F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.min("hot").alias("hot"))
+    chunks = scratch.written(sets.select("class", "n", "x").mapInArrow(gather, "chunk long, heads binary, x binary"))
+
+    def send(batches):
+        """Each hash of a chunk once, with a mark where several of its classes have it."""
+        for batch in batches:
+            for chunk, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h, k = np.unique(np.frombuffer(x.as_buffer(), np.uint64), return_counts=True)
+                p, blobs = zip(*((p, own.tobytes() + np.packbits(many).tobytes()) for p, (own, many) in _split(_part(h, parts), h, k > 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(p), pa.int64()), pa.array(p, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "blob"])
+
+    def meet(key, table):
+        """For each chunk a bit for each hash that it sent: whether several classes have it."""
+        blobs = table.column("blob").to_pylist()
+        size = [len(b) * 8 // 65 for b in blobs]
+        h = np.concatenate([np.frombuffer(b, np.uint64, k) for b, k in zip(blobs, size)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 8 * k), count=k) for b, k in zip(blobs, size)]) > 0
+        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        many |= times[inverse] > 1
+        at = np.cumsum([0, *size])
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "blob": pa.array([np.packbits(many[a:z]).tobytes() for a, z in zip(at, at[1:])], pa.binary())})
+
+    bits = chunks.select("chunk", "x").mapInArrow(send, _ONCE).groupBy("part").applyInArrow(meet, _ONCE)
+    bits = bits.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "blob"))).alias("bits"))
+
+    def keep(batches):
+        for batch in batches:
+            for heads, x, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                classes, n = np.frombuffer(heads, "<i8").reshape(-1, 2).T
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                h, inverse = np.unique(x, return_inverse=True)
+                _, size = np.unique(_part(h, parts), return_counts=True)
+                many = np.concatenate([np.unpackbits(np.frombuffer(b["blob"], np.uint8), count=k) for b, k in zip(bits, size)])[inverse] > 0
+                rows = []
+                for own, k, m in zip(np.split(x, np.cumsum(n)[:-1]), n.tolist(), np.split(many, np.cumsum(n)[:-1])):
+                    rest = own[m]
+                    u, levels = k - len(rest), _levels(k)
+                    seg = [_signatures(rest, b)[2] for b in levels]
+                    rows.append((u, rest.tobytes(), [_weight(s, b) for s, b in zip(seg, levels)], [_slack(s, k, b, u) for s, b in zip(seg, levels)]))
+                c = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(n), pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.list_(pa.int32()))], ["class", "n", "u", "x", "weight", "slack"])
+
+    out = chunks.join(bits, "chunk").select("heads", "x", "bits").mapInArrow(keep, "class long, n long, u long, x binary, weight array<int>, slack array<int>")
+    return out.filter("4 * u <= n")
+
+
+def _uncovered(shared: DataFrame) -> set[int]:
+    """Bands (some tens at most) that hold partners of sets that their segments don't cover."""
+    out: set[int] = set()
+    size = shared.filter(F.exists("slack", lambda s: s < 0)).groupBy(F.floor(F.log("n") * 64).alias("b")).agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
     for r in size.collect():
-        for k in {*_levels(r.n0), *_levels(r.n1)}:
-            out[k] = min(out.get(k, r.hot), r.hot)
+        out |= {*_levels(r.n0), *_levels(r.n1)}
     return out
 
 
-def _prefix(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Signatures of the set's rarest shingles, as many as linked sets can't all differ in."""
-    keep = np.concatenate([x[~hot], x[hot]])[: len(x) - -(-len(x) * 4 // 5) + 1]
+def _prefix(x: np.ndarray, size: int) -> np.ndarray:
+    """Signatures of some shared shingles of a set, as many as linked sets can't all differ in."""
+    keep = x[: max(0, len(x) - -(-size * 4 // 5) + 1)]
     return mix(keep ^ _U(0x2545F4914F6CDD1D))
 
 
-def _packed(docs: DataFrame, n: int, parts: int, sent, uncovered: dict[int, int]) -> DataFrame:
-    """Signatures of every class that a task meets (once a task), packed by group: runs of (class, level, count), then 6 bytes each and flags.
-
-    Level 255 has the prefix signatures.
-    """
-
-    def flush(held, size):
-        sig = np.concatenate([h[2] for h in held])
-        flag = np.concatenate([h[3] for h in held])
-        run = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-        part = ((sig >> _U(48)) * _U(parts)) >> _U(16)
-        order = np.lexsort((run, part))
-        sig, flag, run, part = sig[order], flag[order], run[order], part[order]
-        low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
-        own = part.astype(np.int64) * len(held) + run
-        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        count = np.diff(np.concatenate([start, [len(sig)]]))
-        head = np.zeros(len(start), np.dtype([("c", "<u8"), ("l", "u1"), ("n", "<u4")]))
-        head["c"], head["l"], head["n"] = np.array([h[0] for h in held], np.uint64)[run[start]], np.array([h[1] for h in held], np.uint8)[run[start]], count
-        p = np.unique(part)
-        a, z = np.searchsorted(part, p), np.searchsorted(part, p, "right")
-        ha, hz = np.searchsorted(start, a), np.searchsorted(start, z)
-        blobs = [struct.pack("<I", j - i) + head[i:j].tobytes() + low[s:t].tobytes() + np.packbits(flag[s:t]).tobytes() for i, j, s, t in zip(ha, hz, a, z)]
-        return pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+def _signed(shared: DataFrame, uncovered: set[int]) -> DataFrame:
+    """Signatures of every class: sig, class, level, gone (a deletion). Level 255 has the prefix signatures."""
 
     def run(batches):
-        seen: set[int] = set()
-        held, size = [], 0
         for batch in batches:
-            for x in _sets(batch.column(0), n):
-                c = _class_id(x)
-                if len(x) < LEAST or c in seen:
-                    continue
-                seen.add(c)
-                hot = _is_common(x, sent.value)
-                bands = _levels(len(x))
-                for level, k in enumerate(bands):
-                    sig, gone, _ = _signatures(x[~hot], k)
-                    held.append((c, level, sig, gone))
-                    size += len(sig)
-                if any(k in uncovered and hot.sum() >= uncovered[k] - (int(_EDGES[k + 1]) - 1 + len(x)) // 9 for k in bands):
-                    sig = _prefix(x, hot)
-                    held.append((c, 255, sig, np.zeros(len(sig), bool)))
-                    size += len(sig)
-                if size > 1 << 21:
-                    yield flush(held, size)
-                    held, size = [], 0
-        if held:
-            yield flush(held, size)
-
-    return docs.select("text").mapInArrow(run, "part int, blob binary")
-
-
-def _lists(packed: DataFrame) -> DataFrame:
-    """Signatures that several classes share: sig, class, level, gone (a deletion), cost (length of the index list)."""
-
-    def run(key, table):
-        sig, cls, level, gone = [], [], [], []
-        for blob in table.column("blob").to_pylist():
-            (n,) = struct.unpack_from("<I", blob)
-            head = np.frombuffer(blob, np.dtype([("c", "<u8"), ("l", "u1"), ("n", "<u4")]), n, 4)
-            m, at = int(head["n"].sum()), 4 + 13 * n
-            raw = np.zeros((m, 8), np.uint8)
-            raw[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, at).reshape(m, 6)
-            sig.append(raw.reshape(-1).view(np.uint64))
-            cls.append(np.repeat(head["c"].astype(np.int64), head["n"]))
-            level.append(np.repeat(head["l"], head["n"]))
-            gone.append(np.unpackbits(np.frombuffer(blob, np.uint8, (m + 7) // 8, at + 6 * m), count=m))
-        sig, cls, level, gone = map(np.concatenate, (sig, cls, level, gone))
-        order = np.argsort(sig, kind="stable")
-        order = order[np.isin(sig[order], sig[order][1:][sig[order][1:] == sig[order][:-1]], assume_unique=False)] if len(order) > 1 else order[:0]
-        order = order[np.lexsort((gone[order], cls[order], sig[order]))]
-        same = np.zeros(len(order), bool)
-        if len(order):
-            same[1:] = (sig[order][1:] == sig[order][:-1]) & (cls[order][1:] == cls[order][:-1])
-        order = order[~same]
-        s, c, l, g = sig[order], cls[order], level[order], gone[order]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
-        size = np.diff(np.concatenate([start, [len(s)]]))
-        own = np.add.reduceat(((l == 0) | (l == 255)).astype(np.int64), start) if len(s) else size
-        whole = np.add.reduceat((g == 0).astype(np.int64), start) if len(s) else size
-        good = np.repeat((size > 1) & (own > 0) & (whole > 0), size)
-        wide = lambda v: np.repeat(v, size)[good]
-        part = np.int64(key[0].as_py()) << 48
-        return pa.table({"sig": (s[good].astype(np.int64) | part), "class": c[good], "level": l[good].astype(np.int32), "gone": g[good].astype(np.int32), "cost": wide(own)})
-
-    return packed.groupBy("part").applyInArrow(run, "sig long, class long, level int, gone int, cost long")
+            for at in range(0, batch.num_rows, 512):
+                out = []
+                for c, n, x in zip(*(batch.column(i).slice(at, 512).to_pylist() for i in range(3))):
+                    x, bands = np.frombuffer(x, np.uint64), _levels(n)
+                    for level, k in enumerate(bands):
+                        sig, gone, _ = _signatures(x, k)
+                        out.append((c, level, sig, gone))
+                    if any(k in uncovered for k in bands):
+                        sig = _prefix(x, n)
+                        out.append((c, 255, sig, np.zeros(len(sig), bool)))
+                if out:
+                    size = [len(o[2]) for o in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[2] for o in out]).view(np.int64)), pa.array(np.repeat(np.array([o[0] for o in out], np.int64), size)), pa.array(np.repeat(np.array([o[1] for o in out], np.int32), size)), pa.array(np.concatenate([o[3] for o in out]).astype(np.int32))], ["sig", "class", "level", "gone"])
+
+    return shared.select("class", "n", "x").mapInArrow(run, "sig long, class long, level int, gone int")
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Rows of lists (with f and comp) that may link with a row of another component, and ``other``: (f, class) of the most central one.
+
+    f is nine times the number of own shingles less the size; classes with f + f' above 0 can't link.
+    """
+    least = lists.groupBy("sig").agg(F.min(F.struct("f", "class", "comp")).alias("m1"), F.count_if(F.col("level").isin(0, 255)).alias("cost"), F.count_if(F.col("gone") == 0).alias("whole"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    least = least.filter("c0 < c1 and cost > 0 and whole > 0").select("sig", "m1", "cost")
+    met = lists.join(least, "sig").filter("comp = m1.comp or f + m1.f <= 0")
+    other = met.filter("comp <> m1.comp").groupBy("sig").agg(F.min(F.struct("f", "class")).alias("m2"))
+    met = met.join(other, "sig").withColumn("other", F.when(F.col("comp") == F.col("m1.comp"), F.col("m2")).otherwise(F.struct("m1.f", "m1.class")))
+    return met.filter("f + other.f <= 0").drop("m1", "m2")
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of different components that may link, a the larger set.
 
-    a skips the longest lists that it can spare. The pair must share as many of a's segments as it has beyond the
-    number that a linked pair of these sizes can differ in, less those skipped (with deletions: one at least).
+    lists: sig, class, level, gone, comp, cost (length of the index list), n, u, f, weight and slack of the level, open (not covered).
+    a skips the longest lists that it can spare. Of a's segments' weight a linked pair shares all but the number of
+    shared shingles that it may differ in, less the lists skipped.
     """
     ends = F.array(*(F.lit(int(e)) for e in _EDGES))
     end_of = lambda size, level: F.try_element_at(ends, (F.size(F.filter(ends, lambda e: e <= size)) + 1 - level).cast("int")) - 1
@@ -276,111 +381,97 @@ def _candidates(lists: DataFrame) -> DataFrame:
     probe = lists.withColumn("r", F.when(plain, long_)).withColumn("skip", F.coalesce(F.col("r") <= F.col("slack"), F.lit(False)))
     spared = F.sum(F.col("skip").cast("int")).over(Window.partitionBy("class", "level"))
     # Prefix lists are for sets that their segments don't cover; covered ones find the same partners by their segments.
-    probe = probe.withColumn("spared", spared).filter("not skip and (level < 255 or open)").select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "slack", "spared")
-    index = lists.filter("level in (0, 255)").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("gone").alias("gb"), F.col("comp").alias("cb"))
+    probe = probe.withColumn("spared", spared).filter("not skip and (level < 255 or open)")
+    probe = probe.select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "weight", "spared")
+    index = lists.filter("level in (0, 255)").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("gone").alias("gb"), F.col("comp").alias("cb"))
     pairs = (
         probe.join(index, "sig")
-        .filter("ca <> cb and ga + gb < 2 and (nb < na or (nb = na and b < a)) and 5 * nb >= 4 * na")
+        .filter("ca <> cb and ga + gb < 2 and (nb < na or (nb = na and b < a)) and 5 * nb >= 4 * na and 9 * (ua + ub) <= na + nb")
         .groupBy("a", "b", "level")
-        .agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("slack").alias("slack"), F.first("spared").alias("spared"), F.max(F.col("ga") + F.col("gb")).alias("g"))
+        .agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("ga") + F.col("gb") == 0).alias("k2"), *(F.first(c).alias(c) for c in ("na", "nb", "ua", "ub", "weight", "spared")))
     )
-    # Segments of a that aren't empty: its slack and need in the band; b's band ends below na (lower levels) or a's partner is no larger than a.
-    end = end_of(F.col("nb"), F.lit(0))
-    have = F.col("slack") + F.floor((F.col("na") + F.least("na", end)) / 9) + 1
-    least = have - F.floor((F.col("na") + F.col("nb")) / 9) - F.col("spared")
-    return pairs.filter((F.col("level") == 255) | (end < SMALL) | (F.col("k") >= least)).select("a", "b").distinct()
+    least = F.col("weight") - F.col("spared") - (F.floor((F.col("na") + F.col("nb")) / 9) - F.col("ua") - F.col("ub"))
+    agreed = F.when(end_of(F.col("nb"), F.lit(0)) < SMALL, F.col("k") + F.col("k2")).otherwise(F.col("k"))
+    return pairs.filter((F.col("level") == 255) | (agreed >= least)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that link.
+def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) of classes, those that link.
 
-    Every pair brings the text of a to where the text of b is, in blocks of b and a salt, so that a b with very
-    many partners is spread over tasks; sets are computed again there from the texts.
+    Every pair brings the shared shingles of a to those of b, in blocks of b: one with very many partners has several.
     """
-    scratch = Scratch(docs.sparkSession)
-    pairs = scratch.written(pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16))))
-    ids = scratch.written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps, "class").select("class", "rep"))
-    small = ids.count() <= MAX_BROADCAST
-    texts = docs.join(F.broadcast(ids) if small else ids, docs["id"].eqNullSafe(ids["rep"])).select("class", "text")
-    texts = scratch.written(texts)
-    heads = pairs.select("b", "salt").distinct().join(texts, F.col("b") == F.col("class")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
-    parts = pairs.join(texts, F.col("a") == F.col("class")).select("b", "salt", "a", "text")
-    blocks = heads.unionByName(parts)
-    blocks = blocks.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    many = pairs.groupBy("b").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 0")
+    pairs = pairs.join(many, "b", "left").withColumn("block", F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(0)) + 1))
+    heads = pairs.select("b", "block").distinct().join(shared.select(F.col("class").alias("b"), "n", "x"), "b").select("b", "block", F.lit(None).cast("long").alias("a"), "n", "x")
+    parts = pairs.join(shared.select(F.col("class").alias("a"), "n", "x"), "a").select("b", "block", "a", "n", "x")
+    blocks = heads.unionByName(parts).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
 
     def run(batches):
-        head, at = None, None
+        head, size = None, 0
         for batch in batches:
             out = []
-            for b, salt, a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(3), n)):
+            for b, a, n, x in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                x = np.frombuffer(x, np.uint64)
                 if a is None:
-                    if _class_id(x) == b:  # ids may repeat with other texts
-                        head, at = x, (b, salt)
-                elif at == (b, salt) and _class_id(x) == a:
-                    both = len(np.intersect1d(head, x, assume_unique=True))
-                    if 100 * both >= 80 * (len(head) + len(x) - both):
-                        out.append((a, b))
+                    head, size = x, n
+                    continue
+                both = len(np.intersect1d(head, x, assume_unique=True))
+                if 100 * both >= 80 * (size + n - both):
+                    out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
-    out = written(blocks.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long").distinct())
-    scratch.drop()
-    return out
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def _components(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Sized rows of ``docs`` (id, n_shingles, class), and every class that isn't empty: class, rep (its least id), comp (its component's least class), component_id."""
-    scratch = Scratch(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, n))
-    sized = written(_sized(docs, n, sent))
-    reps = sized.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.max("slack").alias("slack"))
-    reps = written(reps)
-    total = sized.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = min(1 << 16, max(1, -(-int(total * 0.7) // GROUP)))
-    lists = scratch.written(_lists(_packed(docs, n, parts, sent, _uncovered(sized))))
-    central = lists.groupBy("class").agg(F.sum("cost").alias("central"))
-    met = lists.join(reps.select("class", "n", "slack").join(central, "class"), "class").withColumn("open", F.exists("slack", lambda x: x < 0)).withColumn("slack", F.try_element_at("slack", F.col("level") + 1))
-    met, links, tried, comp = scratch.written(met), None, None, None
-
-    # Each class meets one member of its lists, the one that it shares most lists with: first the most central members, then others.
-    for order in (F.struct("central", "class"), F.struct(-F.col("class")), F.struct(F.xxhash64("class"))):
-        named = met if comp is None else met.join(comp.withColumnRenamed("v", "class"), "class", "left")
-        named = named.withColumn("comp", F.coalesce("comp", "class") if comp is not None else F.col("class"))
+    try:
+        letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(1 << 16, max(1, -(-letters // 14 // GROUP)))  # a word and its space are seven letters, half of the universe is sent
+        sized, blobs = scratch.apart(_sized(docs, n, parts), "kind")
+        reps = written(sized.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep")))
+        left = scratch.written(_survivors(blobs))
+        sets = scratch.written(_texts_of(docs, left.join(reps, "class"), n))
+        shingles = sets.agg(F.sum("n")).first()[0] or 0
+        shared = scratch.written(_shared(sets, min(1 << 16, max(1, -(-shingles // GROUP))), scratch))
+        info = shared.select("class", "n", "u", (9 * F.col("u") - F.col("n")).alias("f"), "weight", "slack", F.exists("slack", lambda s: s < 0).alias("open"))
+        signed = _signed(shared, _uncovered(shared)).join(info.select("class", "f"), "class").withColumn("comp", F.col("class"))
+        lists, links, tried, comp = scratch.written(_mixed(signed)), None, None, None
+
+        # Each class meets one member of its lists: of those with the fewest own shingles, the one that it shares most lists with.
+        for turn in range(ROUNDS):
+            best = lists.groupBy("class", F.col("other.class").alias("hub")).agg(F.count(F.lit(1)).alias("k")).groupBy("class").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
+            best = best.select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
+            best = scratch.written(best if tried is None else best.join(tried, ["a", "b"], "left_anti"))
+            if best.isEmpty():
+                break
+            tried = best if tried is None else tried.unionByName(best)
+            found = scratch.written(_verified(best, shared))
+            links = found if links is None else links.unionByName(found)
+            comp = scratch.written(components(links))
+            named = lists.drop("comp", "cost", "other").join(comp.withColumnRenamed("v", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+            lists = scratch.written(_mixed(named))
+
+        # Then every candidate that is left between components is verified.
         if comp is not None:
-            mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
-            named = scratch.written(named.join(mixed, "sig", "left_semi"))
-            met = named.drop("comp")
-        hub = named.filter("level in (0, 255)").groupBy("sig").agg(F.max_by(F.struct("class", "comp"), order).alias("hub"))
-        near = named.join(hub, "sig").filter("comp <> hub.comp").groupBy("class", F.col("hub.class").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
-        best = near.groupBy("class").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub")).select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
-        if tried is not None:
-            best = best.join(tried, ["a", "b"], "left_anti")
-        best = scratch.written(best)
-        tried = best if tried is None else tried.unionByName(best)
-        if best.isEmpty():
-            break
-        found = _verified(best, docs, reps, n)
-        links = found if links is None else links.unionByName(found)
-        comp = written(components(links))
-
-    # Then every candidate that is left between components is verified.
-    if comp is not None:
-        named = met.join(comp.withColumnRenamed("v", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        mixed = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("sig")
-        more = _candidates(scratch.written(named.join(mixed, "sig", "left_semi")))
-        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = scratch.written(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            comp = written(components(links.unionByName(_verified(more, docs, reps, n))))
-    else:
-        comp = docs.sparkSession.createDataFrame([], "v long, comp long")
-    scratch.drop()
-
-    named = reps.select("class", "rep").join(comp.withColumnRenamed("v", "class"), "class")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    linked = named.select("class", "comp").join(least, "comp").select("class", "comp", "component_id", F.lit(True).alias("linked"))
+            level = F.col("level") + 1
+            full = lists.drop("other", "f").join(info, "class").withColumns({c: F.try_element_at(c, level) for c in ("weight", "slack")})
+            more = _candidates(full).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            more = scratch.written(more.join(tried, ["a", "b"], "left_anti"))
+            if not more.isEmpty():
+                comp = components(links.unionByName(scratch.written(_verified(more, shared))))
+        else:
+            comp = spark.createDataFrame([], "v long, comp long")
+
+        named = reps.join(comp.withColumnRenamed("v", "class"), "class")
+        least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        linked = written(named.select("class", "comp").join(least, "comp").select("class", "comp", "component_id", F.lit(True).alias("linked")))
+    finally:
+        scratch.drop()
     own = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep"))
-    return sized, reps.select("class", "rep").join(linked, "class", "left").select("class", "rep", F.coalesce("comp", "class").alias("comp"), own.alias("component_id"))
+    return sized, reps.join(linked, "class", "left").select("class", "rep", F.coalesce("comp", "class").alias("comp"), own.alias("component_id"))
 
 
 def join(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

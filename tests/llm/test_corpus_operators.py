@@ -140,8 +140,26 @@ def test_jaccard_pigeonhole(size):
         sx, gx, n = jaccard._signatures(x, k)
         sy, gy, _ = jaccard._signatures(y, k)
         hit = set(sx[~gx].tolist()) & set(sy.tolist()) | set(sx.tolist()) & set(sy[~gy].tolist())
-        no = np.zeros(len(x), bool)
-        assert hit or jaccard._slack(n, len(x), k) < 0 and set(jaccard._prefix(x, no).tolist()) & set(jaccard._prefix(y, np.zeros(len(y), bool)).tolist())
+        assert hit or jaccard._slack(n, len(x), k) < 0 and set(jaccard._prefix(x, len(x)).tolist()) & set(jaccard._prefix(y, len(y)).tolist())
+
+
+def test_jaccard_with_own_shingles(spark):
+    """Copies of one text, each changed on its own around the threshold, repeated texts and null ids: brute force gives the same components."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        own = list(base[: r.choice([40, 60, 90])])
+        for k in range(r.randint(0, 4)):
+            own[r.randrange(len(own))] = f"x{i}_{k}" if r.random() < 0.7 else f"y{k}"
+        rows.append((None if i % 40 == 7 else i, " ".join(own), 0.5))
+    rows += rows[3:9]
+    got = collections.Counter((x.n_shingles, x.component_id) for x in jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = components_of(len(sets), links)
+    least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in set(comp)}
+    assert len(links) > 150 and len(set(comp)) > 20 and got == collections.Counter((len(s), least[c]) for s, c in zip(sets, comp))
 
 
 def test_first_of_each_with_repeated_and_null_ids(spark):
@@ -183,14 +201,15 @@ def test_jaccard_skips_lose_no_link(spark):
     rows, own, whole = [], collections.Counter(), set()
     for c, x in enumerate(sets):
         levels = jaccard._levels(len(x))
-        slack = [jaccard._slack(jaccard._signatures(x, k)[2], len(x), k) for k in levels]
+        n = [jaccard._signatures(x, k)[2] for k in levels]
+        slack, weight = [jaccard._slack(s, len(x), k) for s, k in zip(n, levels)], [jaccard._weight(s, k) for s, k in zip(n, levels)]
         for level, k in enumerate(levels):
             sig, gone, _ = jaccard._signatures(x, k)
             for s, g in set(zip(sig.view(np.int64).tolist(), gone.tolist())):
-                rows.append((s, c, level, int(g), len(x), slack[level], any(v < 0 for v in slack), c))
+                rows.append((s, c, level, int(g), len(x), 0, -len(x), weight[level], slack[level], any(v < 0 for v in slack), c))
                 own[s] += level == 0
                 whole |= {s} if not g else set()
-    lists = spark.createDataFrame([(*r, own[r[0]]) for r in rows if r[0] in whole and own[r[0]]], "sig long, class long, level int, gone int, n long, slack int, open boolean, comp long, cost long")
+    lists = spark.createDataFrame([(*r, own[r[0]]) for r in rows if r[0] in whole and own[r[0]]], "sig long, class long, level int, gone int, n long, u long, f long, weight int, slack int, open boolean, comp long, cost long")
     assert want <= {(r.a, r.b) for r in jaccard._candidates(lists).collect()}
 
 
