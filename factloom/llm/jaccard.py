@@ -10,7 +10,8 @@ of the hash universe, by 24 bits of every hash and without naming classes (both
 over a quarter of own shingles link with nothing, which settles most texts at the cost of one number a shingle. Then
 exactly, among the classes that are left. From there on only the shared shingles of a class matter, and its own ones
 are charged to the bound: a pair with u and v own ones may differ in floor((|R| + |S|) / 9) - u - v shared shingles.
-So texts that were each changed on their own and just miss the threshold are ruled out by two numbers.
+So texts that were each changed on their own and just miss the threshold are ruled out by two numbers, and others that
+meet in a list by the parities of their shared shingles in buckets, which bound the difference from below.
 
 Sizes fall into bands. A band cuts the hash universe into segments, more than the difference allowed, so linked sets
 agree in some segments. The larger set R probes its own band and those below that can hold its partners; S is indexed
@@ -106,6 +107,14 @@ def _weight(n: np.ndarray, band: int) -> int:
     return int(np.minimum(n, 2).sum()) if _EDGES[band + 1] - 1 < SMALL else len(n)
 
 
+def _parity(x: np.ndarray, band: int) -> list[int]:
+    """Parities of the number of elements in buckets, 64 in a word: sets differ in at least as many elements as these differ in bits."""
+    end = int(_EDGES[band + 1]) - 1
+    bits = 64 * -(-8 * ((end + end * 5 // 4) // 9 + 1) // 64)
+    at = ((x & _U(0xFFFFFFFF)) * _U(bits)) >> _U(32)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.int64).tolist()
+
+
 def _slack(n: np.ndarray, size: int, band: int, own: int = 0) -> int:
     """Weight beyond the pigeonhole's need that a set with ``own`` shingles of its own has in a band; below 0 it is not covered."""
     partner = min(size, int(_EDGES[band + 1]) - 1)
@@ -262,7 +271,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _shared(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
-    """(class, n, u: its own shingles, x: the shared ones, weight: of its segments by level, slack by level) of sets (class, n, x)."""
+    """(class, n, u: its own shingles, x: the shared ones, weight of its segments, slack and parities by level) of sets (class, n, x)."""
 
     def gather(batches):
         chunk = TaskContext.get().partitionId() << 32
@@ -308,11 +317,11 @@ def _shared(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
                     rest = own[m]
                     u, levels = k - len(rest), _levels(k)
                     seg = [_signatures(rest, b)[2] for b in levels]
-                    rows.append((u, rest.tobytes(), [_weight(s, b) for s, b in zip(seg, levels)], [_slack(s, k, b, u) for s, b in zip(seg, levels)]))
+                    rows.append((u, rest.tobytes(), [_weight(s, b) for s, b in zip(seg, levels)], [_slack(s, k, b, u) for s, b in zip(seg, levels)], [_parity(rest, b) for b in levels]))
                 c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(n), pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.list_(pa.int32()))], ["class", "n", "u", "x", "weight", "slack"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(n), pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.list_(pa.int32())), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], pa.list_(pa.list_(pa.int64())))], ["class", "n", "u", "x", "weight", "slack", "parity"])
 
-    out = chunks.join(bits, "chunk").select("heads", "x", "bits").mapInArrow(keep, "class long, n long, u long, x binary, weight array<int>, slack array<int>")
+    out = chunks.join(bits, "chunk").select("heads", "x", "bits").mapInArrow(keep, "class long, n long, u long, x binary, weight array<int>, slack array<int>, parity array<array<long>>")
     return out.filter("4 * u <= n")
 
 
@@ -369,7 +378,7 @@ def _mixed(lists: DataFrame) -> DataFrame:
 def _candidates(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of different components that may link, a the larger set.
 
-    lists: sig, class, level, gone, comp, cost (length of the index list), n, u, f, weight and slack of the level, open (not covered).
+    lists: sig, class, level, gone, comp, cost (length of the index list), n, u, f, weight, slack and parity of the level, open (not covered).
     a skips the longest lists that it can spare. Of a's segments' weight a linked pair shares all but the number of
     shared shingles that it may differ in, less the lists skipped.
     """
@@ -382,11 +391,13 @@ def _candidates(lists: DataFrame) -> DataFrame:
     spared = F.sum(F.col("skip").cast("int")).over(Window.partitionBy("class", "level"))
     # Prefix lists are for sets that their segments don't cover; covered ones find the same partners by their segments.
     probe = probe.withColumn("spared", spared).filter("not skip and (level < 255 or open)")
-    probe = probe.select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "weight", "spared")
-    index = lists.filter("level in (0, 255)").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("gone").alias("gb"), F.col("comp").alias("cb"))
+    probe = probe.select("sig", "level", F.col("class").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("gone").alias("ga"), F.col("comp").alias("ca"), "weight", "spared", F.col("parity").alias("pa"))
+    index = lists.filter("level in (0, 255)").select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("gone").alias("gb"), F.col("comp").alias("cb"), F.col("parity").alias("pb"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     pairs = (
         probe.join(index, "sig")
         .filter("ca <> cb and ga + gb < 2 and (nb < na or (nb = na and b < a)) and 5 * nb >= 4 * na and 9 * (ua + ub) <= na + nb")
+        .filter(F.col("pa").isNull() | (9 * (F.col("ua") + F.col("ub") + differ) <= F.col("na") + F.col("nb")))
         .groupBy("a", "b", "level")
         .agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("ga") + F.col("gb") == 0).alias("k2"), *(F.first(c).alias(c) for c in ("na", "nb", "ua", "ub", "weight", "spared")))
     )
@@ -436,7 +447,7 @@ def _components(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[Da
         sets = scratch.written(_texts_of(docs, left.join(reps, "class"), n))
         shingles = sets.agg(F.sum("n")).first()[0] or 0
         shared = scratch.written(_shared(sets, min(1 << 16, max(1, -(-shingles // GROUP))), scratch))
-        info = shared.select("class", "n", "u", (9 * F.col("u") - F.col("n")).alias("f"), "weight", "slack", F.exists("slack", lambda s: s < 0).alias("open"))
+        info = shared.select("class", "n", "u", (9 * F.col("u") - F.col("n")).alias("f"), "weight", "slack", "parity", F.exists("slack", lambda s: s < 0).alias("open"))
         signed = _signed(shared, _uncovered(shared)).join(info.select("class", "f"), "class").withColumn("comp", F.col("class"))
         lists, links, tried, comp = scratch.written(_mixed(signed)), None, None, None
 
@@ -457,7 +468,7 @@ def _components(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[Da
         # Then every candidate that is left between components is verified.
         if comp is not None:
             level = F.col("level") + 1
-            full = lists.drop("other", "f").join(info, "class").withColumns({c: F.try_element_at(c, level) for c in ("weight", "slack")})
+            full = lists.drop("other", "f").join(info, "class").withColumns({c: F.try_element_at(c, level) for c in ("weight", "slack", "parity")})
             more = _candidates(full).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
             more = scratch.written(more.join(tried, ["a", "b"], "left_anti"))
             if not more.isEmpty():

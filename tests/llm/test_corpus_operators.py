@@ -203,13 +203,14 @@ def test_jaccard_skips_lose_no_link(spark):
         levels = jaccard._levels(len(x))
         n = [jaccard._signatures(x, k)[2] for k in levels]
         slack, weight = [jaccard._slack(s, len(x), k) for s, k in zip(n, levels)], [jaccard._weight(s, k) for s, k in zip(n, levels)]
+        parity = [jaccard._parity(x, k) for k in levels]
         for level, k in enumerate(levels):
             sig, gone, _ = jaccard._signatures(x, k)
             for s, g in set(zip(sig.view(np.int64).tolist(), gone.tolist())):
-                rows.append((s, c, level, int(g), len(x), 0, -len(x), weight[level], slack[level], any(v < 0 for v in slack), c))
+                rows.append((s, c, level, int(g), len(x), 0, -len(x), weight[level], slack[level], parity[level], any(v < 0 for v in slack), c))
                 own[s] += level == 0
                 whole |= {s} if not g else set()
-    lists = spark.createDataFrame([(*r, own[r[0]]) for r in rows if r[0] in whole and own[r[0]]], "sig long, class long, level int, gone int, n long, u long, f long, weight int, slack int, open boolean, comp long, cost long")
+    lists = spark.createDataFrame([(*r, own[r[0]]) for r in rows if r[0] in whole and own[r[0]]], "sig long, class long, level int, gone int, n long, u long, f long, weight int, slack int, parity array<long>, open boolean, comp long, cost long")
     assert want <= {(r.a, r.b) for r in jaccard._candidates(lists).collect()}
 
 
