@@ -9,9 +9,12 @@ reranked by their original vectors' cosine in double precision. There is no cap
 
 A pair at the threshold shares a substring with probability ``RECALL`` at least; closer pairs do more often.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-vectors of other lengths than the most common one; equal rows are linked with one another; a component is named by
-its smallest vec_id, null ids last; an empty table gives no row.
+Vectors are scaled by their largest component before anything is multiplied. Lengths (numbers of components) are taken
+one after the other; vectors of different lengths have no cosine and don't link.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; equal
+rows are linked with one another; a component is named by its smallest vec_id, null ids last; an empty table gives no
+row.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm._common import written
 from factloom.llm.components import components
 
-SAMPLE, RECALL, TURNS, SEED = 20_000, 0.93, 40, 11
+SAMPLE, RECALL, TURNS, SEED, LONG = 20_000, 0.93, 40, 11, 2048
 
 
 def rotations(x: np.ndarray, many: int) -> np.ndarray:
     """Projections (many, length, bits). Vectors aren't centred: the threshold is on the angle at the origin, which signs keep."""
-    x = x / np.linalg.norm(x, axis=1)[:, None]
-    p = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : min(64, x.shape[1])]
-    v, rng, out = x @ p, np.random.default_rng(SEED), []
+    x, rng, out = x / np.linalg.norm(x, axis=1)[:, None], np.random.default_rng(SEED), []
+    # Very long vectors are projected at random first: their principal directions would need a matrix of their length squared.
+    p = np.linalg.qr(rng.standard_normal((x.shape[1], 64)))[0] if x.shape[1] > LONG else np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : min(64, x.shape[1])]
+    v = x @ p
     for _ in range(many):
         r = np.linalg.qr(rng.standard_normal((p.shape[1], p.shape[1])))[0]
         for _ in range(TURNS):
@@ -43,7 +47,9 @@ def rotations(x: np.ndarray, many: int) -> np.ndarray:
 
 
 def _vectors(column: pa.Array, n: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
+    """Rows of ``n`` components, scaled so that products neither overflow nor vanish; the angle stays."""
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
+    return x / np.abs(x).max(1, keepdims=True)
 
 
 def links(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9):
@@ -52,22 +58,25 @@ def links(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     rows = docs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(fine, F.col("v"))).withColumn("class", F.when(fine, F.xxhash64("v")))
-    size = rows.filter("class is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    n = size.n if size else 0
-    rows = rows.withColumn("class", F.when(F.size("v") == n, F.col("class")))
     known = written(rows.filter("class is not null").groupBy("class").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("size"), F.min("id").alias("rep")))
-    total = known.count()
-    ids = rows.select("id", "class")
-    if total < 2:
-        return ids, known.select("class", "size", "rep"), spark.createDataFrame([], "a long, b long")
+    found = spark.createDataFrame([], "a long, b long")
+    narrow = "array<float>" if docs.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    for r in known.groupBy(F.size("v").alias("n")).count().filter("count > 1").orderBy("n").collect():  # the lengths, usually one
+        found = found.unionByName(_links(known.filter(F.size("v") == r["n"]), r["n"], r["count"], narrow, threshold))
+    return rows.select("id", "class"), known.select("class", "size", "rep"), found
+
 
-    bits = min(24, max(8, round(math.log2(total))))
+def _links(known: DataFrame, n: int, total: int, narrow: str, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes (class, v) of ``n`` components with cosine >= threshold."""
+    spark = known.sparkSession
     differ = math.acos(threshold) / math.pi
     code = min(64, n)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** min(bits, code)))
+    bits = min(code, max(8, round(math.log2(total))))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** bits))
     per = max(1, code // bits)
     sample = known.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("v").toPandas()
-    planes = rotations(np.stack(sample["v"].to_numpy()), math.ceil(tables / per))
+    x = np.stack(sample["v"].to_numpy())
+    planes = rotations(x / np.abs(x).max(1, keepdims=True), math.ceil(tables / per))
     sent = spark.sparkContext.broadcast(planes)
     first = min(3, len(planes))
     most = int(first * code * differ + 4 * math.sqrt(first * code * differ * (1 - differ)))
@@ -81,7 +90,7 @@ def links(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             for t in range(tables):
                 at = (t // per) * code + (t % per) * bits
                 own = sign[:, at : min(at + bits, (t // per + 1) * code)]
-                key = (np.int64(t) << 32) + own @ (1 << np.arange(own.shape[1], dtype=np.int64))
+                key = (np.int64(t) << 40) + own @ (1 << np.arange(own.shape[1], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), *map(pa.array, words)], ["key", "class", "w0", "w1", "w2"])
 
     keys = known.select("class", "v").mapInArrow(run, "key long, class long, w0 long, w1 long, w2 long")
@@ -95,9 +104,9 @@ def links(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             keep = pa.array(cos >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    v = known.select("class", F.col("v").cast("array<float>" if docs.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>").alias("v"))
+    v = known.select("class", F.col("v").cast(narrow).alias("v"))
     pairs = near.join(v.selectExpr("class a", "v va"), "a").join(v.selectExpr("class b", "v vb"), "b").select("a", "b", "va", "vb")
-    return ids, known.select("class", "size", "rep"), written(pairs.mapInArrow(rerank, "a long, b long"))
+    return written(pairs.mapInArrow(rerank, "a long, b long"))
 
 
 def dedup(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:

@@ -32,8 +32,12 @@ def _letters() -> np.ndarray:
     return _LUT["a"]
 
 
+#: Characters of a text that are counted at once.
+SLICE = 1 << 20
+
+
 def grams(text: str) -> np.ndarray:
-    """All n-grams of one to three characters, as code points packed in 21 bits each; none if the text has no letter."""
+    """All n-grams of one to three characters of a text of usual length, as code points packed in 21 bits each; none if the text has no letter."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     c = np.where(_letters()[c], c, 32)
     gap = c == 32
@@ -44,9 +48,32 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([c[c != 32], two, two[:-1] << 21 | c[2:]])
 
 
+def counted(texts) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of texts and how often each occurs; long texts are cut between words, or within one of over ``SLICE`` characters."""
+    g, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def add():
+        nonlocal g, n, held, size
+        own, k = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+        all_, at = np.unique(np.concatenate([g, own]), return_inverse=True)
+        g, n, held, size = all_, np.bincount(at, np.concatenate([n, k]), len(all_)).astype(np.int64), [], 0
+
+    for text in texts:
+        at = 0
+        while at < len(text) or at == 0:
+            end = len(text) if len(text) - at <= SLICE else max(text.rfind(" ", at, at + SLICE), at + 1) if " " in text[at + 1 : at + SLICE] else at + SLICE
+            held.append(grams(text[at:end]))
+            size, at = size + end - at, max(end, at + 1)
+            if size >= SLICE:
+                add()
+    add()
+    return g, n
+
+
 def profile(text: str) -> np.ndarray:
     """The most frequent n-grams of a text, in order."""
-    g, n = np.unique(grams(text), return_counts=True)
+    g, n = np.unique(grams(text), return_counts=True) if len(text) <= SLICE else counted([text])
     return g[np.lexsort((g, -n))[:PROFILE]]
 
 
@@ -58,17 +85,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         for batch in batches:
             by: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = by.setdefault(lang, [])
-                own.append(grams(text))
-                if len(own) >= 512:
-                    total.setdefault(lang, []).append(np.unique(np.concatenate(own), return_counts=True))
-                    own.clear()
-            for lang, own in by.items():
-                total.setdefault(lang, [])
-                if own:
-                    total[lang].append(np.unique(np.concatenate(own), return_counts=True))
-                g, at = np.unique(np.concatenate([x[0] for x in total[lang]] or [np.zeros(0, np.int64)]), return_inverse=True)
-                total[lang] = [(g, np.bincount(at, np.concatenate([x[1] for x in total[lang]] or [np.zeros(0)]), len(g)).astype(np.int64))]
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                own = [*total.get(lang, []), counted(texts)]
+                g, at = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+                total[lang] = [(g, np.bincount(at, np.concatenate([x[1] for x in own]), len(g)).astype(np.int64))]
         for lang, [(g, n)] in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
 

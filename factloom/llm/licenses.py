@@ -15,7 +15,7 @@ priority and length are taken from the left; an empty table gives no row.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +143,17 @@ def detect(text: str) -> tuple[list[tuple[int, int, str, float]], list[tuple[int
     for i, label, gates, pattern, weight in _RULES:
         if all(any(known[g] if g in known else known.setdefault(g, g in line) for g in own) for own in gates):
             found += [(i, m.start() - m.end(), m.start(), m.end(), label, weight) for m in pattern.finditer(line)]
+    # Intervals taken that lie in no other one: starts and ends both rise, so one lookup tells whether an interval lies in any.
     kept: list[tuple] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for _, _, a, z, label, weight in sorted(found):
-        if not any(k[0] <= a and z <= k[1] for k in kept):
-            kept.append((a, z, label, weight))
+        i = bisect_right(starts, a)
+        if i and ends[i - 1] >= z:
+            continue
+        kept.append((a, z, label, weight))
+        lo, hi = bisect_left(starts, a), bisect_right(ends, z)
+        starts[lo:hi], ends[lo:hi] = [a], [z]
     return [(word(a), word(z + 1), label, weight) for a, z, label, weight in sorted(kept)], base
 
 

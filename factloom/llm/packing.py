@@ -9,13 +9,14 @@ by falling score while they fit; the best neighbour that doesn't fit is cut to f
 it stays in the pool (with the postings of the whole tail). An unfilled last window goes on to the next shard;
 one window a partition at most is padded.
 
-Defined results: null text is empty and has one id; repeated rows are documents of their own, so each id lies in
+Defined results: null text is empty and has one id; a special token's string is that token, wherever it stands; repeated rows are documents of their own, so each id lies in
 exactly one piece per row; ties go to the smaller (signature, doc_id, row checksum); an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -37,7 +38,7 @@ _STATE: dict = {}
 
 
 class Encoder:
-    """Ids of texts as bytes of unsigned 16-bit integers; special tokens' strings are ordinary text.
+    """Ids of texts as bytes of unsigned 16-bit integers. Strings of the vocabulary's added tokens are those tokens.
 
     Ids of a text are those of its pieces between spaces: before a space that follows another character a token
     always ends. Only runs of white space need more care; such texts are cut where one space stands alone.
@@ -46,7 +47,7 @@ class Encoder:
     _alone = re.compile(r"(?<=\S) (?=\S)")
     _run = re.compile(r" \s")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -65,18 +66,24 @@ class Encoder:
                 return ids
 
         self.cache = Cache()
+        self.added = {k: np.array([v], np.uint16).tobytes() for k, v in (added or {}).items()}
+        self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __call__(self, text: str) -> np.ndarray:
+        parts = self.mark.split(text) if self.mark and self.mark.search(text) else [text]
+        return np.frombuffer(b"".join(self.added[p] if i % 2 else self._plain(p) for i, p in enumerate(parts)) + b"\0\0", np.uint16)
+
+    def _plain(self, text: str) -> bytes:
         words = self._alone.split(text) if self._run.search(text) else text.split(" ")
         get = self.cache.__getitem__
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        return np.frombuffer(np.array(self.encode(words[0]), np.uint16).tobytes() + b"".join(map(get, words[1:])) + b"\0\0", np.uint16)
+        return np.array(self.encode(words[0]), np.uint16).tobytes() + b"".join(map(get, words[1:]))
 
 
 def _encoder(path: str) -> Encoder:
     if path not in _STATE:
-        _STATE[path] = Encoder(path)
+        _STATE[path] = Encoder(path, added_tokens())
     return _STATE[path]
 
 
@@ -87,6 +94,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """Strings that the vocabulary keeps as tokens of their own, by ``byte_bpe_50k.json``."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 

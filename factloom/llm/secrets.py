@@ -98,7 +98,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
         F.filter(_gated((F.contains(c, F.lit(":")) | F.contains(c, F.lit("="))) & c.rlike(ASSIGN), _matches("_t", ASSIGN)), lambda m: F.length(F.regexp_replace(m["s"], ASSIGN_KEY, "")) >= 6).alias("_assign"),
         F.filter(_gated(F.contains(c, F.lit("AKIA")), _matches("_t", ACCESS)), lambda m: F.length(m["s"]) >= 20).alias("_access"),
         _gated(c.rlike(HEX), _matches("_t", HEX)).alias("_hex"),
-        F.filter(_gated(c.rlike(CANDIDATE), _matches("_t", CANDIDATE)), lambda m: m["s"].rlike("[0-9]") & ~m["s"].rlike(allow)).alias("_candidate"),
+        F.filter(_gated(c.rlike(CANDIDATE), _matches("_t", CANDIDATE)), lambda m: ~m["s"].rlike(allow)).alias("_candidate"),
     )
     of = lambda col, kind: F.transform(F.col(col), lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["stop"].alias("stop")))
     t = t.withColumn("_base", F.sort_array(F.concat(of("_assign", 0), of("_access", 1), of("_hex", 2))))
@@ -115,20 +115,22 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with its columns, every span replaced by ``mask``; overlapping spans are one. n_chars, where present, follows the text."""
-    found = scan(docs, id_col, text_col, keep=tuple(c for c in docs.columns if c != id_col))
+    """``docs`` with its columns, whatever their names, every span replaced by ``mask``; overlapping spans are one. n_chars, where present, follows the text."""
+    found = scan(docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")), "row", "text", keep=("text",))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        out = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.col(text_col).substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit("")))
+        out = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
     done = F.aggregate("spans", start, step)
-    text = F.when(F.size("spans") > 0, F.concat(done["out"], F.col(text_col).substr(done["at"] + 1, F.length(text_col)))).otherwise(F.col(text_col))
-    out = found.withColumn("_new", text)
+    hit = F.size("spans") > 0
+    found = found.withColumn("done", F.when(hit, F.concat(done["out"], F.col("text").substr(done["at"] + 1, F.length("text")))).otherwise(F.col("text")))
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    own[text_col] = F.col("done")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn(text_col, F.col("_new")).select(docs.columns)
+        own["n_chars"] = F.when(hit, F.length("done").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return found.select(*(v.alias(c) for c, v in own.items()))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

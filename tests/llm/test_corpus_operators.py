@@ -60,7 +60,9 @@ def test_packing_round_trip(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    more = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n\n x", "<|endoftext"]
+    rows = rows + [(1000 + i, x, 0.5) for i, x in enumerate(more)]
+    docs = spark.createDataFrame(rows, SCHEMA)
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x, _ in rows}
     seen, ends = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(docs).collect():
@@ -74,6 +76,22 @@ def test_packing_round_trip(spark, docs, rows, none):
         assert [o for o, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1] and sum(n for _, n in own) <= 1024
     assert sum(sum(n for _, n in own) < 1024 for own in ends.values()) <= 1
     assert packing.pack(none).count() == 0
+    assert want[1000] == [64, 220, 50256, 275, 0]
+
+
+def test_bm25_order():
+    """Scores of a shard's index equal the formula, word by word."""
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint16) for _ in range(20)]
+    idf, mean = rng.random(1 << 16) + 0.1, 30.0
+    index = packing._Index(pieces, idf, mean)
+    for i in range(20):
+        want = np.zeros(20)
+        for j, p in enumerate(pieces):
+            for t in set(pieces[i].tolist()):
+                tf = int((p == t).sum())
+                want[j] += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(p) / mean)) if tf else 0
+        assert np.allclose(index.scores(i), want)
 
 
 def test_language(spark, none):
@@ -84,10 +102,46 @@ def test_language(spark, none):
     p = language.learn(train)
     got = sorted((x.doc_id, x.lang_pred) for x in language.predict(test, p).collect())
     assert got == [(1, "a"), (1, "a"), (2, "b"), (3, "und"), (4, "und"), (5, "und")]
+    clash = test.withColumn("lang_pred", F.lit("b")).withColumn("lang", F.lit("b")).withColumn("score", F.lit(9.0))
+    assert sorted((x.doc_id, x.lang_pred) for x in language.predict(clash, p).collect()) == got
     assert language.predict(none, p).count() == 0
     assert {x.lang_pred for x in language.predict(test, language.learn(train.limit(0))).collect()} == {"und"}
 
 
+def test_language_against_brute_force():
+    """Profiles and out-of-place distances, counted one by one; long texts are counted in slices."""
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("aäbcdeü") for _ in range(r.randint(1, 6))) for _ in range(80)) for _ in range(6)]
+
+    def ranked(text):
+        t = re.sub(r"[^\w]|[\d_]", " ", text.lower())
+        t = " " + " ".join(t.split()) + " "
+        n = collections.Counter(t[i : i + k] for k in (1, 2, 3) for i in range(len(t) - k + 1) if k > 1 or t[i] != " ")
+        order = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return sorted(n, key=lambda g: (-n[g], order(g)))[: language.PROFILE]
+
+    row = collections.namedtuple("row", "lang gram rank")
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    known = {k: ranked(texts[i]) for i, k in enumerate("xyz")}
+    p = language.Profiles([row(k, number(g), i + 1) for k, own in known.items() for i, g in enumerate(own)])
+    for t in texts:
+        own = ranked(t)
+        far = {k: sum(abs(i - ranks.index(g)) if g in ranks else language.PROFILE for i, g in enumerate(own)) / (language.PROFILE * len(own)) for k, ranks in known.items()}
+        lang, score = p.predict(t)
+        best = min(far, key=lambda k: (far[k], k))
+        assert lang == best and abs(score - 1 / sum(np.exp(-language.SHARP * (v - far[best])) for v in far.values())) < 1e-9
+    long = " ".join(texts * 500)
+    assert len(long) > 2 * language.SLICE / 3
+    g, n = np.unique(language.grams(long), return_counts=True)
+    old, language.SLICE = language.SLICE, 1 << 16
+    try:
+        g2, n2 = language.counted([long])
+    finally:
+        language.SLICE = old
+    # A cut between words leaves out only the n-grams over that space.
+    assert set(g2) == set(g) and abs(n2.sum() - n.sum()) <= 4 * (len(long) // (1 << 16) + 1)
+
+
 def test_toxicity_tolerates_gaps(spark, docs, none):
     r = random.Random(5)
     plain = ["".join(r.choice(["th", "er", "an", "on", "re", "st", "ing", "ou"]) for _ in range(3)) for _ in range(3000)] + ["there", "station", "onward", "other", "thing"] * 40
@@ -272,14 +326,15 @@ def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
     x = np.vstack([base, base[:20] + 0.05 * rng.standard_normal((20, 16)), base[:3], base[:3]])
-    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0], 1)]
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(950, [1.0, 2.0], 1), (951, [1.0, 2.0], 1), (952, [1e200, 1e200], 1), (953, [1e200, 1.1e200], 1), (954, [3e-320, 4e-320], 1), (955, [-3.0, 4.0], 1), (900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0], 1)]
     got = {r.vec_id: r for r in embeddings.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.9
     true = near.sum() - len(x)
     found = sum(got[i].n_links for i in range(len(x)))
     assert 0.9 * true <= found <= true and all(got[i].n_links <= near[i].sum() - 1 for i in range(len(x)))
-    assert all(got[i].kept and got[i].n_links == 0 and got[i].component_id == i for i in range(900, 905))
+    assert all(got[i].kept and got[i].n_links == 0 and got[i].component_id == i for i in (*range(900, 905), 955))
+    assert [(got[i].n_links, got[i].component_id) for i in range(950, 955)] == [(4, 950)] * 5
     assert embeddings.dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
@@ -321,8 +376,9 @@ def test_blocks_of_a_large_benchmark(spark, docs, rows, monkeypatch):
 
 
 def by_hand(rows, length=100):
+    """Rows in their order, id (any that can be ordered) first."""
     seen, out = set(), {}
-    for i, t, _ in sorted(rows):
+    for i, t, _ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for j in range(len(b) - length + 1):
@@ -333,22 +389,46 @@ def by_hand(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffixes(spark, docs, rows, none, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    monkeypatch.setattr(suffixes, "SHARD", 2000)
+def test_suffixes(spark, docs, rows, none):
     got = {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in suffixes.removed(docs).collect()}
-    assert got == by_hand(rows)
+    assert got == by_hand(sorted(rows))
     assert suffixes.removed(none).count() == 0
 
 
+def test_suffixes_of_repeated_null_and_named_ids(spark):
+    """Rows without an id follow all others in the order of their texts' hashes; a row that repeats an id and a text isn't a second one; names are ordered as strings."""
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefgh ") for _ in range(150))
+    own = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    ids = [None, "b", "a", "c", None, "c", "d"]
+    texts = [own(300) + (line if i % 2 else own(150)) + own(120) for i in range(len(ids))]
+    rows = [*zip(ids, texts), ("d", texts[6]), ("a", texts[2]), (None, own(400))]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    tag = {x.text: x.h for x in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or "", tag[x[1]]))
+    want = by_hand([((i, t), t, 0) for i, t in order])
+    got = suffixes.removed(d).select("doc_id", "kept", "n_removed", "n_spans", "n_bytes").collect()
+    assert collections.Counter((x.doc_id, bytes(x.kept), x.n_removed, x.n_spans) for x in got) == collections.Counter((i, *want[i, t]) for i, t in rows)
+    assert sum(x.n_removed for x in got) >= 300
+
+
+def test_suffixes_of_hot_anchors(spark):
+    """A line in far more different contexts than an anchor may have in a chunk."""
+    r = random.Random(9)
+    own = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    line = own(110)
+    rows = [(i, own(60) + line + own(60), 0.5) for i in range(3 * suffixes.HOT)]
+    got = {x.doc_id: (bytes(x.kept), x.n_removed, x.n_spans) for x in suffixes.removed(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == by_hand(rows)
+
+
 def test_merged_transforms_sort_rotations():
     """The merge of shard transforms orders all rotations by their first symbols."""
     rng, shards, texts = random.Random(2), [], []
     for _ in range(3):
         t = np.array([rng.choice([1, 2]) for _ in range(50)] + [0], np.uint16)
         at = np.arange(len(t))
-        shards.append(suffixes._transform(t, np.roll(at, 1), np.roll(at, -1), 20))
+        shards.append(suffixes._transform(t, np.roll(at, 1), 20))
         texts.append(t)
     row, block = suffixes.merge(shards, 20)
     flat = [tuple(np.roll(t, -p)[:20]) for t, s in zip(texts, shards) for p in s[2]]
@@ -369,6 +449,9 @@ def test_secrets(spark, docs, none):
     red = {r.doc_id: r.text for r in secrets.redact(d).collect()}
     assert red[2] is None and red[3] == "" and "AKIA" not in red[0] and red[1] == texts[1] and "\ue000" in red[5]
     assert secrets.scan(none).count() == 0
+    clash = d.select("doc_id", F.lit(1).alias("spans"), "text", F.lit("keep").alias("_new"), F.lit(2).alias("row"), F.lit(7).alias("n_chars"))
+    red2 = {r.doc_id: r for r in secrets.redact(clash).collect()}
+    assert secrets.redact(clash).columns == clash.columns and all((r.spans, r._new, r.row) == (1, "keep", 2) and r.text == red[i] and r.n_chars == (len(r.text) if r.text != texts[i] else 7) for i, r in red2.items())
 
 
 @pytest.mark.parametrize("token", ["abcdefghijklmnopqrst", "aaaaaaaaaaaaaaaaaaaaab", "abab" * 9, "short"])
