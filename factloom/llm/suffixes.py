@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm._common import Scratch, mix, prefix_hash, span_hash, text_steps, written
 
 LENGTH, GRAM = 100, 40
-#: Windows of a chunk and of a shuffle group, bytes of a shard and of a merge, different windows of a chunk that make an anchor hot.
-CHUNK, GROUP, SHARD, MERGE, HOT = 1 << 19, 1_000_000, 1 << 18, 1 << 20, 256
+#: Windows of a chunk and of a shuffle group, bytes of a shard, a merge (whole anchors, so more for a large one) and a group of merges, different windows of a chunk that make an anchor hot.
+CHUNK, GROUP, SHARD, MERGE, MERGES, HOT = 1 << 17, 250_000, 1 << 15, 1 << 17, 1 << 21, 64
 _NULL_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 48) - 1)
 #: d is the document's place in its chunk, n the number of starts; a record without starts marks a hot anchor.
@@ -409,7 +409,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         met = scratch.written(_met(_packed(long, parts, length), length))
         texts = scratch.written(_texts(long, met.filter("kind > 0").select("kind", "doc", "tag", "anchor", "spans")))
         size = texts.filter("kind = 1").agg(F.sum(F.length("raw"))).first()[0] or 0
-        cuts = met.filter("kind = 0").select("doc", "tag", "spans").unionByName(_compared(texts.filter("kind = 1"), max(1, int(size) // (2 * MERGE)), length)).unionByName(_spread(texts.filter("kind = 2"), length))
+        cuts = met.filter("kind = 0").select("doc", "tag", "spans").unionByName(_compared(texts.filter("kind = 1"), max(1, int(size) // MERGES), length)).unionByName(_spread(texts.filter("kind = 2"), length))
         cuts = written(cuts)
     finally:
         scratch.drop()
