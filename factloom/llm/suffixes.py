@@ -78,7 +78,8 @@ def _windows(data: np.ndarray, off: np.ndarray, length: int):
     s, many = at[cut], np.diff(np.concatenate([cut, [len(at)]]))
     a = anchor[s]
     w = mix(span_hash(c, s, s + many + length - 1) + (a - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return doc[s], s - off[doc[s]], many, h[a], w
+    # Anchors are least hashes, so they are mixed again before they are dealt by their leading bits.
+    return doc[s], s - off[doc[s]], many, mix(h[a]), w
 
 
 def _news(*columns: np.ndarray) -> np.ndarray:
