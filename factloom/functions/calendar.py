@@ -102,37 +102,103 @@ def month_faults(months: DataFrame) -> DataFrame:
     return months.groupBy("bs_year").agg(F.count(F.lit(1)).alias("months"), F.sum("days").alias("days")).filter("months <> 12 or days not in (365, 366)")
 
 
+def bs_to_ad(months: DataFrame, dates: DataFrame, first_day) -> DataFrame:
+    """CAL-1, CAL-2: ``dates`` (bs_year, fy_month, day) with ad_date, from a table of month lengths; null outside it or beyond a month's end."""
+    starts = day_dimension(months, first_day).groupBy("bs_year", "fy_month").agg(F.min("ad_date").alias("_start"), F.max("day").alias("_days"))
+    j = dates.join(F.broadcast(starts), ["bs_year", "fy_month"], "left")
+    return j.withColumn("ad_date", F.when(F.col("day").between(1, F.col("_days")), F.date_add("_start", F.col("day") - 1))).drop("_start", "_days")
+
+
+def ad_to_bs(days: DataFrame, dates: DataFrame, ad: str = "ad_date") -> DataFrame:
+    """CAL-1, CAL-4: ``dates`` with bs_year, fy_month, day and the start of the fiscal year; null outside the day dimension."""
+    d = days.select(F.col("ad_date").alias(ad), "bs_year", "fy_month", "day", "fy_start")
+    return dates.join(F.broadcast(d), ad, "left")
+
+
+def current_fiscal_year(days: DataFrame, now) -> DataFrame:
+    """CAL-4: (fy_start, label) of the fiscal year of a given day; the clock is a parameter."""
+    return days.filter(F.col("ad_date") == F.lit(now).cast("date")).select("fy_start", label_bs(F.col("fy_start")).alias("label"))
+
+
+def ordinal_fault(kind: Column, ordinal: Column) -> Column:
+    """CAL-6: why a period has no bounds, else null."""
+    most = F.when(kind.isin("monthly", "year_to_date"), 12).when(kind == "quarterly", 4)
+    return (
+        F.when(kind.isin("daily", "seasonal"), F.concat(F.lit("type: "), kind, F.lit(" has no bounds by fiscal year")))
+        .when(most.isNotNull() & ~F.coalesce(ordinal.between(1, most), F.lit(False)), F.concat(F.lit("ordinal: "), kind, F.lit(" requires 1.."), most.cast("string")))
+        .when(~F.coalesce(kind.isin("monthly", "quarterly", "annual", "nine_months_cumulative", "year_to_date"), F.lit(False)), "type: unknown")
+    )
+
+
 def period_bounds(periods: DataFrame, days: DataFrame) -> DataFrame:
-    """CAL-6: Gregorian start and end of periods (type, fy_start, ordinal), by joins with the first and last month's days."""
-    first = F.when(F.col("type") == "monthly", F.col("ordinal")).when(F.col("type") == "quarterly", F.col("ordinal") * 3 - 2).otherwise(1)
-    last = F.when(F.col("type") == "monthly", F.col("ordinal")).when(F.col("type") == "quarterly", F.col("ordinal") * 3).when(F.col("type") == "nine_months_cumulative", 9).when(F.col("type") == "year_to_date", F.col("ordinal")).otherwise(12)
+    """CAL-6: Gregorian start and end of periods (type, fy_start, ordinal), their label, or the reason why there are none."""
+    t, o = F.col("type"), F.col("ordinal")
+    fault = ordinal_fault(t, o)
+    first = F.when(t == "monthly", o).when(t == "quarterly", o * 3 - 2).otherwise(1)
+    last = F.when(t == "monthly", o).when(t == "quarterly", o * 3).when(t == "nine_months_cumulative", 9).when(t == "year_to_date", o).otherwise(12)
     spans = days.groupBy("fy_start", "fy_month").agg(F.min("ad_date").alias("a"), F.max("ad_date").alias("z"))
-    p = periods.withColumn("_first", first).withColumn("_last", last)
+    p = periods.withColumn("reason", fault).withColumn("_first", F.when(fault.isNull(), first)).withColumn("_last", F.when(fault.isNull(), last))
     a = spans.select(F.col("fy_start"), F.col("fy_month").alias("_first"), F.col("a").alias("ad_start"))
     z = spans.select(F.col("fy_start"), F.col("fy_month").alias("_last"), F.col("z").alias("ad_end"))
-    return p.join(F.broadcast(a), ["fy_start", "_first"], "left").join(F.broadcast(z), ["fy_start", "_last"], "left").drop("_first", "_last")
+    return p.join(F.broadcast(a), ["fy_start", "_first"], "left").join(F.broadcast(z), ["fy_start", "_last"], "left").withColumn("label", F.when(fault.isNull(), label_bs_period(t, F.col("fy_start"), o))).drop("_first", "_last")
 
 
-def label_en(kind: Column, fy_start: Column, ordinal: Column) -> Column:
-    """CAL-11: English display label."""
-    name = F.element_at(F.array(*map(F.lit, MONTHS)), F.coalesce(ordinal, F.lit(1)))
-    year = F.when(ordinal <= 9, fy_start).otherwise(fy_start + 1)
+def _month(names, ordinal: Column) -> Column:
+    return F.try_element_at(F.array(*map(F.lit, names)), F.coalesce(ordinal, F.lit(1)))
+
+
+def _month_year(fy_start: Column, ordinal: Column) -> Column:
+    return F.when(ordinal <= 9, fy_start).otherwise(fy_start + 1).cast("string")
+
+
+def label_bs_period(kind: Column, fy_start: Column, ordinal: Column) -> Column:
+    """CAL-6: the label of a period's bounds."""
+    fy = F.concat(F.lit("FY "), label_bs(fy_start))
     return (
-        F.when(kind == "nine_months_cumulative", F.concat(F.lit("FY "), label_bs(fy_start), F.lit(" 9M (Shrawan–Chait)")))
-        .when(kind == "monthly", F.concat(name, F.lit(" "), year.cast("string")))
-        .when(kind == "quarterly", F.concat(F.lit("FY "), label_bs(fy_start), F.lit(" Q"), ordinal.cast("string")))
-        .otherwise(F.concat(F.lit("FY "), label_bs(fy_start)))
+        F.when(kind == "monthly", F.concat(_month(MONTHS, ordinal), F.lit(" "), _month_year(fy_start, ordinal)))
+        .when(kind == "quarterly", F.concat(F.lit("Q"), ordinal.cast("string"), F.lit(" "), fy))
+        .when(kind == "nine_months_cumulative", F.concat(fy, F.lit(" 9M")))
+        .when(kind == "year_to_date", F.concat(fy, F.lit(" YTD "), _month(MONTHS, ordinal)))
+        .otherwise(fy)
     )
 
 
+def label_en(kind: Column, fy_start: Column, ordinal: Column) -> Column:
+    """CAL-11: English display label."""
+    own = label_bs_period(kind, fy_start, ordinal)
+    return F.when(kind == "nine_months_cumulative", F.concat(own, F.lit(" (Shrawan–Chait)"))).otherwise(own)
+
+
 def label_ne(kind: Column, fy_start: Column, ordinal: Column) -> Column:
     """CAL-11: Nepali display label."""
-    name = F.element_at(F.array(*map(F.lit, MONTHS_NE)), F.coalesce(ordinal, F.lit(1)))
-    year = F.when(ordinal <= 9, fy_start).otherwise(fy_start + 1)
     fy = F.concat(F.lit("आ.व. "), label_bs(fy_start))
-    return F.when(kind == "nine_months_cumulative", F.concat(fy, F.lit(" ९M (साउन–चैत)"))).when(kind == "monthly", F.concat(name, F.lit(" "), year.cast("string"))).otherwise(fy)
+    return F.when(kind == "nine_months_cumulative", F.concat(fy, F.lit(" ९M (साउन–चैत)"))).when(kind == "monthly", F.concat(_month(MONTHS_NE, ordinal), F.lit(" "), _month_year(fy_start, ordinal))).otherwise(fy)
+
+
+def chart_axis(kind: Column, fy_start: Column, ordinal: Column) -> Column:
+    """CAL-11: Chait '82 for a month, else the fiscal year."""
+    return F.when(kind == "monthly", F.concat(_month(MONTHS, ordinal), F.lit(" '"), F.right(_month_year(fy_start, ordinal), F.lit(2)))).otherwise(F.concat(F.lit("FY "), label_bs(fy_start)))
+
+
+def table_header(kind: Column, fy_start: Column, ordinal: Column) -> Column:
+    """CAL-11: the fiscal year, with the name of a month."""
+    return F.concat_ws(" ", F.lit("FY"), label_bs(fy_start), F.when(kind == "monthly", _month(MONTHS, ordinal)))
 
 
 def ledger_line(kind: Column, fy_start: Column, ordinal: Column) -> Column:
     """CAL-11, LED-3."""
     return F.concat(F.lit("Period: "), label_en(kind, fy_start, ordinal), F.lit("."))
+
+
+def ledger_entry(published: Column, bs_year: Column, fy_month: Column, day: Column, kind: Column, fy_start: Column, ordinal: Column) -> Column:
+    """LED-3: when a value was published in both calendars, then its period."""
+    when = F.concat(F.lit("Published: "), _month(MONTHS, fy_month), F.lit(" "), day.cast("string"), F.lit(", "), bs_year.cast("string"), F.lit(" BS ("), F.date_format(published, "MMM d, yyyy"), F.lit(" AD). "))
+    return F.concat(when, ledger_line(kind, fy_start, ordinal))
+
+
+def claim_label(kind: Column, label: Column) -> Column:
+    """LED-1: the period as a claim names it; a label that can't be parsed stays as it is, a month is said by its middle."""
+    p = parse_period(label)
+    shown = F.when(kind == "monthly", label_bs_period(p["type"], p["fy_start"], p["ordinal"])).otherwise(label_en(p["type"], p["fy_start"], p["ordinal"]))
+    shown = F.when(p["type"].isNotNull(), shown).otherwise(label)
+    return F.when(kind == "monthly", F.concat(F.lit("Mid-"), shown)).otherwise(shown)

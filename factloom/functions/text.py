@@ -106,13 +106,13 @@ def file_name(c: Column) -> Column:
 
 
 def is_source_id(c: Column) -> Column:
-    """STR-10."""
-    return c.rlike("^[a-z0-9][a-z0-9_-]*$")
+    """STR-10: three or more of a-z, 0-9 and hyphen, not starting with a hyphen."""
+    return c.rlike("^[a-z0-9-]{3,}$") & ~c.startswith("-")
 
 
-def is_iso_date(c: Column) -> Column:
-    """STR-10."""
-    return c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+def is_iso_timestamp(c: Column) -> Column:
+    """STR-10: starts as an ISO timestamp does, up to its T."""
+    return F.substring(c, 1, 11).rlike("^[0-9]{4}(?:-[0-9]{2}){2}T$")
 
 
 def page_urls(url: Column, cap: int) -> Column:
@@ -161,8 +161,34 @@ def is_provisional(c: Column) -> Column:
     return c.rlike("(?i)preliminary|provisional")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, a row of the table at a time."""
+#: Longest string whose matches fit the bits of a bigint.
+LCS_BITS = 62
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """Longest common subsequence of strings of which ``a`` has ``LCS_BITS`` characters at most.
+
+    Bit i of a state is 0 where the row of the table steps up at character i of ``a``; one addition carries a whole row.
+    """
+    letters = F.split(a, "")
+    places = lambda ch: F.aggregate(F.sequence(F.lit(0), F.length(a) - 1), F.lit(0).cast("bigint"), lambda m, i: F.when(F.get(letters, i) == ch, m + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(m))
+    distinct = F.array_distinct(letters)
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(a)) - 1
+    # Bound once by ``transform``, so that the masks aren't computed again for each character of b.
+    own = F.array(F.struct(F.map_from_arrays(distinct, F.transform(distinct, places)).alias("masks"), full.alias("full")))
+
+    def run(o):
+        def step(v, ch):
+            hit = v.bitwiseAND(F.coalesce(F.try_element_at(o["masks"], ch), F.lit(0).cast("bigint")))
+            return (v + hit).bitwiseOR(v - hit).bitwiseAND(o["full"])
+
+        return F.aggregate(F.split(b, ""), o["full"], step)
+
+    return F.length(a) - F.bit_count(F.element_at(F.transform(own, run), 1))
+
+
+def _lcs_rows(a: Column, b: Column) -> Column:
+    """The same for strings of any length, a row of the table at a time."""
     letters = F.split(a, "")
     first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
@@ -173,7 +199,13 @@ def lcs_length(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
 
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(letters, first, row), -1))
+    return F.element_at(F.aggregate(letters, first, row), -1)
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    n, m = F.length(a), F.length(b)
+    return F.when((n == 0) | (m == 0), F.lit(0)).when(n <= LCS_BITS, _lcs_bits(a, b)).when(m <= LCS_BITS, _lcs_bits(b, a)).otherwise(_lcs_rows(a, b))
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

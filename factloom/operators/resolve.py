@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from factloom.functions.text import fuzzy_ratio
+from factloom.functions.text import fuzzy_ratio, is_devanagari_dominant, normalize_devanagari
 from factloom.operators.quality import match_tier
 
 #: Rows of a dimension that is sent to every task; a larger one is joined by shuffle on its block.
@@ -17,25 +17,49 @@ def overridden(names: DataFrame, overrides: DataFrame, name: str = "name") -> Da
     return names.join(F.broadcast(o), name, "left").withColumn("query", F.coalesce("canonical", name)).drop("canonical")
 
 
-def fuzzy_best(queries: DataFrame, dimension: DataFrame, block: str, least: float = 70.0) -> DataFrame:
-    """JN-4, JN-5: each distinct (query, block) with the best canonical row (dim_idx, canonical) of its block, case aside; of all rows where the block has none.
+def fuzzy_best(queries: DataFrame, dimension: DataFrame, block: str, least: float = 70.0, script: str | None = None) -> DataFrame:
+    """JN-4, JN-5: each distinct (query, block) with the best canonical row (dim_idx, canonical) of its block, case of the block aside.
 
-    The score is the normalised Indel similarity; the first best by dim_idx wins; below ``least`` there is no match.
-    Pairs whose lengths alone rule the threshold out are not scored.
+    A query without a block, or with one that the dimension hasn't, is held against all rows; ``script`` is a column of
+    both sides that has to agree in any case. The score is the normalised Indel similarity; the first best by dim_idx
+    wins; below ``least`` there is no match. Pairs whose lengths alone rule the threshold out are not scored.
     """
-    q = queries.select("query", F.lower(block).alias("b")).distinct()
-    d = dimension.select("dim_idx", "canonical", F.lower(block).alias("b"))
-    small = dimension.count() <= MAX_BROADCAST
+    kind = F.col(script) if script else F.lit("")
+    q = queries.select("query", F.nullif(F.lower(F.trim(block)), F.lit("")).alias("b"), kind.alias("s")).distinct()
+    d = dimension.select("dim_idx", "canonical", F.lower(F.trim(block)).alias("b"), kind.alias("s"))
+    rows = dimension.count()
+    small = rows <= MAX_BROADCAST
     send = F.broadcast if small else (lambda x: x)
     known = d.select("b").distinct()
-    inside = q.join(send(known), "b", "left_semi").join(send(d), "b")
-    outside = q.join(send(known), "b", "left_anti").withColumn("all", F.lit(1)).join(send(d.drop("b").withColumn("all", F.lit(1))), "all").drop("all")
+    inside = q.join(send(known), "b", "left_semi").join(send(d), ["b", "s"])
+    # The others meet the dimension in blocks, so that a large one is spread over tasks.
+    parts = 1 if small else -(-rows // 1000)
+    outside = q.join(send(known), "b", "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    outside = outside.join(send(d.drop("b").withColumn("part", F.pmod(F.xxhash64("dim_idx"), F.lit(parts)).cast("int"))), ["part", "s"]).drop("part")
     pairs = inside.unionByName(outside.select(inside.columns)).filter("length(query) > 0")
     n, m = F.length("query"), F.length("canonical")
-    pairs = pairs.filter(F.least(n, m) * 200 >= least * (n + m)).withColumn("score", fuzzy_ratio(F.col("query"), F.col("canonical")))
-    best = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("query", "b").orderBy(F.desc("score"), "dim_idx"))).filter((F.col("rn") == 1) & (F.col("score") >= least))
-    out = q.join(best.select("query", "b", "canonical", "dim_idx", "score"), ["query", "b"], "left")
-    return out.withColumn("tier", match_tier(F.col("score")))
+    pairs = pairs.filter(F.least(n, m) * 200 >= least * (n + m)).withColumn("score", fuzzy_ratio(F.col("canonical"), F.col("query")))
+    best = pairs.filter(F.col("score") >= least).groupBy("query", "b", "s").agg(F.max_by(F.struct("canonical", "dim_idx", "score"), F.struct("score", -F.col("dim_idx"))).alias("best"))
+    best = best.select(F.col("query").alias("_q"), F.col("b").alias("_b"), F.col("s").alias("_s"), "best.*")
+    out = q.join(best, (q["query"] == best["_q"]) & q["b"].eqNullSafe(best["_b"]) & (q["s"] == best["_s"]), "left").drop("_q", "_b", "_s")
+    return out.withColumn("tier", match_tier(F.col("score"))).drop(*([] if script else ["s"]))
+
+
+def municipalities(names: DataFrame, dimension: DataFrame, least: float = 70.0, overrides: DataFrame | None = None, name: str = "name", district: str = "district") -> DataFrame:
+    """JN-4..6, STR-1, STR-19: ``names`` with federal_code, name_en, name_ne, local_level_type, district_en and score; nulls where none reaches ``least``.
+
+    Names are trimmed and normalised; one that is mostly Devanagari is held against the normalised Nepali names, any
+    other against the English ones, of its district or, if that is unknown or absent, of all. ``overrides``
+    (name, canonical) are applied first. dimension: dim_idx, federal_code, name_en, name_ne, local_level_type, district_en.
+    """
+    n = overridden(names, overrides, name) if overrides is not None else names.withColumn("query", F.col(name))
+    n = n.withColumn("query", normalize_devanagari(F.trim("query")))
+    n = n.withColumn("_script", F.when(is_devanagari_dominant(F.col("query")), "ne").otherwise("en")).withColumn("_block", F.nullif(F.lower(F.trim(F.col(district))), F.lit("")))
+    either = F.explode(F.array(F.struct(F.lit("en").alias("_script"), F.col("name_en").alias("canonical")), F.struct(F.lit("ne").alias("_script"), normalize_devanagari(F.col("name_ne")).alias("canonical"))))
+    d = dimension.select("dim_idx", F.col("district_en").alias("_block"), either.alias("e")).select("dim_idx", "_block", "e.*")
+    best = fuzzy_best(n.select("query", "_block", "_script"), d, "_block", least, "_script").select(F.col("query").alias("_q"), F.col("b").alias("_b"), F.col("s").alias("_s"), "dim_idx", "score")
+    j = n.join(best, (n["query"] == best["_q"]) & n["_block"].eqNullSafe(best["_b"]) & (n["_script"] == best["_s"]), "left").drop("_q", "_b", "_s", "_script", "_block", "query")
+    return j.join(dimension.select("dim_idx", "federal_code", "name_en", "name_ne", "local_level_type", "district_en"), "dim_idx", "left").drop("dim_idx")
 
 
 def resolved(facts: DataFrame, entities: DataFrame, key: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:

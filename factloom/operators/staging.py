@@ -1,4 +1,4 @@
-"""Staging rows, lineage records and small listings (PRJ-1..3, SNK-5, SNK-12, SNK-13, FLT-5, FLT-6, SRT-2, SRT-4, SRT-6, ARR-1, JSN-2)."""
+"""Staging rows, lineage records and small listings (PRJ-1..3, SNK-5, SNK-12, SNK-13, FLT-5, FLT-6, SRT-6, ARR-1, JSN-1, JSN-2)."""
 
 from __future__ import annotations
 
@@ -58,6 +58,12 @@ def capped(found: DataFrame, have: DataFrame, key, order, cap: int) -> DataFrame
     return found.join(have.select(*key), list(key), "left_anti").orderBy(*order).limit(cap)
 
 
+def drafts_json(drafts: DataFrame) -> DataFrame:
+    """JSN-1: each draft as a JSON object, times in ISO 8601 with their zone, null fields kept."""
+    own = F.struct(*drafts.columns)
+    return drafts.select(F.to_json(own, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssxxx", "dateFormat": "yyyy-MM-dd", "ignoreNullFields": "false"}).alias("draft"))
+
+
 def metadata(**fields: Column) -> Column:
     """JSN-2: an object of the fields; null ones are left out."""
     return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))

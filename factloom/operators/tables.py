@@ -1,4 +1,4 @@
-"""Keyed writes as joins (SNK-*), set computations (SET-*), lookups (FLT-4, FLT-5), limits (SRT-*)."""
+"""Keyed writes as joins (SNK-*), set computations (SET-*), lookups (FLT-4), registries (JN-8, JN-12, SRT-3, AGG-7), limits and orders (SRT-*)."""
 
 from __future__ import annotations
 
@@ -20,6 +20,24 @@ def insert_missing(batch: DataFrame, target: DataFrame, key, order=None) -> Data
     return rows.join(have, null_safe(rows, have, key), "left_anti")
 
 
+def insert_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
+    """SNK-2: (attempted, inserted, skipped) of ``insert_missing``."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(batch, "attempted").join(n(inserted, "inserted")).withColumn("skipped", F.col("attempted") - F.col("inserted"))
+
+
+def append(batch: DataFrame, path: str) -> None:
+    """SNK-1: rows are only ever added; the same batch again adds new rows."""
+    batch.write.mode("append").parquet(path)
+
+
+def checked_append(batch: DataFrame, path: str, faults: DataFrame) -> None:
+    """SNK-15: append unless the constraint table (violation, n) of the batch counts a fault, which fails the job."""
+    if bad := faults.filter("n > 0").first():
+        raise ValueError(f"constraint {bad.violation}: {bad.n} rows")
+    append(batch, path)
+
+
 def upsert(target: DataFrame, batch: DataFrame, key, columns, order=None) -> DataFrame:
     """SNK-3, SNK-4: target with the batch's ``columns`` where keys meet (last of a key wins), plus new keys; other columns stay."""
     rows = batch.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*(order or [F.desc(c) for c in columns])))).filter("_rn = 1")
@@ -33,6 +51,12 @@ def delete_keys(target: DataFrame, keys: DataFrame, key) -> DataFrame:
     return target.join(keys.select(*key).distinct(), list(key), "left_anti")
 
 
+def deleted(target: DataFrame, keys: DataFrame, key) -> DataFrame:
+    """SNK-7: every key asked for and what became of it: deleted, or NotFound."""
+    hit = target.select(*key, F.lit(True).alias("_hit")).distinct()
+    return keys.select(*key).distinct().join(hit, list(key), "left").select(*key, F.when(F.col("_hit"), "deleted").otherwise("NotFound").alias("result"))
+
+
 def set_where(target: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     """SNK-8."""
     return target.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
@@ -45,9 +69,11 @@ def promote(judged: DataFrame, columns) -> tuple[DataFrame, DataFrame]:
 
 
 def archive_status(batch: DataFrame, catalog: DataFrame, key: str = "key", digest: str = "hash") -> DataFrame:
-    """SNK-10: reuse, conflict or new for every object by key and content hash."""
-    c = catalog.select(key, F.col(digest).alias("_have")).distinct()
-    return batch.join(c, key, "left").withColumn("status", F.when(F.col("_have") == F.col(digest), "reuse").when(F.col("_have").isNotNull(), "conflict").otherwise("new")).drop("_have")
+    """SNK-10: reuse, conflict or new for every object by key and content hash; a key that has the hash in any entry is reused."""
+    keys = catalog.select(key, F.lit(True).alias("_key")).distinct()
+    same = catalog.select(key, digest, F.lit(True).alias("_same")).distinct()
+    j = batch.join(keys, key, "left").join(same, [key, digest], "left")
+    return j.withColumn("status", F.when(F.col("_same"), "reuse").when(F.col("_key"), "conflict").otherwise("new")).select(*batch.columns, "status")
 
 
 def lookup(keys: DataFrame, table: DataFrame, key) -> DataFrame:
@@ -65,9 +91,74 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
     return df.groupBy(*key).count().filter("count > 1")
 
 
-def missing(wanted: DataFrame, have: DataFrame, key) -> DataFrame:
-    """SET-2, JN-8."""
-    return wanted.select(*key).distinct().join(have.select(*key), list(key), "left_anti")
+def counts_by(df: DataFrame, *group: str) -> DataFrame:
+    """AGG-3."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sampled_with_rest(df: DataFrame, group, order, n: int) -> DataFrame:
+    """SRT-5: the first ``n`` rows of each group, with the number of rows left out."""
+    total = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
+    return top_per(df, group, order, n).join(total, list(group)).withColumn("suppressed", F.greatest(F.col("_total") - n, F.lit(0))).drop("_total")
+
+
+def trailing_list(approved: DataFrame, since: Column, day: str = "ad_end") -> DataFrame:
+    """SRT-2: approved values that end on a day or later, latest first."""
+    return approved.filter(F.col(day) >= since).orderBy(F.desc(day))
+
+
+def groups_by_size(df: DataFrame, group: str) -> DataFrame:
+    """SRT-4: groups, largest first, then by name."""
+    return counts_by(df, group).orderBy(F.desc("n"), group)
+
+
+def member(value: Column, vocabulary) -> Column:
+    """SET-3: whether a value is a word of a vocabulary, case and all; null is none."""
+    return F.coalesce(value.isin(*vocabulary), F.lit(False))
+
+
+def distinct_keys(df: DataFrame, *key: str) -> DataFrame:
+    """SET-1: the keys to look up, each once."""
+    return df.select(*key).filter(" and ".join(f"{k} is not null" for k in key)).distinct()
+
+
+def missing(wanted: DataFrame, have: DataFrame, key, mode: str | None = None) -> DataFrame:
+    """SET-2, JN-8: keys that ``have`` lacks; rows whose ``mode`` column is reference_only need none."""
+    need = wanted.filter(F.coalesce(F.col(mode) != "reference_only", F.lit(True))) if mode else wanted
+    return need.select(*key).distinct().join(have.select(*key), list(key), "left_anti")
+
+
+def registry_index(registry: DataFrame) -> DataFrame:
+    """SRT-3: sources by tier (those without one last, as Reference), then id."""
+    label = F.coalesce(F.concat(F.lit("Tier "), F.col("tier").cast("string")), F.lit("Reference"))
+    return registry.withColumn("tier_label", label).orderBy(F.asc_nulls_last("tier"), "source_id")
+
+
+def registry_gate(registry: DataFrame, profiles: DataFrame, stored: DataFrame) -> DataFrame:
+    """PIPE-10: (fault, subject) of a registry: repeated ids, sources without a profile, an index that isn't current."""
+    index = registry_index(registry).select(stored.columns)
+    twice = duplicate_keys(registry, ["source_id"]).select(F.lit("duplicate source_id").alias("fault"), F.col("source_id").alias("subject"))
+    lost = missing(registry, profiles, ["source_id"], "mode").select(F.lit("missing profile").alias("fault"), F.col("source_id").alias("subject"))
+    old = stale(stored, index).select(F.lit("stale index").alias("fault"), F.col("source_id").alias("subject")).distinct()
+    return twice.unionByName(lost).unionByName(old)
+
+
+def registry_status(registry: DataFrame, runs: DataFrame, facts: DataFrame) -> DataFrame:
+    """JN-12: registered sources with the last successful and failed run, the number of indicators and the lowest grade seen."""
+    r = runs.groupBy("source_id").agg(F.max(F.when(F.col("status") != "failure", F.col("at"))).alias("last_success"), F.max(F.when(F.col("status") == "failure", F.col("at"))).alias("last_failure"))
+    f = facts.groupBy("source_id").agg(F.countDistinct("indicator").alias("indicators"), F.max("grade").alias("grade"))
+    return registry.select("source_id").join(r, "source_id", "left").join(f, "source_id", "left").na.fill(0, ["indicators"])
+
+
+def manifest_counters(events: DataFrame, group: str, kinds) -> DataFrame:
+    """AGG-7: events by group, a column a kind, 0 where there is none."""
+    kinds = list(kinds)
+    return events.groupBy(group).agg(*(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
+
+
+def breadcrumb(most: int = 2048, **fields: Column) -> Column:
+    """AGG-11: the fields as JSON, of which the last ``most`` characters stay."""
+    return F.right(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))), F.lit(most))
 
 
 def stale(stored: DataFrame, computed: DataFrame) -> DataFrame:
@@ -75,6 +166,18 @@ def stale(stored: DataFrame, computed: DataFrame) -> DataFrame:
     return stored.exceptAll(computed).withColumn("side", F.lit("stored")).unionByName(computed.exceptAll(stored).withColumn("side", F.lit("computed")))
 
 
-def expected_count(df: DataFrame, n: int) -> DataFrame:
-    """AGG-9: (n, expected, ok)."""
-    return df.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(n).cast("long").alias("expected"), (F.col("n") == n).alias("ok"))
+def expected_count(df: DataFrame, n: int, split: dict[str, int] | None = None, by: str | None = None) -> DataFrame:
+    """AGG-9: (part, n, expected, ok) of the whole (part null) and, with a ``split`` by a column, of each part."""
+    whole = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("part"), "n", F.lit(n).cast("long").alias("expected"))
+    if split:
+        want = df.sparkSession.createDataFrame(list(split.items()), "part string, expected long")
+        own = df.groupBy(F.col(by).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        whole = whole.unionByName(want.join(own, "part", "full_outer").na.fill(0, ["n", "expected"]).select("part", "n", "expected"))
+    return whole.withColumn("ok", F.col("n") == F.col("expected"))
+
+
+def seeded(target: DataFrame, batch: DataFrame, key, columns, n: int, split: dict[str, int] | None = None, by: str | None = None) -> DataFrame:
+    """SNK-4, PIPE-9: ``upsert`` of a seed, refused unless it has exactly the expected rows."""
+    if bad := expected_count(batch, n, split, by).filter("not ok").first():
+        raise ValueError(f"expected {bad.expected} rows of {bad.part or 'the seed'}, got {bad.n}: refusing to seed")
+    return upsert(target, batch, key, columns)

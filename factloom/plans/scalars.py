@@ -20,13 +20,21 @@ def numerals(spark, sf_dir):
     return d.select("o_orderkey", X.numeral_script(F.col("s")).alias("script"), X.to_arabic(F.col("s")).alias("arabic"), X.to_devanagari(F.col("s")).alias("devanagari"), X.both_numerals(F.col("s"))["arabic"].alias("digits"))
 
 
-@query("str1_str2_devanagari", """WITH x AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'नगरपाललका ' || p_name WHEN 1 THEN 'गाउँपालिका वडा जिल्ला प्रदेश' ELSE p_name END AS s FROM part)
-SELECT p_partkey, CASE WHEN s LIKE '%पाललका%' THEN replace(s, 'पाललका', 'पालिका') ELSE s END AS fixed, length(regexp_replace(regexp_replace(s, '\\s', '', 'g'), '[^ऀ-॥॰-ॿ]', '', 'g')) AS own FROM x""")
+WRONG = ",".join(wrong for wrong, right in X.OCR_SUBSTITUTIONS)
+_FIXED = "concat(split_part('" + WRONG + "', ',', CAST(p_partkey % " + str(len(X.OCR_SUBSTITUTIONS)) + " + 1 AS INTEGER)), ' वडा')"
+_ORDERED = _FIXED
+for _wrong, _right in X.OCR_SUBSTITUTIONS:
+    _ORDERED = f"replace({_ORDERED}, '{_wrong}', '{_right}')"
+
+
+@query("str1_str2_devanagari", f"""WITH x AS (SELECT p_partkey, {_ORDERED} AS fixed, CASE p_size % 3 WHEN 0 THEN 'नगर१२३ ab' WHEN 1 THEN 'गाउँ abcd' ELSE p_name END AS s FROM part)
+SELECT p_partkey, fixed, length(regexp_replace(s, '[^ऀ-॥॰-ॿ]', '', 'g')) * 2 > length(regexp_replace(s, '\\s', '', 'g')) AS dominant FROM x""")
 def devanagari(spark, sf_dir):
+    """Every substitution's wrong text through the ordered list, and texts of two scripts around the half."""
     k = F.pmod("p_size", F.lit(3))
-    d = table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, F.concat(F.lit("नगरपाललका "), "p_name")).when(k == 1, "गाउँपालिका वडा जिल्ला प्रदेश").otherwise(F.col("p_name")).alias("s"))
-    own = F.length(F.regexp_replace(F.regexp_replace("s", r"\s", ""), "[^ऀ-॥॰-ॿ]", "")).cast("long")
-    return d.select("p_partkey", X.normalize_devanagari(F.col("s")).alias("fixed"), own.alias("own"))
+    wrong = F.split_part(F.lit(WRONG), F.lit(","), (F.pmod("p_partkey", F.lit(len(X.OCR_SUBSTITUTIONS))) + 1).cast("int"))
+    d = table(spark, sf_dir, "part").select("p_partkey", F.concat(wrong, F.lit(" वडा")).alias("w"), F.when(k == 0, "नगर१२३ ab").when(k == 1, "गाउँ abcd").otherwise(F.col("p_name")).alias("s"))
+    return d.select("p_partkey", X.normalize_devanagari(F.col("w")).alias("fixed"), X.is_devanagari_dominant(F.col("s")).alias("dominant"))
 
 
 @query("str6_str7_str8_str9_slugs", """SELECT p_partkey, trim(regexp_replace(lower(p_brand || '-' || p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(replace(p_type, ' ', '_') || '-2082-83-' || replace('nine_months', '_', '-')) AS claim,
@@ -42,9 +50,13 @@ def slugs(spark, sf_dir):
     )
 
 
-@query("str10_shapes", "SELECT o_orderkey, regexp_matches(o_orderpriority, '^[a-z0-9][a-z0-9_-]*$') AS id_ok, regexp_matches(CASE WHEN o_orderkey % 2 = 0 THEN '2024-01-02' ELSE '2024/1/2' END, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS date_ok FROM orders")
+@query("str10_shapes", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN FALSE ELSE regexp_matches(o_orderpriority, '^[a-z0-9][a-z0-9-]{2,}$') END AS id_ok,
+CASE o_orderkey % 3 WHEN 0 THEN TRUE ELSE FALSE END AS time_ok FROM orders""")
 def shapes(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.is_source_id(F.col("o_orderpriority")).alias("id_ok"), X.is_iso_date(F.when(F.col("o_orderkey") % 2 == 0, "2024-01-02").otherwise("2024/1/2")).alias("date_ok"))
+    k, t = F.pmod("o_orderkey", F.lit(5)), F.pmod("o_orderkey", F.lit(3))
+    name = F.when(k == 0, "nrb-bfi").when(k == 1, "ab").when(k == 2, "a_b_c").when(k == 3, "-abc").otherwise(F.col("o_orderpriority"))
+    at = F.when(t == 0, "2024-01-02T00:00:00Z").when(t == 1, "2024-01-02").otherwise("2024/01/02T00")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.is_source_id(name).alias("id_ok"), X.is_iso_timestamp(at).alias("time_ok"))
 
 
 @query("str11_page_urls", "SELECT page_id, n, CASE WHEN n = 1 THEN url WHEN contains(url, '?') THEN url || '&page=' || n ELSE url || '?page=' || n END AS page_url FROM pages, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS n) r")
@@ -58,9 +70,15 @@ def urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.absolute_url(u, F.lit("/a/b.pdf")).alias("rooted"), X.absolute_url(u, F.lit("b.pdf")).alias("relative"), X.category_id(F.concat(u, F.lit("/category/"), F.col("page_id").cast("string"), F.lit("/x"))).alias("category"))
 
 
-@query("str14_titles", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) <> '' OR regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) <> '' AS titled FROM pages")
+@query("str14_titles", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Head ' || page_id || ' & more' WHEN 1 THEN 'Class ' || page_id WHEN 2 THEN 'Title ' || page_id ELSE '' END AS name, 'item ' || page_id || CASE WHEN page_id % 4 = 1 THEN ' Doc' ELSE '' END AS near FROM pages""")
 def titles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (X.category_name(F.col("html")) != "").alias("titled"))
+    """STR-14 and STR-15 over made-up pages of all ids: names in three places and none, and the text around a link."""
+    from factloom.sources.readers import container_text
+
+    k, i = F.pmod("page_id", F.lit(4)), F.col("page_id").cast("string")
+    head = F.when(k == 0, F.concat(F.lit("<h1 id='x'>Head <b>"), i, F.lit("</b> &amp; more</h1><title>no</title>"))).when(k == 1, F.concat(F.lit('<h1> </h1><div class="a page-title b">Class '), i, F.lit("</div>"))).when(k == 2, F.concat(F.lit("<title>\n Title  "), i, F.lit("</title>"))).otherwise("<p>none</p>")
+    body = F.concat(F.lit("<ul><li>other <a href='o.pdf'>o</a></li><li>item "), i, F.lit(" <a href='d.pdf'>"), F.when(k == 1, "Doc").otherwise(""), F.lit("</a></li></ul>"))
+    return table(spark, sf_dir, "pages").select("page_id", X.category_name(head).alias("name"), container_text(body, F.lit("d.pdf")).alias("near"))
 
 
 @query("str16_sha256", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -120,7 +138,7 @@ def months(spark, sf_dir):
 
 @query("cal7_cal11_periods", """WITH x AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(year(o_orderdate) + 57 AS INTEGER) AS y, CAST((o_orderkey % 4) + 1 AS INTEGER) AS q FROM orders), f AS (SELECT *, y || '/' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS fy FROM x)
 SELECT o_orderkey, CASE k WHEN 0 THEN 'nine_months_cumulative' WHEN 1 THEN 'quarterly' WHEN 2 THEN 'monthly' WHEN 3 THEN 'annual' END AS type, CASE k WHEN 2 THEN y - 1 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE y END AS fy_start, CASE k WHEN 1 THEN q WHEN 2 THEN 10 END AS ordinal,
-CASE k WHEN 4 THEN 'unrecognized reporting-period label' WHEN 5 THEN 'no FY token' END AS reason, CASE k WHEN 0 THEN 'Period: FY ' || fy || ' 9M (Shrawan–Chait).' WHEN 1 THEN 'Period: FY ' || fy || ' Q' || q || '.' WHEN 2 THEN 'Period: Baisakh ' || y || '.' WHEN 3 THEN 'Period: FY ' || fy || '.' END AS line FROM f""")
+CASE k WHEN 4 THEN 'unrecognized reporting-period label' WHEN 5 THEN 'no FY token' END AS reason, CASE k WHEN 0 THEN 'Period: FY ' || fy || ' 9M (Shrawan–Chait).' WHEN 1 THEN 'Period: Q' || q || ' FY ' || fy || '.' WHEN 2 THEN 'Period: Baisakh ' || y || '.' WHEN 3 THEN 'Period: FY ' || fy || '.' END AS line FROM f""")
 def periods(spark, sf_dir):
     k, y = F.pmod("o_orderkey", F.lit(6)), F.year("o_orderdate") + 57
     fy = C.label_bs(y)
@@ -132,29 +150,24 @@ def periods(spark, sf_dir):
     return d.withColumn("line", F.when(F.col("type").isNotNull(), C.ledger_line(F.col("type"), F.col("fy_start"), F.col("ordinal"))))
 
 
-@query("rgx1_rgx2_rgx3_narrative", """WITH x AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v, o_orderkey % 3 AS k FROM orders)
-SELECT o_orderkey, CASE WHEN k < 2 THEN CAST(v AS DOUBLE) END AS value, CASE WHEN k = 1 THEN 'BOP deficit' END AS note FROM x""")
-def narrative(spark, sf_dir):
-    from factloom.operators.extract import SPECS, extract
-
-    k, v = F.pmod("o_orderkey", F.lit(3)), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    t = F.when(k == 0, F.concat(F.lit("the Balance of Payments (BOP) remained at a surplus of Rs."), v, F.lit(" billion"))).when(k == 1, F.concat(F.lit("Balance of\nPayments (BOP) remained at a deficit of Rs. "), v, F.lit(" billion"))).otherwise("nothing here")
-    rows = extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")), [s for s in SPECS if s[0] == "bop-surplus-ytd"])
-    return rows.select(F.col("doc_id").alias("o_orderkey"), "value", "note")
+NARRATIVE = """WITH x AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v, o_orderkey % 8 AS k, o_orderkey % 3 AS p FROM orders), s(i, slug) AS (VALUES (0, 'cmefs-ncpi-yoy-overall'), (1, 'cmefs-remittance-inflow-ytd'), (2, 'cmefs-merchandise-imports-ytd'), (3, 'cmefs-trade-deficit-ytd'), (4, 'cmefs-bop-surplus-ytd'), (5, 'cmefs-gross-forex-reserves'), (6, 'cmefs-forex-reserves-months-of-import-cover'))
+SELECT o_orderkey, slug, CASE WHEN k = i THEN CAST(v AS DOUBLE) END AS value, CASE WHEN k = i AND p = 1 THEN 'B' WHEN k = i THEN 'A' END AS grade, CASE WHEN k = i AND i = 4 AND p = 1 THEN 'value carries inline ''P'' provisional marker; downgraded A→B; BoP in deficit (negative)' WHEN k = i AND i = 4 THEN 'BoP in deficit (negative)' WHEN k = i AND p = 1 THEN 'value carries inline ''P'' provisional marker; downgraded A→B' END AS note,
+i IN (0, 5, 6) AS end_of_period, CASE WHEN k <> i THEN 'PageLayoutChanged' END AS error FROM x CROSS JOIN s"""
 
 
-@query("rgx1_rgx2_rgx3_narrative_all", """WITH x AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v, o_orderkey % 8 AS k FROM orders), s(i, slug) AS (VALUES (0, 'ncpi-yoy-overall'), (1, 'remittance-inflow-ytd'), (2, 'merchandise-imports-ytd'), (3, 'trade-deficit-ytd'), (4, 'bop-surplus-ytd'), (5, 'gross-forex-reserves'), (6, 'forex-reserves-months-of-import-cover'))
-SELECT o_orderkey, slug, CASE WHEN k = i THEN CAST(v AS DOUBLE) END AS value, CASE WHEN k = i AND i = 4 THEN 'BOP deficit' END AS note, CASE WHEN k <> i THEN 'PageLayoutChanged' END AS error FROM x CROSS JOIN s""")
-def narrative_all(spark, sf_dir):
-    """Every spec over all orders, each of which has the text of one spec or of none."""
+@query("rgx1_rgx2_rgx3_narrative_all", NARRATIVE)
+@query("rgx1_rgx2_rgx3_narrative", NARRATIVE)
+def narrative(spark, sf_dir):
+    """Every phrase over all orders, each of which has the text of one phrase or of none; marks of provisional figures right after the figure, or too far from it."""
     from factloom.operators.extract import extract
 
-    k, v = F.pmod("o_orderkey", F.lit(8)), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    k, p, v = F.pmod("o_orderkey", F.lit(8)), F.pmod("o_orderkey", F.lit(3)), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     texts = (
-        ("y-o-y consumer price\ninflation in Nepal remained at ", " percent"), ("Remittance inflows increased 1.5 percent to Rs. ", " billion"), ("merchandise imports decreased 1.5 percent to Rs.", " billion"), ("Total trade deficit increased 1.5 percent to Rs ", " billion"),
-        ("Balance of Payments (BOP) remained at a deficit of Rs. ", " billion"), ("Gross foreign exchange reserves of the banks increased 2.5 percent to about Rs. ", " billion"), ("enough for merchandise and services imports of ", " months"),
+        ("The y-o-y consumer price\ninflation in Nepal remained at ", " percent"), ("Remittance inflows increased 1.5 percent to Rs. ", " billion"), ("mercandise imports decreased 1.5 percent to Rs.", " billion"), ("Total trade deficit increased 1.5 percent to Rs ", " billion"),
+        ("Balance of Payments (BOP) remained at a deficit of Rs. ", " billion"), ("Gross foreign exchange reserves 9 P Chart 3\n increased 2.5 percent to about Rs. ", " billion"), ("enough for merchandise and services imports of ", " months"),
     )
+    after = F.when(p == 1, " (7 P) and").when(p == 2, " and so on as it was in the year before that 7 P").otherwise(" 7 Percent")
     t = F.lit("nothing here")
-    for i, (before, after) in enumerate(texts):
-        t = F.when(k == i, F.concat(F.lit(before), v, F.lit(after))).otherwise(t)
-    return extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))).select(F.col("doc_id").alias("o_orderkey"), "slug", "value", "note", "error")
+    for i, (before, unit) in enumerate(texts):
+        t = F.when(k == i, F.concat(F.lit(before), v, F.lit(unit), after)).otherwise(t)
+    return extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))).select(F.col("doc_id").alias("o_orderkey"), "slug", "value", "grade", "note", "end_of_period", "error")

@@ -1,34 +1,59 @@
 """Queries of validation and promotion over daily event totals, with their SQL."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from factloom.functions import calendar as C
 from factloom.operators import quality as Q, tables as T
 from factloom.plans.registry import query
 
+MONTH_NAMES = ",".join(C.MONTHS)
+#: The k-th day of the events stands for the k-th month from Shrawan 2070; months here have 30 days, Chait 35. All periods have a parseable label and Gregorian bounds.
+START = "DATE '2013-07-16'"
+_BOUND = "CAST(FLOOR(k / 12.0) AS INT) * 365 + (k % 12) * 30 + CASE WHEN k % 12 > 8 THEN 5 ELSE 0 END"
 #: Staged and approved rows from the events table; this text runs on Spark and in the oracle alike.
-INPUT = """
-daily AS (SELECT event_type AS indicator, CAST(ts AS DATE) AS d, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events GROUP BY event_type, CAST(ts AS DATE)),
-approved AS (SELECT indicator, 'monthly' AS period_type, CAST(d AS VARCHAR(10)) AS period_bs, concat('d', CAST(d AS VARCHAR(10))) AS document_id, v AS value, 0 AS revision, d AS ad_end
-  FROM daily WHERE d <= DATE '2024-01-20'),
+INPUT = f"""
+days AS (SELECT event_type AS indicator, CAST(DAYOFYEAR(ts) AS INT) - 1 AS k, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events GROUP BY event_type, CAST(DAYOFYEAR(ts) AS INT) - 1),
+daily AS (SELECT indicator, k, v, concat(split_part('{MONTH_NAMES}', ',', k % 12 + 1), concat(' ', CAST(2070 + CAST(FLOOR(k / 12.0) AS INT) + CASE WHEN k % 12 > 8 THEN 1 ELSE 0 END AS VARCHAR(4)))) AS label, {START} + CAST({_BOUND} AS INT) AS ad_start,
+  {START} + CAST({_BOUND} + CASE WHEN k % 12 = 8 THEN 34 ELSE 29 END AS INT) AS ad_end FROM days),
+approved AS (SELECT indicator, 'monthly' AS period_type, label AS period_bs, concat('d', CAST(k AS VARCHAR(4))) AS document_id, v AS value, CASE WHEN k = 12 THEN -1 ELSE 0 END AS revision, ad_end
+  FROM daily WHERE k < 20),
+base AS (SELECT indicator, label AS period_bs, v, k, ad_start, ad_end FROM daily),
 staging AS (
-  SELECT concat('n', indicator, CAST(d AS VARCHAR(10))) AS staging_id, 'r1' AS run_id, 's1' AS document_id, indicator, 'monthly' AS period_type, CAST(d AS VARCHAR(10)) AS period_bs,
-    CASE WHEN d = DATE '2024-01-25' THEN v * 10 ELSE v END AS value, CASE WHEN indicator = 'click' AND d > DATE '2024-01-28' THEN 'clicks' ELSE 'count' END AS unit, d AS ad_end, 1 AS inserted_at
-  FROM daily WHERE d > DATE '2024-01-20'
-  UNION ALL SELECT concat('a', indicator, CAST(d AS VARCHAR(10))), 'r1', concat('d', CAST(d AS VARCHAR(10))), indicator, 'monthly', CAST(d AS VARCHAR(10)), v + 1, 'count', d, 2 FROM daily WHERE d BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'
-  UNION ALL SELECT concat('b', indicator, CAST(d AS VARCHAR(10))), 'r2', 's1', indicator, 'monthly', CAST(d AS VARCHAR(10)), v, 'count', d, 3 FROM daily WHERE d BETWEEN DATE '2024-01-13' AND DATE '2024-01-14'
-  UNION ALL SELECT concat('c', indicator, CAST(d AS VARCHAR(10))), 'r2', 's1', indicator, 'monthly', CAST(d AS VARCHAR(10)), v + 5, 'count', d, 4 FROM daily WHERE d BETWEEN DATE '2024-01-15' AND DATE '2024-01-16'
-  UNION ALL SELECT concat('e', indicator, CAST(d AS VARCHAR(10))), 'r2', 's1', indicator, 'monthly', CAST(d AS VARCHAR(10)), v + 7, 'count', d, 5 FROM daily WHERE d = DATE '2024-01-16'),
+  SELECT concat('n', concat(indicator, CAST(k AS VARCHAR(4)))) AS staging_id, 'r1' AS run_id, 's1' AS document_id, indicator, CASE WHEN k = 26 THEN 'bogus' ELSE 'monthly' END AS period_type, CASE WHEN k = 21 THEN 'soon' ELSE period_bs END AS period_bs,
+    CASE WHEN k = 22 THEN CAST('inf' AS DOUBLE) WHEN k = 24 THEN v * 10 ELSE v END AS value, CASE WHEN indicator = 'click' AND k > 27 THEN 'clicks' ELSE 'count' END AS unit, CASE WHEN k = 25 THEN ad_start + 3 ELSE ad_start END AS ad_start, ad_end, CASE WHEN k = 23 THEN 'Z' ELSE 'A' END AS grade, 1 AS inserted_at
+  FROM base WHERE k >= 20
+  UNION ALL SELECT concat('a', concat(indicator, CAST(k AS VARCHAR(4)))), 'r1', concat('d', CAST(k AS VARCHAR(4))), indicator, 'monthly', period_bs, v + 1, 'count', ad_start, ad_end, 'A', 2 FROM base WHERE k BETWEEN 9 AND 11
+  UNION ALL SELECT concat('b', concat(indicator, CAST(k AS VARCHAR(4)))), 'r2', 's1', indicator, 'monthly', period_bs, CASE WHEN k = 12 THEN v + 2 ELSE v END, 'count', ad_start, ad_end, 'A', 3 FROM base WHERE k BETWEEN 12 AND 13
+  UNION ALL SELECT concat('c', concat(indicator, CAST(k AS VARCHAR(4)))), 'r2', 's1', indicator, 'monthly', period_bs, v + 5, 'count', ad_start, ad_end, 'A', 4 FROM base WHERE k BETWEEN 14 AND 15
+  UNION ALL SELECT concat('e', concat(indicator, CAST(k AS VARCHAR(4)))), 'r2', 's1', indicator, 'monthly', period_bs, v + 7, 'count', ad_start, ad_end, 'A', 5 FROM base WHERE k = 15
+  UNION ALL SELECT concat('f', concat(indicator, CAST(k AS VARCHAR(4)))), 'r3', 's3', indicator, 'monthly', period_bs, CASE WHEN k = 14 THEN v + 5 ELSE v + 9 END, 'count', ad_start, ad_end, 'A', 6 FROM base WHERE k IN (14, 15, 27)
+  UNION ALL SELECT concat('g', concat(indicator, CAST(k AS VARCHAR(4)))), 'r3', 's4', indicator, 'monthly', period_bs, v + 1, 'count', ad_start, ad_end, 'A', 7 FROM base WHERE k = 18),
 indicators AS (SELECT DISTINCT indicator FROM daily WHERE indicator <> 'error'),
-docs AS (SELECT DISTINCT document_id, 'h' AS hash FROM (SELECT document_id FROM approved UNION ALL SELECT document_id FROM staging) x)
+docs AS (SELECT DISTINCT document_id, CASE WHEN document_id = 's4' THEN '' ELSE 'h' END AS hash FROM (SELECT document_id FROM approved UNION ALL SELECT document_id FROM staging) x)
 """
-DAYS = 5
-JUDGED = f"""WITH {INPUT},
-base AS (SELECT s.*, i.indicator IS NULL AS unknown, s.unit <> 'count' AS badunit, p.document_id AS p_doc, p.value AS p_value, p.revision AS p_rev
-  FROM staging s LEFT JOIN indicators i ON i.indicator = s.indicator LEFT JOIN approved p ON p.indicator = s.indicator AND p.period_type = s.period_type AND p.period_bs = s.period_bs),
-st AS (SELECT *, (unknown OR badunit OR COALESCE(p_doc = document_id, FALSE) OR COALESCE(p_value = value, FALSE)) AS stopped FROM base),
-rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, indicator, period_type, period_bs, stopped ORDER BY inserted_at, staging_id) AS rn FROM st),
-tr AS (SELECT s.staging_id, COUNT(*) AS n, AVG(a.value) AS mean, STDDEV_POP(a.value) AS sd FROM staging s JOIN approved a ON a.indicator = s.indicator AND a.ad_end >= s.ad_end - {DAYS} GROUP BY s.staging_id),
-judged AS (SELECT rk.*, (stopped OR rn > 1) AS blocked, COALESCE(n >= 3 AND sd > 1e-9 AND ABS(value - mean) > 5 * sd, FALSE) AS odd FROM rk LEFT JOIN tr USING (staging_id))
+DAYS = 150
+#: Row by row, as the rules say: every check that doesn't depend on other rows, then the rows of a period in their order against the value approved last.
+JUDGED = f"""WITH RECURSIVE {INPUT},
+st AS (SELECT s.*, i.indicator IS NOT NULL AS known, NOT isfinite(s.value) OR s.period_type = 'bogus' OR s.grade = 'Z' AS bad_schema, s.period_bs = 'soon' AS bad_period, s.unit <> 'count' AS bad_unit, d.hash = '' AS bad_source,
+    ABS(date_diff('day', CAST(b.ad_start AS DATE), CAST(s.ad_start AS DATE))) > 2 AS off
+  FROM staging s LEFT JOIN indicators i ON i.indicator = s.indicator LEFT JOIN docs d ON d.document_id = s.document_id LEFT JOIN daily b ON b.indicator = s.indicator AND b.label = s.period_bs),
+nu AS (SELECT *, NOT known OR bad_schema OR bad_period OR bad_unit OR bad_source AS stopped, ROW_NUMBER() OVER (PARTITION BY indicator, period_type, period_bs ORDER BY inserted_at, staging_id) AS rn FROM st),
+fl AS (SELECT indicator, period_type, period_bs, rn, staging_id, flag, CASE WHEN NOT stopped AND flag IS NULL THEN COALESCE(p_rev + 1, 0) END AS revision,
+    CASE WHEN NOT stopped AND flag IS NULL THEN document_id ELSE p_doc END AS doc, CASE WHEN NOT stopped AND flag IS NULL THEN value ELSE p_value END AS val, CASE WHEN NOT stopped AND flag IS NULL THEN COALESCE(p_rev + 1, 0) ELSE p_rev END AS rev
+  FROM (SELECT nu.*, p.document_id AS p_doc, p.value AS p_value, p.revision AS p_rev, CASE WHEN NOT known OR p.document_id IS NULL THEN NULL WHEN p.document_id = nu.document_id OR p.value = nu.value THEN 'DuplicateOfApproved' WHEN p.revision < 0 THEN 'RevisionMismatch' END AS flag
+    FROM nu LEFT JOIN approved p ON p.indicator = nu.indicator AND p.period_type = nu.period_type AND p.period_bs = nu.period_bs WHERE rn = 1) x
+  UNION ALL
+  SELECT indicator, period_type, period_bs, rn, staging_id, flag, CASE WHEN NOT stopped AND flag IS NULL THEN COALESCE(p_rev + 1, 0) END,
+    CASE WHEN NOT stopped AND flag IS NULL THEN document_id ELSE p_doc END, CASE WHEN NOT stopped AND flag IS NULL THEN value ELSE p_value END, CASE WHEN NOT stopped AND flag IS NULL THEN COALESCE(p_rev + 1, 0) ELSE p_rev END
+  FROM (SELECT nu.*, p.doc AS p_doc, p.val AS p_value, p.rev AS p_rev, CASE WHEN NOT known OR p.doc IS NULL THEN NULL WHEN p.doc = nu.document_id OR p.val = nu.value THEN 'DuplicateOfApproved' WHEN p.rev < 0 THEN 'RevisionMismatch' END AS flag
+    FROM nu JOIN fl p ON p.indicator = nu.indicator AND p.period_type = nu.period_type AND p.period_bs = nu.period_bs AND p.rn = nu.rn - 1) x),
+al AS (SELECT nu.*, fl.flag, fl.revision FROM nu JOIN fl USING (staging_id)),
+seen AS (SELECT s.staging_id, a.value FROM al s JOIN approved a ON a.indicator = s.indicator AND a.ad_end >= s.ad_end - {DAYS}
+  UNION ALL SELECT s.staging_id, a.value FROM al s JOIN al a ON a.indicator = s.indicator AND a.revision IS NOT NULL AND (a.inserted_at, a.staging_id) < (s.inserted_at, s.staging_id) AND a.ad_end >= s.ad_end - {DAYS}),
+tr AS (SELECT staging_id, COUNT(*) AS n, AVG(value) AS mean, STDDEV_POP(value) AS sd FROM seen GROUP BY staging_id),
+judged AS (SELECT al.*, stopped OR flag IS NOT NULL AS blocked, COALESCE(known AND n >= 3 AND sd > 0 AND (isinf(value) OR ABS(value - mean) > 5 * sd), FALSE) AS odd, COALESCE(off, FALSE) AS moved FROM al LEFT JOIN tr USING (staging_id))
 """
 
 
@@ -37,24 +62,37 @@ def inputs(spark, sf_dir):
     return {n: spark.sql(f"WITH {INPUT} SELECT * FROM {n}") for n in ("staging", "approved", "indicators", "docs")}
 
 
+def calendar(spark):
+    months = spark.createDataFrame([(y, m, 35 if m == 12 else 30) for y in range(2070, 2075) for m in range(1, 13)], "bs_year int, cal_month int, days int")
+    return C.day_dimension(months, datetime.date(2013, 7, 16) - datetime.timedelta(days=90))
+
+
 def judged(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return Q.validate(i["staging"], i["approved"], i["indicators"], i["docs"], units=("count",), days=DAYS)
+    return Q.validate(i["staging"], i["approved"], i["indicators"], i["docs"], units=("count",), days=DAYS, calendar=calendar(spark))
 
 
-@query("pipe2_validation_summary", JUDGED + "SELECT run_id, COUNT(*) AS total, COUNT(*) FILTER (WHERE NOT blocked) AS promoted, COUNT(*) FILTER (WHERE NOT blocked AND odd) AS with_warnings, COUNT(*) FILTER (WHERE blocked) AS blocked FROM judged GROUP BY run_id")
+@query("pipe2_validation_summary", JUDGED + "SELECT run_id, COUNT(*) AS total, COUNT(*) FILTER (WHERE NOT blocked) AS promoted, COUNT(*) FILTER (WHERE NOT blocked AND (odd OR moved)) AS with_warnings, COUNT(*) FILTER (WHERE blocked) AS blocked FROM judged GROUP BY run_id")
 def summary(spark, sf_dir):
     return Q.summary(judged(spark, sf_dir))
 
 
-@query("chk10_win2_decisions", JUDGED + "SELECT staging_id, CASE WHEN blocked THEN 'block' WHEN odd THEN 'warn' ELSE 'promote' END AS decision, CASE WHEN NOT blocked THEN COALESCE(p_rev + 1, 0) END AS revision FROM judged")
+@query("chk10_win2_decisions", JUDGED + "SELECT staging_id, CASE WHEN blocked THEN 'block' WHEN odd OR moved THEN 'warn' ELSE 'promote' END AS decision, revision FROM judged")
 def decisions(spark, sf_dir):
     return judged(spark, sf_dir).select("staging_id", "decision", "revision")
 
 
-@query("snk14_flags", JUDGED + """SELECT staging_id, 'block' AS kind, 'IndicatorUnknown' AS flag_type FROM judged WHERE unknown UNION ALL SELECT staging_id, 'block', 'UnitUnrecognized' FROM judged WHERE badunit
-UNION ALL SELECT staging_id, 'block', 'DuplicateOfApproved' FROM judged WHERE p_doc = document_id UNION ALL SELECT staging_id, 'block', 'DuplicateOfApproved' FROM judged WHERE p_doc <> document_id AND p_value = value
-UNION ALL SELECT staging_id, 'block', 'DuplicateOfApproved' FROM judged WHERE NOT stopped AND rn > 1 UNION ALL SELECT staging_id, 'warn', 'ValueOutOfPlausibleRange' FROM judged WHERE odd""")
+FLAGS = """SELECT staging_id, 'block' AS kind, 'SchemaInvalid' AS flag_type FROM judged WHERE bad_schema UNION ALL SELECT staging_id, 'block', 'IndicatorUnknown' FROM judged WHERE NOT known UNION ALL SELECT staging_id, 'block', 'PeriodAmbiguous' FROM judged WHERE bad_period
+UNION ALL SELECT staging_id, 'warn', 'PeriodAmbiguous' FROM judged WHERE moved UNION ALL SELECT staging_id, 'block', 'UnitUnrecognized' FROM judged WHERE bad_unit UNION ALL SELECT staging_id, 'warn', 'ValueOutOfPlausibleRange' FROM judged WHERE odd
+UNION ALL SELECT staging_id, 'block', flag FROM judged WHERE flag IS NOT NULL UNION ALL SELECT staging_id, 'block', 'SourceHashCollision' FROM judged WHERE bad_source"""
+
+
+@query("agg1_blocking_flags", JUDGED + f"SELECT staging_id, flag_type FROM ({FLAGS}) x WHERE kind = 'block'")
+def blocking(spark, sf_dir):
+    return Q.blocking_flags(judged(spark, sf_dir)).select("staging_id", "flag_type")
+
+
+@query("snk14_flags", JUDGED + FLAGS)
 def flags(spark, sf_dir):
     return Q.flags(judged(spark, sf_dir)).select("staging_id", "kind", "flag_type")
 
@@ -65,7 +103,7 @@ def trailing(spark, sf_dir):
     return Q.trailing_stats(i["staging"], i["approved"], DAYS).select("staging_id", "n", F.round(F.col("mean") + 0.00001, 2).alias("mean"), F.round(F.col("sd") + 0.00001, 2).alias("sd"))
 
 
-@query("snk6_promote", JUDGED + "SELECT staging_id, COALESCE(p_rev + 1, 0) AS revision FROM judged WHERE NOT blocked")
+@query("snk6_promote", JUDGED + "SELECT staging_id, revision FROM judged WHERE NOT blocked")
 def promoted(spark, sf_dir):
     return T.promote(judged(spark, sf_dir), ["staging_id"])[0]
 
@@ -84,11 +122,16 @@ def schema(spark, sf_dir):
     return o.select("o_orderkey", Q.schema_outcome(["status", "priority"], F.col("o_totalprice"), ["o_orderdate"], F.col("pt"), F.lit("A"))["detail"].alias("detail"))
 
 
-@query("chk3_period", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 2 THEN 'PeriodAmbiguous' END AS flag FROM orders")
+@query("chk3_period", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'block' WHEN 1 THEN 'warn' WHEN 2 THEN 'warn' END AS kind, CASE WHEN o_orderkey % 5 < 3 THEN 'PeriodAmbiguous' END AS flag FROM orders""")
 def period(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    d = F.to_date("o_orderdate")
-    return o.select("o_orderkey", Q.period_outcome(d, d, d, F.date_add(d, F.pmod("o_orderkey", F.lit(7)).cast("int")))["flag_type"].alias("flag"))
+    """Labels of months (the stand-in calendar's), with bounds that agree within two days or not, and labels that can't be parsed."""
+    k = F.pmod("o_orderkey", F.lit(5))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(k == 0, "Smarch 2071").otherwise("Kartik 2071").alias("label"))
+    p = o.select("o_orderkey", C.parse_period(F.col("label")).alias("p")).select("o_orderkey", "p.type", "p.fy_start", "p.ordinal")
+    j = C.period_bounds(p, calendar(spark))
+    first, last = F.lit(datetime.date(2014, 10, 14)), F.lit(datetime.date(2014, 11, 12))
+    own = Q.period_outcome(F.date_add(first, F.when(F.pmod("o_orderkey", F.lit(5)) == 1, -3).otherwise(2)), F.date_add(last, F.when(F.pmod("o_orderkey", F.lit(5)) == 2, 3).otherwise(-2)), F.col("ad_start"), F.col("ad_end"))
+    return j.select("o_orderkey", own["kind"].alias("kind"), own["flag_type"].alias("flag"))
 
 
 @query("chk9_violations", """SELECT 'unique' AS violation, COUNT(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1) UNION ALL SELECT 'not_null', COUNT(*) FROM lineitem WHERE l_shipdate IS NULL

@@ -11,21 +11,31 @@ MANIFEST = T.StructType(
 )
 
 
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text; a quoted field may hold line ends."""
+    return F.regexp_extract_all(F.concat(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\n")), F.lit(r'((?:[^"\n]++|"(?:[^"]++|"")*+"|")*+)\n'), F.lit(1))
+
+
+def csv_cells(record: Column) -> Column:
+    """The fields of a record; quotes around a field go, doubled ones within are one."""
+    fields = F.regexp_extract_all(record, F.lit(r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*)'), F.lit(1))
+    return F.transform(fields, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def two_mode_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: (path, mode, row_idx, cells, error) of small CSV files, one row a line.
+    """SRC-1: (path, mode, row_idx, cells, error) of small CSV files, one row a record.
 
-    A file whose first line starts with three commas and names a table has five lines before its header; the others
-    have none. Marks at the start of the file are taken off; lines are padded to the header; an empty header is an error.
+    A file whose first line starts with three commas and names a table has five records before its header; the others
+    have none. Marks at the start of the file are taken off; records are padded to the header; an empty header is an error.
     """
-    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("v"))
-    lines = F.split(F.regexp_replace("v", r"\r\n?", "\n"), "\n")
-    first = F.get(lines, F.lit(0))
+    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("v"))
+    first = F.split_part(F.col("v"), F.lit("\n"), F.lit(1))
     mode = F.when(first.startswith(",,,") & F.contains(first, F.lit('"Table ')), "A").otherwise("B")
-    f = f.select("path", mode.alias("mode"), F.slice(lines, F.when(mode == "A", 6).otherwise(1), F.size(lines)).alias("lines"))
-    cut = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
-    f = f.withColumn("header", cut(F.coalesce(F.get("lines", F.lit(0)), F.lit("")))).withColumn("error", F.when(F.array_join("header", "") == "", "empty header"))
-    rows = f.select("path", "mode", "header", "error", F.posexplode("lines").alias("row_idx", "line")).filter("row_idx = 0 or trim(line) <> ''")
-    padded = F.concat(cut(F.col("line")), F.array_repeat(F.lit(""), F.greatest(F.size("header") - F.size(cut(F.col("line"))), F.lit(0))))
+    f = f.select("path", mode.alias("mode"), csv_records(F.col("v")).alias("lines"))
+    f = f.withColumn("lines", F.slice("lines", F.when(F.col("mode") == "A", 6).otherwise(1), F.size("lines")))
+    f = f.withColumn("header", csv_cells(F.coalesce(F.get("lines", F.lit(0)), F.lit("")))).withColumn("error", F.when(F.array_join("header", "") == "", "empty header"))
+    rows = f.select("path", "mode", "header", "error", F.posexplode("lines").alias("row_idx", "line")).filter("row_idx = 0 or trim(line) <> ''").withColumn("own", csv_cells(F.col("line")))
+    padded = F.concat("own", F.array_repeat(F.lit(""), F.greatest(F.size("header") - F.size("own"), F.lit(0))))
     return rows.select("path", "mode", "row_idx", padded.alias("cells"), "error")
 
 
@@ -40,6 +50,13 @@ def cells_of(rows: DataFrame, doc: str, row: str, array: str) -> DataFrame:
     return rows.select(F.col(doc).alias("doc_id"), F.col(row).alias("row_idx"), F.posexplode(array).alias("col_idx", "text"))
 
 
+def sheet_of(cells: DataFrame, sheet: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-3: (cells of a named sheet, documents without it as doc_id and error)."""
+    own = cells.filter(F.col("sheet") == sheet)
+    lost = cells.select("doc_id").distinct().join(own.select("doc_id").distinct(), "doc_id", "left_anti")
+    return own, lost.withColumn("error", F.lit(f"expected sheet {sheet} not present"))
+
+
 def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
     """SRC-4: (doc, text, error): pages in order, joined by line ends, soft hyphens closed up; empty text is an error."""
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page), F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
@@ -56,6 +73,12 @@ def links(pages: DataFrame, base: str, html: str, keep=is_pdf, key: str = "page_
     return a.withColumn("rn", F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))).filter("rn = 1").drop("rn")
 
 
+def new_links(found: DataFrame, crawl: str, page: str, pos: str, url: str = "url") -> DataFrame:
+    """WIN-4: the first occurrence of each url of a crawl, by page and place."""
+    w = Window.partitionBy(crawl, url).orderBy(page, pos)
+    return found.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
 def container_text(html: Column, href: Column, most: int = 200) -> Column:
     """STR-15: text of the list item or table row around a link, ``most`` characters at most; by splitting at container tags, without a parser."""
     parts = F.split(html, r"(?i)<(?:li|tr|div|p)\b[^>]*>")
@@ -81,12 +104,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path).na.fill("1", ["schema_version"]).filter("event_type is not null")
 
 
-def decoded(payload: Column, schema: str, required) -> Column:
-    """SRC-7: struct(value, error): not_json and shape are different errors."""
+def decoded(payload: Column, schema: str, required, rules=None) -> Column:
+    """SRC-7: struct(value, error): not_json and shape are different errors.
+
+    ``rules``: for a field what its value has to hold, e.g. ``lambda v: v.rlike("^[0-9]{8}$")``, ``lambda v: F.length(v) >= 3``, ``lambda v: v.isin("A", "B")``.
+    """
     v = F.from_json(payload, schema)
     lacking = F.lit(False)
     for c in required:
         lacking = lacking | v[c].isNull()
+    for c, rule in (rules or {}).items():
+        lacking = lacking | (v[c].isNotNull() & ~F.coalesce(rule(v[c]), F.lit(False)))
     is_json = F.get_json_object(payload, "$").isNotNull()
     return F.struct(F.when(is_json & ~lacking, v).alias("value"), F.when(~F.coalesce(is_json, F.lit(False)), "not_json").when(lacking, "shape").alias("error"))
 
@@ -97,6 +125,20 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return f.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), F.when(F.col("length") == 0, "empty file").alias("error"))
 
 
+def corpus(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
+    """SRC-10: the files of a folder that match, by path."""
+    return files(spark, path, glob).orderBy("path")
+
+
+def registry_faults(registry: DataFrame) -> DataFrame:
+    """SRC-11: (source_id, fault) of a user's registry (source_id, tier, mode, agency, dataset, frequency): bad ids, modes and blanks."""
+    from factloom.functions.text import is_source_id
+
+    blank = lambda c: F.when(F.coalesce(F.trim(c) == "", F.lit(True)), F.lit(f"{c}: missing"))
+    faults = F.array_compact(F.array(F.when(~F.coalesce(is_source_id(F.col("source_id")), F.lit(False)), F.lit("source_id: bad shape")), F.when(F.col("tier") < 1, F.lit("tier: below 1")), *map(blank, ("mode", "agency", "dataset", "frequency"))))
+    return registry.select("source_id", F.explode(faults).alias("fault"))
+
+
 def tampered(catalog: DataFrame, now: DataFrame) -> DataFrame:
     """CHK-11: catalog entries (path, sha256) whose file is gone or has other content."""
     return catalog.join(now.select("path", F.col("sha256").alias("found")), "path", "left").filter(~F.col("sha256").eqNullSafe(F.col("found")))

@@ -35,10 +35,25 @@ def event_counters(events: DataFrame, ts: str = "occurred_at", kind: str = "even
     return e.groupBy(F.window(ts, window).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
+def late_events(query) -> int:
+    """STM-2: how many events of a counters' query came later than its watermark, by its progress so far."""
+    return sum(int(state["numRowsDroppedByWatermark"]) for p in query.recentProgress for state in p["stateOperators"])
+
+
 def judge_runs(staging: DataFrame, judge, sink: str, checkpoint: str):
-    """STM-3: the batch validation for every arriving micro-batch, one folder a batch, so that a repeated batch writes the same place."""
+    """STM-3: the batch validation of every arriving run, one folder a batch, so that a repeated batch writes the same place.
+
+    A run that an earlier batch judged isn't judged again.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        judge(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        spark = batch.sparkSession
+        try:
+            have = spark.read.parquet(sink).filter(F.col("batch") != number).select("run_id").distinct()
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            have = batch.select("run_id").limit(0)
+        judge(batch.join(have, "run_id", "left_anti")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return staging.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

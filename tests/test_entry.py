@@ -28,4 +28,4 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_entry(spark):
-    assert entry.entry(spark).count() == 2
+    assert entry.entry(spark).count() == 3
