@@ -2,14 +2,19 @@
 
 A url's host is what stands between its first ``://`` and the next ``/``, ``?``, ``#`` or its end, A-Z lowered; its
 path goes on to ``?``, ``#`` or the end. A rule fits its host and all subdomains where the path starts with the
-rule's; the longest rule wins. What rules decide is also what the tree learns from, with hosts that carry a seed word.
+rule's; the longest rule wins. Labels to learn from are the rules' verdicts, and block where the host or the path has a
+seed word.
 
-The tree has a host's first ``DEPTH`` path segments. Segments with a digit, and very long ones, are wildcards at
-once; a place whose children are many and rare becomes one too. Templates under one parent whose labelled rates
-can't be told from the parent's are one branch. A template is rejected when its branch's share of blocked among
-labelled pages, smoothed towards the corpus's share by ``ALPHA`` pages, reaches ``PURITY``; a branch without
-labels is allowed. All steps work on counts by (host, segments), so a host with most pages is one group only of
-what its partial counts leave.
+A host's tree has all its path segments. Segments with a digit, and very long ones, are wildcards at once; a place
+whose children are many and rare becomes one too. Children whose labelled rates can't be told from their parent's,
+those without labels among them, are one branch. A template is judged from the corpus down to its last segment: the
+purity so far counts as ``ALPHA`` labelled pages of the next step, first over like templates of other hosts (labels
+that a whole host has say nothing about a path and stay out), then over the host, then over each branch on the way;
+a page without a label counts as ``FAINT`` allowed ones; the corpus starts with its share of blocked pages. The template
+is rejected where the result reaches ``PURITY``.
+
+All steps work on counts by (host, segments), so a host with most pages is one group only of what its partial counts
+leave; no step loops over depths.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
 repeated rows are judged one by one; rules of one length are taken in the order given; an empty table gives no row.
@@ -27,7 +32,7 @@ from factloom.llm._common import written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words in a host that mark it as unwanted, as labels to learn from.
 SEEDS = ("casino", "bets", "adult", "porn", "spam", "xxx", "gambl", "viagra", "warez")
-DEPTH, MIN_CHILDREN, PAGES_A_CHILD, ALPHA, PURITY, Z = 3, 10, 3.0, 2.0, 0.7, 1.0
+MIN_CHILDREN, PAGES_A_CHILD, ALPHA, FAINT, PURITY, Z = 10, 3.0, 2.0, 0.5, 0.7, 1.0
 
 
 def lower_ascii(c: Column) -> Column:
@@ -51,27 +56,50 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _templates(counts: DataFrame) -> DataFrame:
-    """Branch verdicts by (host, s1 .. sDEPTH), from pages, blocked and allowed counts by the same."""
-    keys = [f"s{d}" for d in range(1, DEPTH + 1)]
-    t = counts.withColumn("t", F.lit(""))
-    for k in keys:
-        children = t.filter(F.col(k) != "").groupBy("host", "t", k).agg(F.sum("n").alias("n"))
-        wild = children.groupBy("host", "t").agg((F.count(F.lit(1)) >= MIN_CHILDREN).alias("many"), (F.sum("n") / F.count(F.lit(1)) < PAGES_A_CHILD).alias("rare"))
-        wild = wild.filter("many and rare").select("host", "t", F.lit(True).alias("wild"))
-        t = t.join(wild, ["host", "t"], "left").withColumn("up", F.col("t")).withColumn("t", F.when(F.col(k) == "", F.col("t")).otherwise(F.concat("t", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col(k))))).drop("wild")
-    t = written(t)
-    own = t.groupBy("host", "up", "t").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    above = own.groupBy("host", "up").agg(F.sum("b").alias("pb"), F.sum(F.col("a") + F.col("b")).alias("pn"))
-    own = own.join(above, ["host", "up"])
-    rate, n = F.try_divide("pb", "pn"), F.col("a") + F.col("b")
-    alike = F.abs(F.col("b") / n - rate) <= Z * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.05)) / n)
-    own = own.withColumn("branch", F.when((n > 0) & alike, F.lit("*")).otherwise(F.col("t")))
-    share = counts.agg((F.sum("blocked") / F.greatest(F.sum(F.col("blocked") + F.col("allowed")), F.lit(1))).alias("share"))
-    branch = own.groupBy("host", "up", "branch").agg(F.sum("b").alias("bb"), F.sum(F.col("a") + F.col("b")).alias("bn")).crossJoin(F.broadcast(share))
-    branch = branch.withColumn("bad", (F.col("bn") > 0) & ((F.col("bb") + ALPHA * F.col("share")) / (F.col("bn") + ALPHA) >= PURITY))
-    own = own.join(branch.select("host", "up", "branch", "bad"), ["host", "up", "branch"]).select("host", "up", "t", "bad")
-    return t.join(own, ["host", "up", "t"]).select("host", *keys, "bad")
+def _prefixes(t: DataFrame, segments: str) -> DataFrame:
+    """A row for each prefix of ``segments``, from the empty one: i (its length) and node (its text); ``parent`` is the one before."""
+    join = lambda k: F.array_join(F.slice(segments, 1, k), "/")
+    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.size(segments))))
+    return t.withColumn("node", F.when(F.col("i") == 0, "").otherwise(F.concat(F.lit("/"), join(F.col("i"))))).withColumn("parent", F.when(F.col("i") == 1, "").when(F.col("i") > 1, F.concat(F.lit("/"), join(F.col("i") - 1))))
+
+
+def _sums(*names: str):
+    return [F.sum(c).alias(c) for c in names]
+
+
+def _judged(counts: DataFrame) -> DataFrame:
+    """(host, segments, bad) from pages, blocked and allowed counts, and those of labels by path, by (host, segments)."""
+    # Places whose children are many and rare are wildcards.
+    steps = _prefixes(counts, "segments").filter("i > 0")
+    children = steps.groupBy("host", "parent", F.col("node")).agg(F.sum("n").alias("n"))
+    wild = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter((F.col("k") >= MIN_CHILDREN) & (F.col("n") / F.col("k") < PAGES_A_CHILD))
+    marks = steps.select("host", "segments", "i", "parent").join(wild.select("host", "parent", F.lit(True).alias("wild")), ["host", "parent"], "left")
+    marks = marks.groupBy("host", "segments").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("wild", F.lit(False)).alias("wild")))).alias("marks"))
+    template = F.zip_with("segments", "marks", lambda s, m: F.when(m["wild"], "*").otherwise(s))
+    t = counts.join(marks, ["host", "segments"], "left").withColumn("template", F.coalesce(template, F.col("segments")))
+    t = written(t.select("host", "segments", "template", "n", "blocked", "allowed", "path_blocked", "path_allowed"))
+
+    leaves = t.groupBy("host", "template").agg(*_sums("n", "blocked", "allowed", "path_blocked", "path_allowed"))
+    nodes = _prefixes(leaves, "template").groupBy("host", "node", "parent").agg(*_sums("n", "blocked", "allowed"))
+    # Branches: children that can't be told from their parent are taken together.
+    above = nodes.select("host", F.col("node").alias("parent"), F.col("blocked").alias("pb"), (F.col("blocked") + F.col("allowed")).alias("pn"))
+    own = nodes.join(above, ["host", "parent"], "left")
+    labelled, rate = F.col("blocked") + F.col("allowed"), F.try_divide("pb", "pn")
+    alike = (labelled == 0) | (F.abs(F.col("blocked") / labelled - rate) <= Z * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.05)) / labelled))
+    own = own.withColumn("branch", F.when(F.col("parent").isNull(), "/").when(alike, "*").otherwise(F.col("node")))
+    branch = own.groupBy("host", F.coalesce("parent", F.lit("")).alias("place"), "branch").agg(*_sums("n", "blocked", "allowed"))
+    nodes = own.select("host", "node", F.coalesce("parent", F.lit("")).alias("place"), "branch").join(branch, ["host", "place", "branch"]).select("host", "node", "n", "blocked", "allowed")
+
+    # Like templates of other hosts, by the labels that say something about a path.
+    share = counts.agg((F.sum("blocked") / F.greatest(F.sum("n"), F.lit(1))).alias("share"))
+    like = leaves.groupBy("template").agg(F.sum("path_blocked").alias("lb"), F.sum("path_allowed").alias("la"))
+    step = lambda before, b, n: (b + ALPHA * before) / (n + ALPHA)
+    way = _prefixes(leaves.select("host", "template"), "template").join(nodes, ["host", "node"])
+    way = way.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("i", F.col("blocked").cast("double").alias("b"), (F.col("blocked") + F.col("allowed") + FAINT * (F.col("n") - F.col("blocked") - F.col("allowed"))).alias("m")))).alias("way"))
+    j = leaves.join(like, "template").join(way, ["host", "template"]).join(F.broadcast(share))
+    others = step(F.coalesce("share", F.lit(0.0)), F.col("lb") - F.col("path_blocked"), F.col("lb") + F.col("la") - F.col("path_blocked") - F.col("path_allowed"))
+    purity = F.aggregate("way", others.cast("double"), lambda acc, x: step(acc, x["b"], x["m"]))
+    return t.select("host", "segments", "template").join(j.select("host", "template", (purity >= PURITY).alias("bad")), ["host", "template"]).select("host", "segments", "bad")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seeds=SEEDS) -> DataFrame:
@@ -79,15 +107,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     url = F.col(url_col).cast("string")
     p = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     p = p.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    part = lambda d: F.coalesce(F.try_element_at(segments, F.lit(d)), F.lit(""))
     general = lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 24), F.lit("*")).otherwise(s)
-    keys = [f"s{d}" for d in range(1, DEPTH + 1)]
-    p = p.select("*", *(general(part(d)).alias(f"s{d}") for d in range(1, DEPTH + 1)))
-    label = F.coalesce(F.col("_rule.verdict"), F.when(F.col("host").rlike("|".join(seeds)), F.lit("block")) if seeds else F.lit(None).cast("string"))
-    counts = p.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(label == "block").alias("blocked"), F.count_if(label == "allow").alias("allowed"))
-    out = p.join(_templates(written(counts)), ["host", *keys], "left")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
+    p = p.withColumn("segments", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), general))
+    word = "|".join(seeds)
+    seeded = lambda c: F.when(F.col(c).rlike(word), F.lit("block")) if seeds else F.lit(None).cast("string")
+    label = F.coalesce(F.col("_rule.verdict"), seeded("host"), seeded("path"))
+    by_path = F.coalesce(F.when(~F.col("_rule.rule").endswith("/") | (F.regexp_count("_rule.rule", F.lit("/")) > 1), F.col("_rule.verdict")), seeded("path"))
+    one = [F.count_if(c == v).alias(name) for c, v, name in ((label, "block", "blocked"), (label, "allow", "allowed"), (by_path, "block", "path_blocked"), (by_path, "allow", "path_allowed"))]
+    counts = p.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), *one)
+    out = p.join(_judged(written(counts)), ["host", "segments"], "left")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad") & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
 
 

@@ -464,7 +464,7 @@ def test_window_entropy(spark, token):
 
 
 def test_urls(spark):
-    cases = [("http://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), (None, "", "", None, "allow"), ("foo", "", "", None, "allow"), ("x://net", "net", "", None, "block"), ("x://net/", "net", "/", "net/", "block"),
+    cases = [("http://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), (None, "", "", None, "allow"), ("foo", "", "", None, "allow"), ("x://net", "net", "", None, "allow"), ("x://net/", "net", "/", "net/", "block"),
              ("https://fr.org/fr/1#a", "fr.org", "/fr/1", "org/fr/", "allow"), ("http://example.com/de/4/://x", "example.com", "/de/4/://x", "example.com/de/", "block"), ("http://notnet/", "notnet", "/", None, "allow"), ("http://casino.com/a/1", "casino.com", "/a/1", None, "block")]
     d = spark.createDataFrame([(i, c[0], "v") for i, c in enumerate(cases)], "page_id long, url string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(d).collect()}
@@ -472,6 +472,20 @@ def test_urls(spark):
     assert urls.judge(d.limit(0)).count() == 0
 
 
+def test_template_tree(spark):
+    """A hand-made site: unwanted templates at depth one and four are rejected, the rest of their hosts and like pages without labels are not."""
+    urls_ = [f"http://shop.com/{'/'.join(p)}" for i in range(40) for p in (["games", "casino-room", f"t{i}"], ["news", "2024", "may", f"story{i}"], ["a", "b", "c", "warez", f"{i}"], ["about"])]
+    urls_ += [f"http://mixed.com/item/{w}" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "mu", "viagra")]
+    urls_ += [f"http://new.com/games/casino-room/{i}" for i in range(3)] + [f"http://new.com/games/chess/{i}" for i in range(3)] + ["http://plain.com/news/2024/may/x", "http://plain.com/"]
+    d = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {u: r.verdict for r in urls.judge(d).collect() for u in [urls_[r.page_id]]}
+    bad = {u for u in urls_ if "casino-room" in u or "warez" in u}
+    assert {u for u, v in got.items() if v == "block"} == bad
+    # Copies of rows change nothing of the tree's shape; clashing columns are left alone.
+    clash = d.unionByName(d).withColumn("segments", F.lit(1)).withColumn("host", F.lit("x")).withColumn("n", F.lit(2))
+    assert {(urls_[r.page_id], r.verdict) for r in urls.judge(clash).collect()} >= {(u, "block") for u in bad}
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
