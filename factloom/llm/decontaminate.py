@@ -4,6 +4,9 @@ Words are maximal runs of ASCII letters and digits and of all characters beyond
 A window is ``n`` consecutive words of a benchmark item; an item with fewer words, but at least one, is one
 window of all its words. Hits of the 64-bit window hashes are verified against the words themselves.
 
+The set of one pass has a bound; a larger benchmark is scanned in as many passes as it needs, one block of windows after
+the other, each written before the next, so that no task and no driver holds more than a block.
+
 Defined results: null text has no words; null or empty benchmark texts give no window; repeated rows are judged
 one by one; items that repeat a text all count; items with a null id never appear in the id list; an empty
 benchmark or corpus gives no hit and no row.
@@ -12,21 +15,21 @@ benchmark or corpus gives no hit and no row.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from factloom.llm._common import ALNUM, LOWER, prefix_hash, rolling, span_hash, text_steps, word_spans
+from factloom.llm._common import ALNUM, LOWER, prefix_hash, rolling, span_hash, text_steps, word_spans, written
 
-#: Windows whose hash set is sent to every task at once (16 bytes each and their words): 64 MB of hashes at most.
-#: A larger benchmark is scanned in as many such blocks as it needs, none left out.
-MAX_SET = 2_000_000
+#: Windows that are sent to every task at once: with their words some 400 bytes each, 100 MB at most.
+MAX_SET = 250_000
 
 
-def _windows(texts: list[tuple], n: int) -> list[tuple]:
-    """(hash, length, words as bytes, item) of every window of the items given."""
-    out = []
+def _windows(texts, n: int):
+    """(hash, length, words as bytes, item) of every window of the items given, one at a time."""
     for item, text in texts:
         low = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
         s, e, _ = word_spans(low, np.array([0, len(low)]), ALNUM)
@@ -35,8 +38,7 @@ def _windows(texts: list[tuple], n: int) -> list[tuple]:
             raw = low.tobytes()
             words = [raw[a:b] for a, b in zip(s, e)]
             for i, h in enumerate(rolling(span_hash(prefix_hash(low), s, e), k)):
-                out.append((int(h), k, b" ".join(words[i : i + k]), item))
-    return out
+                yield int(h), k, b" ".join(words[i : i + k]), item
 
 
 class _Set:
@@ -106,42 +108,58 @@ def _united(each: tuple) -> tuple[int, list, set]:
 
 
 def _blocks(benchmark: DataFrame, n: int, item_col: str, text_col: str):
-    """Blocks of benchmark items whose windows fit MAX_SET; one block for any usual benchmark.
-
-    The size is checked first: a window takes two characters of text at least.
-    """
+    """Sets of ``MAX_SET`` windows at most, one for any usual benchmark; the items come to the driver one after the other, a long one may lie in several sets."""
     b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("length(t) > 0")
-    size = b.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    parts = -(-size // (2 * MAX_SET)) or 1
-    for p in range(parts):
-        own = b if parts == 1 else b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
-        yield _windows([(r.i, r.t) for r in own.toLocalIterator()], n)
+    rows, any_ = _windows(((r.i, r.t) for r in b.toLocalIterator()), n), False
+    while (block := list(islice(rows, MAX_SET))) or not any_:
+        any_ = True
+        yield _Set(block)
+        if len(block) < MAX_SET:
+            return
+
+
+_HIT = pa.struct([("words", pa.int64()), ("runs", pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "z", "first", "last")]))), ("items", pa.list_(pa.string()))])
+_HIT_SQL = "struct<words: long, runs: array<struct<a: long, z: long, first: long, last: long>>, items: array<string>>"
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, whose name comes too: words, runs of hit words (first word, last + 1, first byte, last + 1), items found."""
+    spark, where, many = docs.sparkSession, docs.columns.index(text_col), len(docs.columns)
+    name = "_hit"
+    while name in docs.columns:
+        name = f"_{name}"
+    schema = StructType([*docs.schema.fields, *spark.createDataFrame([], f"`{name}` {_HIT_SQL}").schema.fields])
+
+    def scanned(sent, again: bool):
+        def run(batches):
+            for batch in batches:
+                found = _scan(batch.column(where), sent.value, n)
+                if again:
+                    before = [(x["words"], [(r["a"], r["z"], r["first"], r["last"]) for r in x["runs"]], set(x["items"])) for x in batch.column(many).to_pylist()]
+                    found = map(_united, zip(before, found))
+                rows = [{"words": int(w), "runs": [dict(zip(("a", "z", "first", "last"), r)) for r in runs], "items": sorted(items, key=lambda i: (i is None, i))} for w, runs, items in found]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:many], pa.array(rows, _HIT)], [*batch.schema.names[:many], name])
+
+        return run
+
+    out = None
+    for block in _blocks(benchmark, n, item_col, item_text):
+        out = (docs if out is None else written(out)).mapInArrow(scanned(spark.sparkContext.broadcast(block), out is not None), schema)
+    return out, name
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, item_ids (sorted strings), spans of the hit byte runs."""
-    spark = docs.sparkSession
-    blocks = list(_blocks(benchmark, n, item_col, item_text))
-    sent = [spark.sparkContext.broadcast(_Set(b)) for b in blocks]
+    found, hit = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), benchmark, n, "text", item_col, item_text)
+    runs, items = F.col(f"{hit}.runs"), F.col(f"{hit}.items")
+    return found.select(
+        F.col("id").alias(id_col), F.col(f"{hit}.words").alias("n_words"), _hits(runs).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.filter(items, lambda i: i.isNotNull()).alias("item_ids"),
+        F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("spans"),
+    )
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for words, runs, found in map(_united, zip(*(_scan(batch.column(1), x.value, n) for x in sent))):
-                ids = sorted(i for i in found if i is not None)
-                rows.append((words, sum(r[1] - r[0] for r in runs), ids, [{"first": r[2], "last": r[3]} for r in runs], len(found)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
-                ["id", "n_words", "n_hit", "n_items", "item_ids", "spans"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<first:long,last:long>>")
-        .withColumnRenamed("id", id_col)
-    )
+
+def _hits(runs):
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["z"] - r["a"])
 
 
 def contaminated(n_hit, n_words):
@@ -151,31 +169,27 @@ def contaminated(n_hit, n_words):
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", remove: str = "documents") -> DataFrame:
     """``docs`` with its columns, without contaminated documents; ``remove="spans"`` instead cuts the hit words out of every text."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(_Set(b)) for b in _blocks(benchmark, n, item_col, item_text)]
-    where = docs.columns.index(text_col)
+    found, hit = _marked(docs, benchmark, n, text_col, item_col, item_text)
+    if remove == "documents":
+        return found.filter(~contaminated(_hits(F.col(f"{hit}.runs")), F.col(f"{hit}.words"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    where, many = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for batch in batches:
-            keep, texts = [], []
-            for raw, (words, runs, _) in zip(batch.column(where), map(_united, zip(*(_scan(batch.column(where), x.value, n) for x in sent)))):
-                hit = sum(r[1] - r[0] for r in runs)
-                keep.append(not (hit > 0 and 20 * hit >= words))
-                if remove == "spans":
-                    text = raw.as_py()
-                    if runs:
-                        b, out, at = text.encode(), [], 0
-                        for r in runs:
-                            out.append(b[at : r[2]])
-                            at = r[3]
-                        text = b"".join([*out, b[at:]]).decode()
-                    texts.append(text)
-            if remove == "spans":
-                yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
-            else:
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = []
+            for text, x in zip(batch.column(where).to_pylist(), batch.column(many).to_pylist()):
+                if x["runs"]:
+                    b, out, at = text.encode(), [], 0
+                    for r in x["runs"]:
+                        out.append(b[at : r["first"]])
+                        at = r["last"]
+                    text = b"".join([*out, b[at:]]).decode()
+                texts.append(text)
+            columns = list(batch.columns[:many])
+            columns[where] = pa.array(texts, columns[where].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:many])
+
+    return found.mapInArrow(run, docs.schema)
 
 
 def items_digest(ids: list[str]) -> str:
