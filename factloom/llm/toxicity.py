@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm._common import mix
 
 ORDER, DECAY, LONGEST = 3, 0.6, 24
-SAMPLE, TRAIN_CHARS, LANDMARKS, ROUNDS, COST = 1500, 20_000, 72, 4, 1000.0
+SAMPLE, TRAIN_CHARS, LANDMARKS, ROUNDS, COST = 1000, 20_000, 72, 4, 1000.0
 #: Witnesses of a toxic bag besides its best unit, and the least z-score of those.
 WITNESSES, SIGNIFICANT = 4, 3.0
 #: Units whose margin a Python worker keeps.
@@ -197,14 +198,16 @@ def _witnesses(score: np.ndarray, sure: np.ndarray, bag: np.ndarray) -> np.ndarr
 
 
 def _without_copies(bags: list[tuple], toxic: list[int]) -> tuple[list[tuple], list[int]]:
-    """Bags without near copies of earlier ones (three of four min-hashes seen before): a copied text is one witness, not many."""
-    seen, kept = set(), []
+    """Bags without near copies of earlier ones (three of four min-hashes as in one of them): a copied text is one witness, not many."""
+    by: dict[tuple, list[int]] = {}
+    kept = []
     for i, bag in enumerate(bags):
         h = mix(np.array([zlib.crc32(u.encode()) for u in bag], np.uint64)) if bag else np.zeros(1, np.uint64)
         marks = [(k, int(mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for k in range(4)]
-        if sum(m in seen for m in marks) < 3:
+        if max(Counter(j for m in marks for j in by.get(m, ())).values(), default=0) < 3:
             kept.append(i)
-        seen.update(marks)
+        for m in marks:
+            by.setdefault(m, []).append(i)
     return [bags[i] for i in kept], [toxic[i] for i in kept]
 
 
@@ -246,13 +249,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     for turn in range(ROUNDS):
         value, vector = np.linalg.eigh(similarity(marks, marks).astype(float))
         root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
-        x = kernel @ root
+        x = kernel @ root.astype(np.float32)
         witness = np.concatenate([_witnesses(score, sure, np.array([at[u] for u in b])) for b in pos])
         hard = plain[np.argsort(-score[plain], kind="stable")[:4000]]
         negative = np.union1d(some, hard)
         weight = COST * np.r_[np.full(len(witness), 1 / len(witness)), in_neg[negative] / len(neg)]
-        w, bias = _machine(np.vstack([x[witness], x[negative]]), weight, np.r_[np.ones(len(witness)), -np.ones(len(negative))])
-        score = x @ w + bias
+        w, bias = _machine(np.vstack([x[witness], x[negative]]).astype(float), weight, np.r_[np.ones(len(witness)), -np.ones(len(negative))])
+        score = x @ w.astype(np.float32) + np.float32(bias)
         beta = root @ w
         if turn < ROUNDS - 1:
             kernel = add(plain[np.argsort(-score[plain], kind="stable")], LANDMARKS // 6, 0.9)
