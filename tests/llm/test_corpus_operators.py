@@ -159,6 +159,38 @@ def test_toxicity_tolerates_gaps(spark, docs, none):
     assert np.allclose(model.margins(words), toxicity.similarity(words, model.landmarks) @ model.beta + model.bias, atol=1e-4)
 
 
+def test_kernel_against_plain_recursion():
+    """The subsequence kernel by its definition: common subsequences, weighted for every letter that they span."""
+
+    def plain(a, b):
+        a, b = "\1" + a, "\1" + b
+        total = 0.0
+        for i in itertools.combinations(range(len(a)), toxicity.ORDER):
+            for j in itertools.combinations(range(len(b)), toxicity.ORDER):
+                if all(a[x] == b[y] for x, y in zip(i, j)):
+                    total += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+        return total
+
+    words, marks = ["idiot", "idxiot", "oidit", "st", "station", "idiotidiot"], ["idiot", "stupid", "station"]
+    want = [[plain(a, b) / np.sqrt(plain(a, a) * plain(b, b)) if len(a) >= 2 else 0.0 for b in marks] for a in words]
+    assert np.allclose(toxicity.similarity(words, marks), want, atol=1e-4)
+
+
+def test_toxicity_of_odd_texts(spark):
+    """Very long texts, texts without letters, repeated rows and clashing columns score as one by one."""
+    r = random.Random(2)
+    plain = ["".join(r.choice(["th", "er", "an", "on", "re"]) for _ in range(3)) for _ in range(400)]
+    texts = [" ".join(r.choice(plain) for _ in range(20)) + (" idiot" if i % 2 else "") for i in range(80)]
+    model = toxicity.fit(texts, [i % 2 for i in range(80)])
+    long = " ".join(r.choice(plain) for _ in range(60_000))
+    rows = [(1, long), (2, long + " idiot"), (3, "12 !? 7"), (4, "x" * 100_000), (1, long)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1.0)).withColumn("toxic", F.lit(1))
+    got = [(x.doc_id, x.score >= 0.5) for x in toxicity.scores(d, model).collect()]
+    assert sorted(got) == [(1, False), (1, False), (2, True), (3, False), (4, False)]
+    kept = toxicity.keep_clean(d, model)
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [1, 1, 3, 4]
+
+
 def components_of(n, links):
     p = list(range(n))
     for a, b in sorted(links):
@@ -322,6 +354,25 @@ def test_license_gates_lose_no_rule(monkeypatch):
     assert [r[5] for r in gated[-5:]] == ["gpl-3.0", "mit", "zlib", "wtfpl", "cc0-1.0"]
 
 
+def test_licenses_against_brute_force(monkeypatch):
+    """Detections kept are those that no detection of a better rule, or a longer one of the same rule, holds; base places are all places."""
+    r = random.Random(12)
+    words = ["mit", "license", "licence", "apache", "2", "0", "version", "under", "the", "terms", "of", "gnu", "general", "public", "lesser", "released", "licensed", "bsd", "3", "clause", "all", "rights", "reserved", "x"]
+    rules = licenses.rules()
+    for _ in range(60):
+        line = [r.choice(words) for _ in range(60)]
+        text = " ".join(line)
+        kept, base = licenses.detect(text)
+        found = sorted((i, m.start() - m.end(), m.start(), m.end(), label, weight) for i, label, _, pattern, weight in rules for m in pattern.finditer(text))
+        want = []
+        for _, _, a, z, label, weight in found:
+            if not any(k[0] <= a and z <= k[1] for k in want):
+                want.append((a, z, label, weight))
+        assert [(a, label) for a, _, label, _ in kept] == [(text[:a].count(" "), label) for a, _, label, _ in sorted(want)]
+        phrases = [(i, label) for phrase, label in licenses.BASE for i in range(len(line)) if line[i : i + len(phrase.split())] == phrase.split()]
+        assert base == sorted(phrases)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
@@ -454,6 +505,31 @@ def test_secrets(spark, docs, none):
     assert secrets.redact(clash).columns == clash.columns and all((r.spans, r._new, r.row) == (1, "keep", 2) and r.text == red[i] and r.n_chars == (len(r.text) if r.text != texts[i] else 7) for i, r in red2.items())
 
 
+def test_entropy_spans_against_brute_force(spark):
+    """Candidates, allow-list, overlap with base spans and thresholds, one by one."""
+    r = random.Random(31)
+    mixed, hexa = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-", "0123456789abcdefABCDEF"
+    parts = ["word", "an example-of-words-joined", "550e8400-e29b-41d4-a716-446655440000", "a/b1/c2/some-path_here/x", "token=", "AKIA", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "your_key_0123456789abcdefgh", "1234567890123456789012"]
+    own = lambda: r.choice([*parts, "".join(r.choice(mixed) for _ in range(r.randint(10, 40))), "".join(r.choice(hexa) for _ in range(r.randint(10, 40))), "".join(r.choice("abc1") for _ in range(30))])
+    texts = [r.choice(["", " "]).join(own() for _ in range(3)) + " " + " ".join(own() for _ in range(12)) for _ in range(60)]
+    got = {x.doc_id: [(s.start, s.stop) for s in x.spans if s.kind == 3] for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)")
+    seen = 0
+    for i, t in enumerate(texts):
+        taken = [(m.start(), m.end()) for p, least in zip(base, (6, 20, 24)) for m in re.finditer(p, t) if len(m[1]) >= least]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            s = m[0]
+            if re.search(secrets.ALLOW, s) or any(a < m.end() and m.start() < z for a, z in taken):
+                continue
+            bits = secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", s) else secrets.MIXED_BITS if re.search("[A-Za-z]", s) else 99
+            best = max(-sum(c / 20 * np.log2(c / 20) for c in collections.Counter(s[k : k + 20]).values()) for k in range(len(s) - 19))
+            want += [(m.start(), m.end())] if best >= bits - 1e-12 else []
+        seen += len(want)
+        assert got[i] == want
+    assert seen > 50
+
+
 @pytest.mark.parametrize("token", ["abcdefghijklmnopqrst", "aaaaaaaaaaaaaaaaaaaaab", "abab" * 9, "short"])
 def test_window_entropy(spark, token):
     best = 0.0
@@ -500,3 +576,32 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 3 not in ids and len(ids) < len(rows)
     assert hashlib.sha256(b"").hexdigest() == decontaminate.items_digest([])
+
+
+def test_pipeline_with_labels(spark, tmp_path):
+    """A model is learned, toxic and contaminated documents and copies go, secrets are masked, and every id of what is left is packed once."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    plain = ["".join(r.choice(["th", "er", "an", "on", "re", "st", "ou"]) for _ in range(3)) for _ in range(1500)]
+    text = lambda n: " ".join(r.choice(plain) for _ in range(n))
+    rows = [(i, text(60) + (" idiot" if i % 2 else ""), "en", "s", 0) for i in range(100)]
+    item = text(20)
+    clean = [(200 + i, text(80), "en", "s", 0) for i in range(10)]
+    rows += clean + [(300, clean[0][1], "en", "s", 0), (301, item + " " + text(40), "en", "s", 0), (302, text(30) + " password=abcdef123 " + text(30), "en", "s", 0), (303, None, "en", None, None), (None, "", None, "s", 0)]
+    rows = [(i, t, *rest, len(t or "")) for i, t, *rest, _ in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got, docs = {}, d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), spark)
+        got[name] = {x.doc_id: x for x in docs.collect()}
+    assert not any(i is not None and i < 100 and i % 2 for i in got["toxicity"]) and {200 + i for i in range(10)} | {300, 301, 302, 303, None} <= set(got["toxicity"])
+    assert 300 not in got["ngram_jaccard_join"] and 200 in got["ngram_jaccard_join"]
+    assert set(got["ngram_jaccard_join"]) - set(got["benchmark_decontamination"]) == {301}
+    masked = got["secret_scans"][302]
+    assert "abcdef123" not in masked.text and masked.n_chars == len(masked.text) and got["secret_scans"][303].n_chars == 0
+    ids = [x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0").collect()]
+    assert sorted(ids, key=repr) == sorted(got["secret_scans"], key=repr)
