@@ -119,6 +119,11 @@ def plausibility_outcome(value: Column, n: Column, mean: Column, sd: Column, low
     return outcome(odd, "warn", "ValueOutOfPlausibleRange", "over five deviations from the trailing mean")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, where the cluster names a shared folder for checkpoints; else as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 #: What a staged row holds by kind; each is checked where the table has it.
 TEXT_FIELDS = ("staging_id", "run_id", "document_id", "indicator", "unit", "period_bs", "publication_bs", "fiscal_year_bs", "fiscal_year_ad")
 DATE_FIELDS = ("ad_start", "ad_end", "publication_ad")
@@ -180,6 +185,7 @@ def validate(staging: DataFrame, approved: DataFrame, indicators: DataFrame, doc
     )
     blocks = lambda c: F.coalesce(F.col(c)["kind"] == "block", F.lit(False))
     j = j.withColumn("stopped", blocks("_schema") | blocks("_indicator") | blocks("_period") | blocks("_unit") | blocks("_source")).withColumn("value", v)
+    j = cut(j)
     done = judged_in_order(j, prior)
     j = j.join(done.select(F.col("staging_id"), F.col("flag_type").alias("_flag"), F.col("detail").alias("_detail"), "revision"), "staging_id", "left")
     gone = j.filter("revision is not null").select("staging_id", "indicator", "inserted_at", "ad_end", "value")

@@ -59,7 +59,10 @@ judged AS (SELECT al.*, stopped OR flag IS NOT NULL AS blocked, COALESCE(known A
 
 def inputs(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return {n: spark.sql(f"WITH {INPUT} SELECT * FROM {n}") for n in ("staging", "approved", "indicators", "docs")}
+    # The totals by day are read by every branch below, so they are computed once.
+    totals, rest = INPUT.split(",\napproved AS", 1)
+    Q.cut(spark.sql(f"WITH {totals} SELECT * FROM daily")).createOrReplaceTempView("daily")
+    return {n: spark.sql(f"WITH approved AS{rest} SELECT * FROM {n}") for n in ("staging", "approved", "indicators", "docs")}
 
 
 def calendar(spark):
