@@ -1,6 +1,6 @@
 """The corpus operators' queries by name, and SQL for those that SQL can express."""
 
-from factloom.llm import decontaminate, embeddings, jaccard, language, licenses, packing, secrets, suffixes, toxicity, urls
+from factloom.llm import centroids, decontaminate, embeddings, infill, jaccard, language, licenses, packing, quality_rules, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8,
     "op9_secret_scans": secrets.op9,
     "op10_url_filters": urls.op10,
+    "op11_centroid_clustering": centroids.op11,
+    "op12_quality_rules": quality_rules.op12,
+    "op13_fill_in_middle": infill.op13,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,6 +23,8 @@ LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 NOT_SPACES = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": centroids.sql(),
+    "op13_fill_in_middle": infill.SQL,
     "op4_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {NOT_SPACES}) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) x),
 n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
