@@ -25,19 +25,18 @@ BUCKETS, PRIOR, THRESHOLD, UNIT = 1 << 14, 1000, -0.05, 1_000_000
 LEAST, REPEATED = 50, 50
 #: Trusted ids that are sent to every task.
 SENT = 1_000_000
-WORD, SPACES, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
+WORD, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def grams(text: Column) -> Column:
-    """Buckets of the lowered words and pairs of neighbouring words of a text."""
+def buckets(w: str) -> Column:
+    """Buckets of the words and the pairs of neighbouring words of the array column ``w``."""
     bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")
-    w = words(F.lower(text))
-    pair = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull(), bucket(F.concat_ws(" ", a, b))))
-    return F.concat(F.transform(w, bucket), F.slice(pair, 1, F.greatest(F.size(w) - 1, F.lit(0))))
+    pair = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: bucket(F.concat_ws(" ", a, b)))
+    return F.concat(F.transform(w, bucket), pair)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
@@ -45,7 +44,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     ids = trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("own")).filter("id is not null").distinct()
     ids = F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, "id", "left")
-    counted = t.select("own", F.explode(grams(F.col("text"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count("own").alias("m"))
+    counted = t.select("own", words(F.lower("text")).alias("w")).select("own", F.explode(buckets("w")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count("own").alias("m"))
     n, m = [1] * BUCKETS, [0] * BUCKETS
     for r in counted.collect():  # the buckets
         n[r.g], m[r.g] = n[r.g] + r.n, m[r.g] + r.m
@@ -74,19 +73,19 @@ def judge(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col:
     t = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     c = F.col("_t")
     lines = F.filter(F.split(c, "\n", -1), lambda x: x.rlike(WORD))
-    t = t.withColumn("_w", words(c)).withColumn("_lines", lines)
+    t = t.withColumn("_w", words(c)).withColumn("_v", words(F.lower(c))).withColumn("_lines", lines)
     t = t.select(
-        "_id", "_t", F.size("_w").cast("long").alias("n_words"), (F.length(c) - F.regexp_count(c, F.lit(SPACES))).cast("long").alias("word_chars"), F.regexp_count(c, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "_id", "_v", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.regexp_count(c, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_words("_w").alias("_s"),
     ).withColumn("n_repeat_words", _covered("_s")).drop("_s")
     t = t.withColumn("base_failed", (F.col("n_words") < LEAST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
     # One constant for all rows: the optimizer folds it into a literal.
     table = F.from_json(F.lit(str(weights)), "array<bigint>")
-    total = F.aggregate(grams(F.col("_t")), F.lit(0).cast("long"), lambda acc, g: acc + F.get(table, g))
+    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, g: acc + F.get(table, g))
     many = 2 * F.col("n_words") - 1
-    t = t.withColumn("_sum", F.when(F.col("n_words") > 0, total).otherwise(F.lit(0).cast("long")))
+    t = t.withColumn("_b", buckets("_v")).withColumn("_sum", F.when(F.size("_b") > 0, total).otherwise(F.lit(0).cast("long")))
     good = F.col("_sum") >= round(threshold * UNIT) * many
-    return t.select(F.col("_id").alias(id_col), *t.columns[2:-1], (F.col("_sum") / F.greatest(many, F.lit(1)) / UNIT).alias("score"), (~F.col("base_failed") & good).alias("kept"))
+    return t.select(F.col("_id").alias(id_col), *t.columns[2:-2], (F.col("_sum") / F.greatest(many, F.lit(1)) / UNIT).alias("score"), (~F.col("base_failed") & good).alias("kept"))
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
