@@ -121,13 +121,33 @@ def page_urls(url: Column, cap: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(cap)), lambda n: F.when(n == 1, url).otherwise(F.concat(url, sep, n.cast("string"))))
 
 
+#: Scheme, authority, path, query and fragment of a reference (RFC 3986, appendix B), with their marks.
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its dot segments: a stack of segments, which two dots take the last from and one dot leaves as it is."""
+    parts = F.split(path, "/", -1)
+    rooted, last = path.startswith("/"), F.element_at(parts, -1)
+    none = F.expr("cast(array() as array<string>)")
+    steps = F.filter(F.slice(parts, F.when(rooted, F.lit(2)).otherwise(F.lit(1)), F.size(parts)), lambda s: s != ".")
+    stack = F.aggregate(steps, none, lambda acc, s: F.when(s != "..", F.array_append(acc, s)).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))))
+    # A dot segment at the end leaves its slash.
+    stack = F.when(last.isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)
+    return F.when(F.contains(path, F.lit(".")), F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(stack, "/"))).otherwise(path)
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """STR-12: scheme, host-relative, root-relative and path-relative references."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)[^/]*$", 1)
-    folder = F.when(folder.rlike("^[A-Za-z][A-Za-z0-9+.-]*://$"), F.concat(root, F.lit("/"))).otherwise(folder)
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
+    """STR-12: a reference resolved against a base (RFC 3986, section 5.2); one with the base's own scheme and no authority is relative, as of old; one with a host of its own stays as it is."""
+    part = lambda c, i: F.regexp_extract(c, _PARTS, i)
+    own = F.lower(part(base, 1))
+    ref = F.when((part(href, 1) != "") & (F.lower(part(href, 1)) == own) & (part(href, 2) == ""), F.substring(href, F.length(part(href, 1)) + 1, F.length(href))).otherwise(href)
+    scheme, host, path, query, mark = (part(ref, i) for i in range(1, 6))
+    b_host, b_path = part(base, 2), part(base, 3)
+    merged = F.when((b_host != "") & (b_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(b_path, "(?s)^(.*/)[^/]*$", 1), path))
+    beside = F.when(path.startswith("/"), without_dots(path)).otherwise(without_dots(merged))
+    relative = F.when(path == "", F.concat(b_host, b_path, F.when(query != "", query).otherwise(part(base, 4)))).otherwise(F.concat(b_host, beside, query))
+    return F.when(scheme != "", ref).otherwise(F.concat(part(base, 1), F.when(host != "", F.concat(host, path, query)).otherwise(relative), mark))
 
 
 def category_id(url: Column) -> Column:
@@ -214,10 +234,21 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / n)
 
 
+#: What Python reads as a float: digits may be parted by underscores, which ``_float`` takes out before.
+_FLOAT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+#: What JavaScript reads as a number.
+_NUMBER = r"^(?:[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)$"
+
+
+def _float(c: Column) -> Column:
+    """A trimmed string as a double, digits of both scripts; null where its shape isn't a number's. The engine's cast alone would take ``5d`` and ``3f``."""
+    t = F.regexp_replace(to_arabic(F.trim(c)), "(?<=[0-9])_(?=[0-9])", "")
+    return F.when(t.rlike(_FLOAT), t.try_cast("double"))
+
+
 def census_number(c: Column) -> Column:
     """NUM-1."""
-    t = F.trim(c)
-    return F.when(~t.isin(*CENSUS_BLANK), t.try_cast("double"))
+    return F.when(~F.trim(c).isin(*CENSUS_BLANK), _float(c))
 
 
 def amount(c: Column) -> Column:
@@ -228,14 +259,14 @@ def amount(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """NUM-3: NaN is no number."""
-    v = F.trim(c).try_cast("double")
+    v = _float(c)
     return F.when(~F.isnan(v), v)
 
 
 def is_finite(c: Column) -> Column:
-    """NUM-4."""
-    v = c.try_cast("double")
-    return F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
+    """NUM-4: a number that is neither infinite nor NaN; strings by their shape, and blank ones are none."""
+    s = c.cast("string")
+    return F.coalesce(F.trim(s).rlike(_NUMBER) & (F.contains(F.lower(s), F.lit("x")) | F.contains(F.lower(s), F.lit("o")) | F.contains(F.lower(s), F.lit("b")) | (F.abs(F.trim(s).try_cast("double")) != float("inf"))), F.lit(False))
 
 
 def display_number(c: Column) -> Column:

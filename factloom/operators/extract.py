@@ -53,16 +53,23 @@ def extract(docs: DataFrame, phrases=PHRASES, id_col: str = "doc_id", text_col:
     provisional and gets grade B; a deficit keeps its magnitude and is noted. No match is PageLayoutChanged, a figure
     that is no number ValueUnparseable.
     """
-    text, one = F.col(text_col), []
-    for slug, unit, ending, phrase in phrases:
-        pattern = expression(phrase)
-        part = lambda i, p=pattern: F.regexp_extract(text, p, i)
-        hit, figure = F.regexp_instr(text, F.lit(pattern)), part(2)
-        first = hit + F.length(part(1))  # place of the figure, from 1
+    docs = docs.select(id_col, F.col(text_col).alias("_text"))
+    # One search over the text for each phrase; the groups are taken from what it found.
+    for k, (*_, phrase) in enumerate(phrases):
+        docs = docs.withColumn(f"_p{k}", F.split("_text", expression(phrase), 2))
+    for k in range(len(phrases)):
+        before, after = F.length(F.get(f"_p{k}", F.lit(0))), F.length(F.get(f"_p{k}", F.lit(1)))
+        docs = docs.withColumn(f"_m{k}", F.when(F.size(f"_p{k}") == 2, F.struct((before + 1).alias("at"), F.col("_text").substr(before + 1, F.length("_text") - before - after).alias("s"))))
+    text, one = F.col("_text"), []
+    for k, (slug, unit, ending, phrase) in enumerate(phrases):
+        pattern, match = expression(phrase), F.col(f"_m{k}")
+        part = lambda i, p=pattern, m=match: F.regexp_extract(m["s"], p, i)
+        figure = part(2)
+        first = match["at"] + F.length(part(1))  # place of the figure, from 1
         near = F.substring(text, F.greatest(first - BEFORE, F.lit(1)), F.length(figure) + AFTER + F.least(first - 1, F.lit(BEFORE)))
         provisional = near.rlike(r"[0-9]\s*[Pp]\b")
         deficit = F.contains(F.lower(part(1)), F.lit("deficit")) if "surplus|deficit" in phrase else F.lit(False)
-        found, value = F.coalesce(hit > 0, F.lit(False)), figure.try_cast("double")
+        found, value = match.isNotNull(), figure.try_cast("double")
         note = F.nullif(F.concat_ws("; ", F.when(provisional, PROVISIONAL_NOTE), F.when(deficit, DEFICIT_NOTE)), F.lit(""))
         one.append(
             F.struct(

@@ -3,6 +3,10 @@
 An extract takes a table that holds many documents and returns (rows, errors, runs): long rows, what could not be read,
 and the status of each document (failure without rows, partial with errors too, else success). Nothing of a document
 whose extract failed is written (CHK-15).
+
+An extract reads its table in one pass, in which every record gives arrays of rows and errors. These are tagged with
+their kind and written once, in a folder for each kind; rows, errors and runs are read from there, so that none of them
+repeats the work of another. A document without rows or errors has one error more, of class Other.
 """
 
 from __future__ import annotations
@@ -10,13 +14,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.calendar import label_bs, mid_month, nine_months
 from factloom.functions.text import amount, census_number, plain_number, slugify, squash
 from factloom.operators import quality as Q, reshape as R, staging as S, tables as T
 from factloom.operators.extract import PHRASES, extract
 from factloom.operators.resolve import municipalities, resolved
+from factloom.operators.shared import written
 
 # Needles of the price table and the geography of each; labels and columns of the banking sheet; the jobs' units and grades.
 PRICE_NEEDLES = (("overall", "3 over 1"), ("rural", "6 over 4"), ("urban", "9 over 7"))
@@ -38,14 +43,36 @@ class Extract:
     runs: DataFrame
 
 
-def _done(docs: DataFrame, rows: DataFrame, errors: DataFrame) -> Extract:
-    """Errors: doc_id, row_idx, error_class, error_detail."""
-    return Extract(rows, errors, R.run_status(rows, errors, docs.select("doc_id").distinct()))
+_ERRORS = "array<struct<row_idx:int,error_class:string,error_detail:string>>"
 
 
-def _error(df: DataFrame, klass: Column | str, detail: Column | str, row: str | None = None) -> DataFrame:
+def _error(when: Column, klass: Column | str, detail: Column | str, row: str | None = None) -> Column:
+    """An error's struct where ``when`` holds, else null."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select("doc_id", (F.col(row) if row else F.lit(None)).cast("int").alias("row_idx"), lit(klass).alias("error_class"), lit(detail).alias("error_detail"))
+    return F.when(when, F.struct((F.col(row) if row else F.lit(None)).cast("int").alias("row_idx"), lit(klass).alias("error_class"), lit(detail).alias("error_detail")))
+
+
+def _errors(*one: Column) -> Column:
+    return F.array_compact(F.array(*one)).cast(_ERRORS) if one else F.array().cast(_ERRORS)
+
+
+def _done(docs: DataFrame, items: DataFrame | None) -> Extract:
+    """The extract of all documents (doc_id, errors) and what was read of them (doc_id, rows, errors), where there is any; rows and errors are arrays."""
+    kind = items.schema["rows"].dataType.elementType.simpleString() if items is not None else "struct<indicator:string,value:double>"
+    tag = lambda k, r, e: F.struct(F.lit(k).alias("kind"), r.cast(kind).alias("r"), e.cast(_ERRORS[6:-1]).alias("e"))
+    null = F.lit(None)
+    failed = F.transform("errors", lambda e: tag("error", null, e))
+    each = docs.select("doc_id", F.explode(F.concat(F.array(tag("doc", null, null)), failed)).alias("x"))
+    if items is not None:
+        each = each.unionByName(items.select("doc_id", F.explode(F.concat(F.transform("rows", lambda r: tag("row", r, null)), failed)).alias("x")))
+    t = written(each.select("doc_id", "x.*"), "kind")
+    counts = t.groupBy("doc_id").agg(F.count_if(F.col("kind") == "row").alias("n_rows"), F.count_if(F.col("kind") == "error").alias("n_errors"))
+    silent = (F.col("n_rows") == 0) & (F.col("n_errors") == 0)
+    other = counts.filter(silent).select("doc_id", _error(F.lit(True), "Other", "no rows found").alias("e"))
+    runs = counts.withColumn("n_errors", F.when(silent, F.lit(1).cast("long")).otherwise(F.col("n_errors")))
+    status = F.when(F.col("n_rows") == 0, "failure").when(F.col("n_errors") > 0, "partial").otherwise("success")
+    errors = t.filter("kind = 'error'").select("doc_id", "e").unionByName(other).select("doc_id", "e.*")
+    return Extract(t.filter("kind = 'row'").select("doc_id", "r.*"), errors, runs.withColumn("status", status))
 
 
 def persisted(extract_: Extract) -> DataFrame:
@@ -55,35 +82,37 @@ def persisted(extract_: Extract) -> DataFrame:
 
 def price_index(cells: DataFrame, fy_start: int, docs: DataFrame | None = None) -> Extract:
     """PIPE-3: yearly change of each group and geography of header-less price tables (cells: doc_id, row_idx, col_idx, text)."""
-    docs = docs if docs is not None else cells.select("doc_id").distinct()
-    spark = cells.sparkSession
-    columns = R.needle_columns(cells, spark.createDataFrame(list(PRICE_NEEDLES), "geo string, needle string")).select("doc_id", "geo", "col_idx")
-    head = cells.filter("col_idx < 2").groupBy("doc_id", "row_idx").agg(*(F.max(F.when(F.col("col_idx") == i, F.trim("text"))).alias(c) for i, c in enumerate(("code", "label"))))
-    head = head.filter(R.index_row(F.col("code"), F.col("label")) & (F.coalesce("label", F.lit("")) != ""))
-    stem = slugify(F.nullif("code", F.lit("")), F.col("label"))
-    # RSH-3: one row for each group and geography.
-    each = head.select("doc_id", "row_idx", stem.alias("stem")).join(F.broadcast(columns), "doc_id").join(cells, ["doc_id", "row_idx", "col_idx"], "left").withColumn("value", plain_number(F.col("text")))
+    docs = (docs if docs is not None else cells).select("doc_id").distinct()
+    needles = cells.sparkSession.createDataFrame(list(PRICE_NEEDLES), "geo string, needle string")
+    columns = R.needle_columns(cells, needles).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("geo", "col_idx"))).alias("wanted"))
+    own = cells.join(columns, "doc_id").withColumn("geo", F.get(F.filter("wanted", lambda w: w["col_idx"] == F.col("col_idx")), F.lit(0))["geo"]).filter("col_idx < 2 or geo is not null")
+    text = lambda i: F.max(F.when(F.col("col_idx") == i, F.trim("text")))
+    line = own.groupBy("doc_id", "row_idx").agg(text(0).alias("code"), text(1).alias("label"), F.first("wanted").alias("wanted"), F.collect_list(F.when(F.col("geo").isNotNull(), F.struct("geo", "text"))).alias("found"))
+    line = line.filter(R.index_row(F.col("code"), F.col("label")) & (F.coalesce("label", F.lit("")) != "")).withColumn("stem", slugify(F.nullif("code", F.lit("")), F.col("label")))
+    # RSH-3: one value for each group and geography.
+    cell = lambda w: F.get(F.filter("found", lambda f: f["geo"] == w["geo"]), F.lit(0))["text"]
+    line = line.withColumn("each", F.transform("wanted", lambda w: F.struct(w["geo"].alias("geo"), cell(w).alias("text"), plain_number(cell(w)).alias("value"))))
     span = F.struct(mid_month(F.lit(1), F.lit(fy_start)).alias("start"), mid_month(F.lit(9), F.lit(fy_start)).alias("end"))
-    rows = each.filter("value is not null").select(
-        "doc_id", F.concat(F.lit("ncpi-"), "stem", F.lit("-"), "geo", F.lit("-yoy")).alias("indicator"), "value", F.lit("percent_yoy").alias("unit"), F.lit("nine_months_cumulative").alias("period_type"),
+    row = lambda x: F.struct(
+        F.concat(F.lit("ncpi-"), "stem", F.lit("-"), x["geo"], F.lit("-yoy")).alias("indicator"), x["value"].alias("value"), F.lit("percent_yoy").alias("unit"), F.lit("nine_months_cumulative").alias("period_type"),
         F.concat(F.lit("FY "), label_bs(F.lit(fy_start)), F.lit(" 9M")).alias("period_bs"), span["start"].alias("ad_start"), span["end"].alias("ad_end"), F.lit("A").alias("grade"),
     )
-    lost = docs.select("doc_id").distinct().join(columns.select("doc_id").distinct(), "doc_id", "left_anti")
-    bad = each.filter("value is null")
-    where = F.concat("stem", F.lit("/"), "geo")
-    errors = _error(bad.filter("text is null"), "ColumnMissing", where, "row_idx").unionByName(_error(bad.filter("text is not null"), "ValueUnparseable", where, "row_idx")).unionByName(_error(lost, "ColumnMissing", "columns of change not found"))
-    return _done(docs, rows, errors)
+    rows = F.transform(F.filter("each", lambda x: x["value"].isNotNull()), row)
+    bad = F.transform(F.filter("each", lambda x: x["value"].isNull()), lambda x: _error(F.lit(True), F.when(x["text"].isNull(), "ColumnMissing").otherwise("ValueUnparseable"), F.concat("stem", F.lit("/"), x["geo"]), "row_idx"))
+    lost = docs.join(columns, "doc_id", "left").select("doc_id", _errors(_error(F.col("wanted").isNull(), "ColumnMissing", "columns of change not found")).alias("errors"))
+    return _done(lost, line.select("doc_id", rows.alias("rows"), bad.alias("errors")))
 
 
 def narrative(docs: DataFrame, fy_start: int, phrases=PHRASES) -> Extract:
     """PIPE-4: figures of bulletins (doc_id, text); figures of the end of a period stand for its last day."""
-    found = extract(docs, phrases)
     span = nine_months(F.lit(fy_start))
-    rows = found.filter("error is null").select(
-        "doc_id", F.col("slug").alias("indicator"), "value", "unit", F.lit("nine_months_cumulative").alias("period_type"), F.concat(F.lit("FY "), label_bs(F.lit(fy_start)), F.lit(" 9M")).alias("period_bs"),
+    row = F.struct(
+        F.col("slug").alias("indicator"), "value", "unit", F.lit("nine_months_cumulative").alias("period_type"), F.concat(F.lit("FY "), label_bs(F.lit(fy_start)), F.lit(" 9M")).alias("period_bs"),
         F.when(F.col("end_of_period"), span["end"]).otherwise(span["start"]).alias("ad_start"), span["end"].alias("ad_end"), "grade", F.col("note").alias("notes"),
     )
-    return _done(docs, rows, _error(found.filter("error is not null"), F.col("error"), F.col("slug")))
+    good = F.col("error").isNull()
+    found = extract(docs, phrases).select("doc_id", F.array_compact(F.array(F.when(good, row))).alias("rows"), _errors(_error(~good, F.col("error"), F.col("slug"))).alias("errors"))
+    return _done(docs.select("doc_id").distinct().withColumn("errors", _errors()), found)
 
 
 def census(table: DataFrame, stem: str, family: str, unit: str, columns, dimension: DataFrame, overrides: DataFrame | None = None, gate: float = 85.0) -> Extract:
@@ -93,42 +122,43 @@ def census(table: DataFrame, stem: str, family: str, unit: str, columns, dimensi
     row of its document has is an error.
     """
     docs, lost = table.select("doc_id").distinct(), [c for c in (*CENSUS_GEO, *columns) if c not in table.columns]
-    rows_of = "doc_id string, indicator string, federal_code string, value double"
     if lost:
-        return _done(docs, table.sparkSession.createDataFrame([], rows_of), _error(docs, "ColumnMissing", f"missing required columns: {', '.join(lost)}"))
+        return _done(docs.withColumn("errors", _errors(_error(F.lit(True), "ColumnMissing", f"missing required columns: {', '.join(lost)}"))), None)
     bare = lambda c: F.trim(F.translate(F.trim(c), '"', ""))
-    places = table.filter(R.palika_grain("prov", "dist", "gapa")).withColumn("name", bare("gapaname")).withColumn("district", bare("dname"))
-    found = municipalities(places, dimension, gate, overrides)
-    long = found.filter("federal_code is not null").unpivot(["doc_id", "row_idx", "federal_code"], list(columns), "column", "raw").withColumn("value", census_number(F.col("raw")))
-    long = long.withColumn("indicator", slugify(F.lit(stem), F.col("column")))
-    good = Q.first_wins(long.filter("value is not null"), ["doc_id", "federal_code", "indicator"], ["row_idx"])
-    rows = good.filter("rn = 1").select("doc_id", "federal_code", "indicator", "value", F.lit(family).alias("indicator_family"), F.lit(stem).alias("source_table_id"), F.lit(unit).alias("unit"))
-    errors = (
-        _error(found.filter("federal_code is null"), "MunicipalityUnresolved", F.concat("name", F.lit("/"), "district"), "row_idx")
-        .unionByName(_error(long.filter("value is null"), "ValueUnparseable", F.col("column"), "row_idx"))
-        .unionByName(_error(good.filter("rn > 1"), "Other", F.concat(F.lit("duplicate "), "federal_code", F.lit("/"), "indicator"), "row_idx"))
+    places = table.filter(R.palika_grain("prov", "dist", "gapa")).select("doc_id", "row_idx", bare("gapaname").alias("name"), bare("dname").alias("district"), *(F.struct(F.col(c).alias("raw"), census_number(F.col(c)).alias("v")).alias(f"_{i}") for i, c in enumerate(columns)))
+    found = municipalities(written(places), dimension, gate, overrides)
+    # How many values of a column the rows before have for the same place; rows without a place have none.
+    earlier = Window.partitionBy("doc_id", "federal_code").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("federal_code").isNotNull()
+    found = found.withColumns({f"_n{i}": F.when(known, F.count(F.col(f"_{i}.v")).over(earlier)) for i in range(len(columns))})
+    slugs = [slugify(F.lit(stem), F.lit(c)) for c in columns]
+    fact = lambda i: F.when(
+        known & F.col(f"_{i}.v").isNotNull() & (F.col(f"_n{i}") == 0),
+        F.struct("federal_code", slugs[i].alias("indicator"), F.col(f"_{i}.v").alias("value"), F.lit(family).alias("indicator_family"), F.lit(stem).alias("source_table_id"), F.lit(unit).alias("unit")),
     )
-    return _done(docs, rows, errors)
+    bad = lambda i: F.coalesce(_error(known & F.col(f"_{i}.v").isNull(), "ValueUnparseable", columns[i], "row_idx"), _error(known & (F.col(f"_n{i}") > 0), "Other", F.concat(F.lit("duplicate "), "federal_code", F.lit("/"), slugs[i]), "row_idx"))
+    unknown = _error(~known, "MunicipalityUnresolved", F.concat("name", F.lit("/"), "district"), "row_idx")
+    many = range(len(columns))
+    return _done(docs.withColumn("errors", _errors()), found.select("doc_id", F.array_compact(F.array(*map(fact, many))).alias("rows"), _errors(unknown, *map(bad, many)).alias("errors")))
 
 
 def transfers(cells: DataFrame, dimension: DataFrame, fy_start: int, least: float = 70.0) -> Extract:
-    """PIPE-6: grants by place of irregular sheets (cells: doc_id, row_idx, col_idx, text); layout and names are found by their words."""
-    docs = cells.select("doc_id").distinct()
-    head = R.header_row(cells)
-    columns = R.name_columns(cells, head)
-    grants = R.grants(cells, amount)
-    body = cells.join(F.broadcast(head), "doc_id").filter("row_idx > header_row").join(F.broadcast(columns), "doc_id")
-    district = body.filter("col_idx = district_col").select("doc_id", "row_idx", F.trim("text").alias("district"))
-    names = body.filter("col_idx = name_col").filter(~R.is_total(F.col("text"))).select("doc_id", "row_idx", F.trim("text").alias("name")).join(district, ["doc_id", "row_idx"], "left")
-    found = municipalities(names, dimension, least)
-    rows = found.filter("federal_code is not null").drop("name", "district").join(grants.select("doc_id", "row_idx", "grant_type", F.col("amount").alias("amount_npr")), ["doc_id", "row_idx"])
-    rows = rows.select("doc_id", "federal_code", "name_en", "name_ne", "local_level_type", "district_en", label_bs(F.lit(fy_start)).alias("fiscal_year_bs"), "grant_type", "amount_npr")
-    errors = (
-        _error(docs.join(head, "doc_id", "left_anti"), "PageLayoutChanged", "no header row found")
-        .unionByName(_error(columns.filter("name_col is null"), "ColumnMissing", "no column of names found"))
-        .unionByName(_error(found.filter("federal_code is null"), "MunicipalityUnresolved", F.concat_ws("/", "name", "district"), "row_idx"))
-    )
-    return _done(docs, rows, errors)
+    """PIPE-6: grants by place of irregular sheets (cells: doc_id, row_idx, col_idx, text); layout and names are found by their words.
+
+    No header and no column of names are ColumnMissing, a name that matches no place is RegexMismatch; blank names are
+    separators and skipped.
+    """
+    found = written(R.layout(cells))
+    named = municipalities(written(R.sheet_rows(cells, found, amount)), dimension, least)
+    grant = lambda g: F.struct(
+        "federal_code", "name_en", "name_ne", "local_level_type", "district_en", label_bs(F.lit(fy_start)).alias("fiscal_year_bs"), g["grant_type"].alias("grant_type"), g["amount"].alias("amount_npr"),
+        F.lit("NPR_thousand").alias("unit"), F.lit("A").alias("confidence_grade"),
+    )
+    known = F.col("federal_code").isNotNull()
+    rows = F.transform(F.filter("grants", lambda _: known), grant)
+    lost = F.coalesce(_error(F.col("header_row").isNull(), "ColumnMissing", "no header row found"), _error(F.col("name_col").isNull(), "ColumnMissing", "no column of names found"))
+    unknown = _error(~known, "RegexMismatch", F.concat_ws("/", "name", "district"), "row_idx")
+    return _done(found.select("doc_id", _errors(lost).alias("errors")), named.select("doc_id", rows.alias("rows"), _errors(unknown).alias("errors")))
 
 
 def transfer_summary(rows: DataFrame) -> DataFrame:
@@ -141,23 +171,35 @@ def transfer_summary(rows: DataFrame) -> DataFrame:
 
 
 def banking(cells: DataFrame, fy_start: int, fy_month: int, month: str, docs: DataFrame | None = None) -> Extract:
-    """PIPE-7: monthly balance-sheet figures by class of bank of sheets (cells: doc_id, sheet, row_idx, col_idx, text); a document without the sheet fails."""
-    docs, spark = docs if docs is not None else cells.select("doc_id").distinct(), cells.sparkSession
-    own = cells.filter(F.col("sheet") == BANK_SHEET)
-    labels = spark.createDataFrame(list(BANK_LABELS), "label string, stem string")
-    classes = spark.createDataFrame(list(BANK_CLASSES), "class string, col_idx int")
-    m = R.matrix(own.withColumn("text", squash(F.col("text"))), labels, classes, BANK_LABEL_COLUMN, plain_number)
+    """PIPE-7: monthly balance-sheet figures by class of bank of sheets (cells: doc_id, sheet, row_idx, col_idx, text); a document without the sheet fails.
+
+    The first row of each label counts; a label that is missing is one error, not one for each class.
+    """
+    norm = lambda c: F.lower(squash(c))
+    stems = F.create_map(*(x for label, stem in BANK_LABELS for x in (norm(F.lit(label)), F.lit(stem))))
+    classes = F.create_map(*(F.lit(x) for name, i in BANK_CLASSES for x in (i, name)))
+    own = cells.filter(F.col("sheet") == BANK_SHEET).withColumn("class", F.try_element_at(classes, F.col("col_idx")))
+    line = own.filter((F.col("col_idx") == BANK_LABEL_COLUMN) | F.col("class").isNotNull()).groupBy("doc_id", "row_idx").agg(
+        F.try_element_at(stems, norm(F.max(F.when(F.col("col_idx") == BANK_LABEL_COLUMN, F.col("text"))))).alias("stem"), F.collect_list(F.when(F.col("class").isNotNull() & F.col("text").isNotNull(), F.struct("class", "text"))).alias("values")
+    )
+    first = line.groupBy("doc_id", "stem").agg(F.min_by("values", "row_idx").alias("values"))
+    sheet = first.groupBy("doc_id").agg(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("stem", "values"))).alias("lines"))
+    every = (docs if docs is not None else cells).select("doc_id").distinct().join(own.select("doc_id", F.lit(True).alias("there")).distinct(), "doc_id", "left").join(sheet, "doc_id", "left")
+    want = F.array(*(F.struct(F.lit(stem).alias("stem"), F.lit(name).alias("class")) for _, stem in BANK_LABELS for name, _ in BANK_CLASSES))
+    of = lambda stem: F.get(F.filter("lines", lambda x: x["stem"] == stem), F.lit(0))
+    text = lambda w: F.get(F.filter(of(w["stem"])["values"], lambda v: v["class"] == w["class"]), F.lit(0))["text"]
+    every = written(every.withColumn("each", F.when(F.col("there"), F.transform(want, lambda w: F.struct(w["stem"].alias("stem"), w["class"].alias("class"), of(w["stem"]).isNotNull().alias("labelled"), text(w).alias("text"), plain_number(squash(text(w))).alias("value"))))))
     mid = mid_month(F.lit(fy_month), F.lit(fy_start))
-    rows = m.filter("error is null").select(
-        "doc_id", F.col("class").alias("bank_class"), F.concat(F.lit("bfi-c5-"), F.replace("class", F.lit("_"), F.lit("-")), F.lit("-"), "stem").alias("indicator"), "value", F.lit("npr_million").alias("unit"), F.lit("monthly").alias("period_type"),
+    row = lambda x: F.struct(
+        x["class"].alias("bank_class"), F.concat(F.lit("bfi-c5-"), F.replace(x["class"], F.lit("_"), F.lit("-")), F.lit("-"), x["stem"]).alias("indicator"), x["value"].alias("value"), F.lit("npr_million").alias("unit"), F.lit("monthly").alias("period_type"),
         F.lit(f"{month} {fy_start if fy_month <= 9 else fy_start + 1}").alias("period_bs"), F.trunc(mid, "month").alias("ad_start"), mid.alias("ad_end"), label_bs(F.lit(fy_start)).alias("fiscal_year_bs"), F.lit("A").alias("grade"),
     )
-    named = F.element_at(F.create_map(*map(F.lit, ("missing_label", "RegexMismatch", "missing_column", "ColumnMissing", "bad_number", "ValueUnparseable"))), F.col("error"))
-    # A label that is missing is one error, not one for each class.
-    lost = _error(m.filter("error = 'missing_label'").select("doc_id", "stem").distinct(), "RegexMismatch", F.col("stem"))
-    bad = _error(m.filter("error <> 'missing_label'"), named, F.concat("stem", F.lit("/"), "class"))
-    absent = _error(docs.select("doc_id").distinct().join(own.select("doc_id").distinct(), "doc_id", "left_anti"), "PageLayoutChanged", f"expected sheet {BANK_SHEET} not present")
-    return _done(docs, rows, lost.unionByName(bad).unionByName(absent))
+    rows = F.transform(F.filter("each", lambda x: x["value"].isNotNull()), row)
+    lost = F.transform(F.array_distinct(F.transform(F.filter("each", lambda x: ~x["labelled"]), lambda x: x["stem"])), lambda stem: _error(F.lit(True), "RegexMismatch", stem))
+    bad = F.transform(F.filter("each", lambda x: x["labelled"] & x["value"].isNull()), lambda x: _error(F.lit(True), F.when(x["text"].isNull(), "ColumnMissing").otherwise("ValueUnparseable"), F.concat(x["stem"], F.lit("/"), x["class"])))
+    absent = _errors(_error(F.col("there").isNull(), "PageLayoutChanged", f"expected sheet {BANK_SHEET} not present"))
+    items = every.filter("there").select("doc_id", rows.alias("rows"), F.concat(lost, bad).cast(_ERRORS).alias("errors"))
+    return _done(every.select("doc_id", absent.alias("errors")), items)
 
 
 def ingested(extract_: Extract, entities: DataFrame, target: DataFrame, key, entity: str = "federal_code", kind: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -197,9 +239,8 @@ def seed_local_levels(entities: DataFrame, dimension: DataFrame, n: int = 753, s
 
 
 def probed(cells: DataFrame, rows: int = 6, columns: int = 16) -> tuple[DataFrame, DataFrame]:
-    """PIPE-11: (documents by their sheets' dimensions, largest group first; excerpt of each sheet's top)."""
-    groups = R.signatures(cells).orderBy(F.desc("n"), "signature")
-    return groups, R.excerpt(cells.withColumn("doc_id", F.concat_ws("/", "doc_id", "sheet")), rows, columns)
+    """PIPE-11: (documents with the signature of their sheets' dimensions; excerpt of each sheet's top)."""
+    return R.signatures(cells), R.excerpt(cells.withColumn("doc_id", F.concat_ws("/", "doc_id", "sheet")), rows, columns)
 
 
 def ingest(files: DataFrame, catalog: DataFrame, read: Callable[[DataFrame], Extract], approved: DataFrame, indicators: DataFrame, run_id: str, **checks) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.calendar import parse_period, period_bounds
 from factloom.functions.text import is_finite
+from factloom.operators.shared import written
 
 # The unit vocabulary (case-sensitive), period types and grades.
 UNITS = ("NPR_billion", "NPR_million", "NPR_crore", "NPR_lakh", "NPR", "USD_million", "USD", "percent", "percent_yoy", "index_points", "months_of_imports", "count", "kg_per_capita", "metric_tonnes", "megawatt_hours", "gigawatt_hours")
@@ -43,8 +44,7 @@ def first_wins(df: DataFrame, key, order) -> DataFrame:
 def schema_outcome(strings, value: Column, dates, period_type: Column, grade: Column) -> Column:
     """CHK-1: the first field that fails, in field order."""
     bad = [outcome(F.coalesce(F.col(c).cast("string") == "", F.lit(True)), "block", "SchemaInvalid", f"{c}: missing or empty") for c in strings]
-    v = value.try_cast("double")
-    bad.append(outcome(F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(True)), "block", "SchemaInvalid", "value: not a finite number"))
+    bad.append(outcome(~is_finite(value), "block", "SchemaInvalid", "value: not a finite number"))
     bad += [outcome(F.col(c).isNull(), "block", "SchemaInvalid", f"{c}: invalid date") for c in dates]
     bad.append(outcome(~F.coalesce(period_type.isin(*PERIOD_TYPES), F.lit(False)), "block", "SchemaInvalid", "period_type: unknown"))
     bad.append(outcome(~F.coalesce(grade.isin(*GRADES), F.lit(False)), "block", "SchemaInvalid", "grade: unknown"))
@@ -119,11 +119,6 @@ def plausibility_outcome(value: Column, n: Column, mean: Column, sd: Column, low
     return outcome(odd, "warn", "ValueOutOfPlausibleRange", "over five deviations from the trailing mean")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, where the cluster names a shared folder for checkpoints; else as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 #: What a staged row holds by kind; each is checked where the table has it.
 TEXT_FIELDS = ("staging_id", "run_id", "document_id", "indicator", "unit", "period_bs", "publication_bs", "fiscal_year_bs", "fiscal_year_ad")
 DATE_FIELDS = ("ad_start", "ad_end", "publication_ad")
@@ -167,7 +162,7 @@ def validate(staging: DataFrame, approved: DataFrame, indicators: DataFrame, doc
         raise LookupError(f"source document {lost[0]} not found")
     prior = latest_revision(approved).select(*KEY, F.col("document_id").alias("p_doc"), F.col("value").alias("p_value"), F.col("revision").alias("p_rev"))
     known, docs = indicators.select("indicator", F.lit(True).alias("known")).distinct(), documents.select("document_id", F.col("hash").alias("doc_hash"))
-    j = staging.join(F.broadcast(known), "indicator", "left").join(docs, "document_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    j = staging.join(known, "indicator", "left").join(docs, "document_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     j = j.withColumn("_p", parse_period(F.col("period_bs")))
     unclear = outcome(F.col("_p.reason").isNotNull(), "block", "PeriodAmbiguous", F.concat(F.lit("did not parse: "), F.col("_p.reason")))
     if calendar is not None:
@@ -185,11 +180,11 @@ def validate(staging: DataFrame, approved: DataFrame, indicators: DataFrame, doc
     )
     blocks = lambda c: F.coalesce(F.col(c)["kind"] == "block", F.lit(False))
     j = j.withColumn("stopped", blocks("_schema") | blocks("_indicator") | blocks("_period") | blocks("_unit") | blocks("_source")).withColumn("value", v)
-    j = cut(j)
+    j = written(j)
     done = judged_in_order(j, prior)
     j = j.join(done.select(F.col("staging_id"), F.col("flag_type").alias("_flag"), F.col("detail").alias("_detail"), "revision"), "staging_id", "left")
     gone = j.filter("revision is not null").select("staging_id", "indicator", "inserted_at", "ad_end", "value")
-    j = j.join(both_stats(trailing_stats(staging, approved, days), stats_in_run(staging, gone, days)), "staging_id", "left")
+    j = j.join(both_stats(trailing_stats(j, approved, days), stats_in_run(staging, gone, days)), "staging_id", "left")
     odd = F.when(F.col("known"), plausibility_outcome(F.col("value"), F.col("n"), F.col("mean"), F.col("sd"), F.col("low"), F.col("high")))
     again = outcome(F.col("_flag").isNotNull(), "block", F.col("_flag"), F.col("_detail"))
     j = j.withColumn("outcomes", F.array_compact(F.array("_schema", "_indicator", "_period", "_unit", odd, again, "_source")))

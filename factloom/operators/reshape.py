@@ -44,12 +44,6 @@ def keyword_class(text: Column, rules=GRANT_RULES) -> Column:
     return out
 
 
-def header_row(cells: DataFrame, top: int = 20, least: int = 2) -> DataFrame:
-    """RSH-5: (doc_id, header_row): first of the top rows with ``least`` distinct classes."""
-    found = cells.filter(F.col("row_idx") < top).withColumn("class", keyword_class(F.col("text"))).groupBy("doc_id", "row_idx").agg(F.countDistinct("class").alias("n"))
-    return found.filter(F.col("n") >= least).groupBy("doc_id").agg(F.min("row_idx").alias("header_row"))
-
-
 def any_word(text: Column, words) -> Column:
     out = F.lit(False)
     for w in words:
@@ -57,12 +51,32 @@ def any_word(text: Column, words) -> Column:
     return out
 
 
-def name_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """RSH-6: (doc_id, district_col, name_col): leftmost matches; the column taken as district isn't the name."""
-    h = cells.join(F.broadcast(headers), "doc_id").filter("row_idx = header_row")
-    d = h.groupBy("doc_id").agg(F.min(F.when(any_word(F.col("text"), DISTRICT_WORDS), F.col("col_idx"))).alias("district_col"))
-    n = h.join(d, "doc_id").groupBy("doc_id", "district_col").agg(F.min(F.when(any_word(F.col("text"), NAME_WORDS) & ~F.col("col_idx").eqNullSafe(F.col("district_col")), F.col("col_idx"))).alias("name_col"))
-    return n.select("doc_id", "district_col", "name_col")
+def layout(cells: DataFrame, top: int = 20, least: int = 2) -> DataFrame:
+    """RSH-5, RSH-6, RSH-7 in one pass: for every document header_row, district_col, name_col and grants (array of col_idx, grant_type).
+
+    header_row is the first of the top rows with ``least`` distinct classes, null if there is none; of its cells the
+    leftmost of districts and names count, and the column taken as district isn't the name. Rows below the top only tell
+    that the document is there.
+    """
+    upper = F.col("row_idx") < top
+    kind, at = F.when(upper, keyword_class(F.col("text"))), F.when(upper, F.col("col_idx"))
+    row = cells.groupBy("doc_id", F.when(upper, F.col("row_idx")).otherwise(top).alias("r")).agg(
+        F.countDistinct(kind).alias("n"), F.min(F.when(any_word(F.col("text"), DISTRICT_WORDS), at)).alias("district_col"), F.collect_list(F.when(any_word(F.col("text"), NAME_WORDS), at)).alias("names"),
+        F.collect_list(F.when(kind.isNotNull(), F.struct("col_idx", kind.alias("grant_type")))).alias("grants"),
+    )
+    first = row.groupBy("doc_id").agg(F.min_by(F.struct(F.col("r").alias("header_row"), "district_col", "names", "grants"), F.when(F.col("n") >= least, F.col("r"))).alias("h"))
+    name = F.array_min(F.filter("h.names", lambda c: ~c.eqNullSafe(F.col("h.district_col"))))
+    return first.select("doc_id", "h.header_row", "h.district_col", name.alias("name_col"), "h.grants")
+
+
+def header_row(cells: DataFrame, top: int = 20, least: int = 2) -> DataFrame:
+    """RSH-5: (doc_id, header_row) of the documents that have one."""
+    return layout(cells, top, least).select("doc_id", "header_row").filter("header_row is not null")
+
+
+def name_columns(cells: DataFrame, top: int = 20, least: int = 2) -> DataFrame:
+    """RSH-6: (doc_id, district_col, name_col) of the documents that have a header."""
+    return layout(cells, top, least).filter("header_row is not null").select("doc_id", "district_col", "name_col")
 
 
 def is_total(name: Column) -> Column:
@@ -70,23 +84,30 @@ def is_total(name: Column) -> Column:
     return F.coalesce((F.length(F.trim(name)) == 0) | any_word(name, TOTAL_WORDS), F.lit(True))
 
 
+def sheet_rows(cells: DataFrame, found: DataFrame, amount) -> DataFrame:
+    """RSH-2: (doc_id, row_idx, name, district, grants) of the named rows below each header of ``layout``; grants is an array of (grant_type, amount), blank cells left out."""
+    j = cells.join(found.filter("name_col is not null"), "doc_id").filter("row_idx > header_row")
+    kind = F.get(F.filter("grants", lambda g: g["col_idx"] == F.col("col_idx")), F.lit(0))["grant_type"]
+    text, value = F.trim("text"), amount(F.col("text"))
+    j = j.withColumn("kind", kind).withColumn("value", value).filter("kind is not null or col_idx = name_col or col_idx = district_col")
+    rows = j.groupBy("doc_id", "row_idx").agg(
+        F.max(F.when(F.col("col_idx") == F.col("name_col"), text)).alias("name"), F.max(F.when(F.col("col_idx") == F.col("district_col"), text)).alias("district"),
+        F.collect_list(F.when(F.col("kind").isNotNull() & F.col("value").isNotNull(), F.struct(F.col("kind").alias("grant_type"), F.col("value").alias("amount")))).alias("grants"),
+    )
+    return rows.filter(~is_total(F.col("name")))
+
+
 def grants(cells: DataFrame, amount) -> DataFrame:
     """RSH-2: long rows (doc_id, row_idx, name, grant_type, amount) below the header; blank cells are skipped."""
-    head = header_row(cells)
-    columns = cells.join(F.broadcast(head), "doc_id").filter("row_idx = header_row").select("doc_id", "col_idx", keyword_class(F.col("text")).alias("grant_type")).filter("grant_type is not null")
-    names = name_columns(cells, head)
-    body = cells.join(F.broadcast(head), "doc_id").filter("row_idx > header_row")
-    named = body.join(names, "doc_id").filter("col_idx = name_col").filter(~is_total(F.col("text"))).select("doc_id", "row_idx", F.trim("text").alias("name"))
-    values = body.join(F.broadcast(columns), ["doc_id", "col_idx"]).select("doc_id", "row_idx", "grant_type", amount(F.col("text")).alias("amount")).filter("amount is not null")
-    return named.join(values, ["doc_id", "row_idx"])
+    return sheet_rows(cells, layout(cells), amount).select("doc_id", "row_idx", "name", F.explode("grants").alias("g")).select("doc_id", "row_idx", "name", "g.*")
 
 
 def needle_columns(cells: DataFrame, needles: DataFrame) -> DataFrame:
-    """RSH-8: (doc_id, geo, row_idx, col_idx) of each needle's earliest cell; documents that lack one give none."""
+    """RSH-8: (doc_id, geo, row_idx, col_idx) of each needle's earliest cell; documents that lack one give none. ``needles`` is a job's short list."""
     hit = cells.join(F.broadcast(needles), F.trim(cells["text"]) == needles["needle"]).groupBy("doc_id", "geo").agg(F.min(F.struct("row_idx", "col_idx")).alias("at"))
     total = needles.select("geo").distinct().count()
-    full = hit.groupBy("doc_id").count().filter(F.col("count") == total).select("doc_id")
-    return hit.join(full, "doc_id", "left_semi").select("doc_id", "geo", "at.row_idx", "at.col_idx")
+    full = hit.groupBy("doc_id").agg(F.collect_list(F.struct("geo", "at")).alias("hits")).filter(F.size("hits") == total)
+    return full.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.geo", "h.at.row_idx", "h.at.col_idx")
 
 
 def matrix(cells: DataFrame, labels: DataFrame, classes: DataFrame, label_col: int, parse) -> DataFrame:
@@ -106,10 +127,14 @@ def missing_columns(required, header: Column) -> Column:
 
 
 def signatures(cells: DataFrame) -> DataFrame:
-    """RSH-10: (signature, n, doc_ids): documents grouped by their sheets and dimensions, largest group first."""
+    """RSH-10: (doc_id, signature): each document with its sheets and their dimensions."""
     dims = cells.groupBy("doc_id", "sheet").agg((F.max("row_idx") + 1).alias("r"), (F.max("col_idx") + 1).alias("c"))
-    own = dims.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "sheet", F.concat_ws("x", "r", "c")))), "|").alias("signature"))
-    return own.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    return dims.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "sheet", F.concat_ws("x", "r", "c")))), "|").alias("signature"))
+
+
+def signature_groups(members: DataFrame) -> DataFrame:
+    """RSH-10: (signature, n, first_doc) of ``signatures``, largest group first. Who is in a group is told by ``members``, not by a list in one row."""
+    return members.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "signature")
 
 
 def excerpt(cells: DataFrame, rows: int = 6, columns: int = 16) -> DataFrame:

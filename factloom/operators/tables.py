@@ -39,22 +39,55 @@ def checked_append(batch: DataFrame, path: str, faults: DataFrame) -> None:
 
 
 def upsert(target: DataFrame, batch: DataFrame, key, columns, order=None) -> DataFrame:
-    """SNK-3, SNK-4: target with the batch's ``columns`` where keys meet (last of a key wins), plus new keys; other columns stay."""
+    """SNK-3, SNK-4: target with the batch's ``columns`` where keys meet (last of a key wins), plus new keys; other columns stay; null keys equal one another."""
     rows = batch.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*(order or [F.desc(c) for c in columns])))).filter("_rn = 1")
-    new = rows.select(*key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit"))
-    j = target.join(new, list(key), "full_outer")
-    return j.select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns))
+    new = rows.select(*(F.col(k).alias(f"_key_{k}") for k in key), *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit"))
+    same = F.lit(True)
+    for k in key:
+        same = same & target[k].eqNullSafe(new[f"_key_{k}"])
+    j = target.withColumn("_old", F.lit(True)).join(new, same, "full_outer")
+    own = {k: F.when(F.col("_old"), F.col(k)).otherwise(F.col(f"_key_{k}")) for k in key} | {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
+    return j.select(*(own.get(c, F.col(c)).alias(c) for c in target.columns))
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key) -> DataFrame:
-    """SNK-7."""
-    return target.join(keys.select(*key).distinct(), list(key), "left_anti")
+    """SNK-7; null keys equal one another."""
+    gone = keys.select(*key).distinct()
+    return target.join(gone, null_safe(target, gone, key), "left_anti")
 
 
 def deleted(target: DataFrame, keys: DataFrame, key) -> DataFrame:
-    """SNK-7: every key asked for and what became of it: deleted, or NotFound."""
-    hit = target.select(*key, F.lit(True).alias("_hit")).distinct()
-    return keys.select(*key).distinct().join(hit, list(key), "left").select(*key, F.when(F.col("_hit"), "deleted").otherwise("NotFound").alias("result"))
+    """SNK-7: every key asked for and what became of it: deleted, or NotFound; null keys equal one another."""
+    asked, have = keys.select(*key).distinct(), target.select(*(F.col(k).alias(f"_key_{k}") for k in key), F.lit(True).alias("_hit")).distinct()
+    same = F.lit(True)
+    for k in key:
+        same = same & asked[k].eqNullSafe(have[f"_key_{k}"])
+    return asked.join(have, same, "left").select(*key, F.when(F.col("_hit"), "deleted").otherwise("NotFound").alias("result"))
+
+
+def merge_partitions(path: str, batch: DataFrame, key, columns, part: str, remove: DataFrame | None = None) -> None:
+    """SNK-3, SNK-7 on a table at ``path`` that is partitioned by ``part``, one of the ``key`` columns: upsert ``batch``, then delete the keys of ``remove``.
+
+    Only partitions that either touches are read and written; the files of the others stay as they are. What is to be
+    written is computed and stored before any partition is replaced, so a lost executor can't leave a half-read one.
+    """
+    from factloom.operators.shared import written
+
+    spark = batch.sparkSession
+    table = spark.read.parquet(path).select(*batch.columns, part) if part not in batch.columns else spark.read.parquet(path)
+    touched = batch.select(part)
+    touched = written((touched.unionByName(remove.select(part)) if remove is not None else touched).distinct())
+    old = table.join(touched, null_safe(table, touched, [part]), "left_semi")
+    new = upsert(old, batch, key, columns)
+    new = written(delete_keys(new, remove, key) if remove is not None else new)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    if remove is not None:
+        # A partition of which nothing is left has no rows to be replaced by.
+        left = new.select(part).distinct()
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        for r in touched.join(left, null_safe(touched, left, [part]), "left_anti").collect():  # partitions that became empty
+            where = fs_path(f"{path}/{part}={'__HIVE_DEFAULT_PARTITION__' if r[0] is None else r[0]}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def set_where(target: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -63,17 +96,25 @@ def set_where(target: DataFrame, condition: Column, values: dict[str, Column]) -
 
 
 def promote(judged: DataFrame, columns) -> tuple[DataFrame, DataFrame]:
-    """SNK-6: (rows to approve, rows that stay staged)."""
+    """SNK-6: (rows to approve, rows that stay staged); ``publish.promote_run`` writes both together."""
     done = judged.filter("decision <> 'block'")
     return done.select(*columns, "revision"), judged.filter("decision = 'block'")
 
 
-def archive_status(batch: DataFrame, catalog: DataFrame, key: str = "key", digest: str = "hash") -> DataFrame:
-    """SNK-10: reuse, conflict or new for every object by key and content hash; a key that has the hash in any entry is reused."""
-    keys = catalog.select(key, F.lit(True).alias("_key")).distinct()
-    same = catalog.select(key, digest, F.lit(True).alias("_same")).distinct()
-    j = batch.join(keys, key, "left").join(same, [key, digest], "left")
-    return j.withColumn("status", F.when(F.col("_same"), "reuse").when(F.col("_key"), "conflict").otherwise("new")).select(*batch.columns, "status")
+def archive_status(batch: DataFrame, catalog: DataFrame, key: str = "key", digest: str = "hash", order=None) -> DataFrame:
+    """SNK-10: reuse, conflict or new for every object by key and content hash; a key that has the hash in any entry is reused.
+
+    Objects of a batch are uploaded in ``order`` (by hash, if none is given): the first of a new key is new, the same
+    bytes again are a reuse, other bytes under its key a conflict. Null keys equal one another.
+    """
+    keys = catalog.select(F.col(key).alias("_k"), F.lit(True).alias("_key")).distinct()
+    same = catalog.select(F.col(key).alias("_k"), F.col(digest).alias("_h"), F.lit(True).alias("_same")).distinct()
+    w = Window.partitionBy(key).orderBy(*(order or [digest]))
+    first = batch.withColumn("_first", F.first(digest).over(w)).withColumn("_rn", F.row_number().over(w))
+    j = first.join(keys, first[key].eqNullSafe(keys["_k"]), "left").drop("_k")
+    j = j.join(same, j[key].eqNullSafe(same["_k"]) & j[digest].eqNullSafe(same["_h"]), "left")
+    fresh = F.when(~F.col(digest).eqNullSafe(F.col("_first")), "conflict").when(F.col("_rn") > 1, "reuse").otherwise("new")
+    return j.withColumn("status", F.when(F.col("_same"), "reuse").when(F.col("_key"), "conflict").otherwise(fresh)).select(*batch.columns, "status")
 
 
 def lookup(keys: DataFrame, table: DataFrame, key) -> DataFrame:

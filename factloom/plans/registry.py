@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # The modules register their queries as they are imported.
-from factloom.plans import jobs, relational, scalars, validation  # noqa: E402, F401
+from factloom.plans import jobs, relational, scalars, structures, validation  # noqa: E402, F401

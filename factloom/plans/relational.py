@@ -54,9 +54,17 @@ def needles(spark, sf_dir):
     return R.needle_columns(grant_cells(spark, sf_dir), n)
 
 
-@query("rsh10_signatures", "WITH x AS (SELECT 'n' || s_nationkey AS doc_id, 'S:' || (COUNT(*) + 2) || 'x4' AS signature FROM supplier GROUP BY s_nationkey) SELECT signature, COUNT(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM x GROUP BY signature")
+@query("rsh10_signatures", """WITH x AS (SELECT 'n' || s_nationkey AS doc_id, 'S:' || (COUNT(*) + 2) || 'x4' AS signature FROM supplier GROUP BY s_nationkey) SELECT doc_id, signature, COUNT(*) OVER (PARTITION BY signature) AS n, MIN(doc_id) OVER (PARTITION BY signature) AS first_doc FROM x""")
 def signatures(spark, sf_dir):
-    return R.signatures(grant_cells(spark, sf_dir).withColumn("sheet", F.lit("S"))).select("signature", "n", F.array_join("doc_ids", ",").alias("docs"))
+    m = R.signatures(grant_cells(spark, sf_dir).withColumn("sheet", F.lit("S")))
+    return m.join(R.signature_groups(m), "signature")
+
+
+@query("rsh10_one_signature", "SELECT 'O:1x2' AS signature, COUNT(*) AS n, MIN(o_orderkey) AS first_doc FROM orders")
+def one_signature(spark, sf_dir):
+    """All orders are sheets of one shape: one group, whose members stay rows."""
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("O").alias("sheet"), F.lit(0).alias("row_idx"), F.posexplode(F.array(F.col("o_orderstatus"), F.col("o_orderpriority"))).alias("col_idx", "text"))
+    return R.signature_groups(R.signatures(c))
 
 
 @query("rsh11_excerpt", "SELECT DISTINCT 'n' || s_nationkey AS doc_id, 1 AS row_idx, 'District Name|Local Level Name|Equalization Grant (Minimum)' AS line FROM supplier")
@@ -513,7 +521,7 @@ def document_text(spark, sf_dir):
 @query("src5_flt7_links", """SELECT page_id, 0 AS pos, 'https://h' || page_id || '.org/x/1.pdf?v=1' AS url, 'One & more' AS text FROM pages UNION ALL SELECT page_id, 1, 'https://h' || page_id || '.org/c/2.PDF', 'Two' FROM pages""")
 def links(spark, sf_dir):
     """A page for each id: two documents, one of them again, and links that aren't documents."""
-    from factloom.sources.readers import links as scan
+    from factloom.sources.html import links as scan
 
     i = F.col("page_id").cast("string")
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://h"), i, F.lit(".org/c/d?e")).alias("url"), F.lit('<a href="/x/1.pdf?v=1">One &amp;  more</a><p><a class=k href=\'2.PDF\'><b>Two</b></a> <a href="/p.html">no</a><a href="/x/1.pdf?v=1">again</a>').alias("html"))
@@ -522,8 +530,8 @@ def links(spark, sf_dir):
 
 @query("src5_all_links")
 def all_links(spark, sf_dir):
-    """All links of the pages given, whatever they lead to; regular expressions of the two engines differ too much for SQL."""
-    from factloom.sources.readers import links as scan
+    """All links of the pages given, whatever they lead to; a test holds them against another parser."""
+    from factloom.sources.html import links as scan
 
     return scan(table(spark, sf_dir, "pages"), "url", "html", lambda h: h != "")
 

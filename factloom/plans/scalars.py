@@ -64,10 +64,11 @@ def page_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(X.page_urls(F.col("url"), 3)).alias("n", "page_url")).select("page_id", (F.col("n") + 1).alias("n"), "page_url")
 
 
-@query("str12_str13_urls", """SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/a/b.pdf' AS rooted, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)[^/]*$', 1) || 'b.pdf' AS relative, regexp_extract(url || '/category/' || page_id || '/x', '/category/([0-9]+)', 1) AS category FROM pages""")
+@query("str12_str13_urls", """SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/a/b.pdf' AS rooted, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)[^/]*$', 1) || 'b.pdf' AS relative, 'http://a/' || CASE page_id % 4 WHEN 0 THEN 'b/c/g' WHEN 1 THEN 'b/g?y=./x' WHEN 2 THEN 'g/' ELSE 'b/c/' || page_id || '/h#s/../x' END AS dotted, regexp_extract(url || '/category/' || page_id || '/x', '/category/([0-9]+)', 1) AS category FROM pages""")
 def urls(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", X.absolute_url(u, F.lit("/a/b.pdf")).alias("rooted"), X.absolute_url(u, F.lit("b.pdf")).alias("relative"), X.category_id(F.concat(u, F.lit("/category/"), F.col("page_id").cast("string"), F.lit("/x"))).alias("category"))
+    u, k = F.col("url"), F.pmod("page_id", F.lit(4))
+    dotted = F.when(k == 0, "./g").when(k == 1, "../g?y=./x").when(k == 2, "../../../g/x/..").otherwise(F.concat(F.lit("x/.././"), F.col("page_id").cast("string"), F.lit("/./h#s/../x")))
+    return table(spark, sf_dir, "pages").select("page_id", X.absolute_url(F.lit("http://a/b/c/d;p?q"), dotted).alias("dotted"), X.absolute_url(u, F.lit("/a/b.pdf")).alias("rooted"), X.absolute_url(u, F.lit("b.pdf")).alias("relative"), X.category_id(F.concat(u, F.lit("/category/"), F.col("page_id").cast("string"), F.lit("/x"))).alias("category"))
 
 
 @query("str14_titles", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Head ' || page_id || ' & more' WHEN 1 THEN 'Class ' || page_id WHEN 2 THEN 'Title ' || page_id ELSE '' END AS name, 'item ' || page_id || CASE WHEN page_id % 4 = 1 THEN ' Doc' ELSE '' END AS near FROM pages""")
@@ -91,12 +92,12 @@ def provisional(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.is_provisional(F.when(F.col("p_size") % 2 == 0, "Bureau (Preliminary)").otherwise(F.col("p_name"))).alias("provisional"))
 
 
-@query("num1_num2_num3_num4_numbers", """WITH x AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '..' WHEN 1 THEN 'N/A' WHEN 2 THEN '1,234.50' WHEN 3 THEN ' ' || o_orderkey || ' ' ELSE 'abc' END AS s FROM orders)
-SELECT o_orderkey, CASE WHEN trim(s) NOT IN ('', '..', '...', '-', 'NA', 'N/A') THEN TRY_CAST(trim(s) AS DOUBLE) END AS census, CAST(CASE WHEN trim(replace(s, ',', '')) NOT IN ('', '-', '—', 'N/A', 'n/a') THEN TRY_CAST(trim(replace(s, ',', '')) AS DECIMAL(20,2)) END AS DOUBLE) AS amount,
-TRY_CAST(trim(s) AS DOUBLE) AS plain, TRY_CAST(trim(s) AS DOUBLE) IS NOT NULL AS finite FROM x""")
+@query("num1_num2_num3_num4_numbers", """WITH x AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '..' WHEN 1 THEN 'N/A' WHEN 2 THEN '1,234.50' WHEN 3 THEN ' ' || o_orderkey || ' ' WHEN 4 THEN o_orderkey || 'd' WHEN 5 THEN o_orderkey || 'f' WHEN 6 THEN translate('' || o_orderkey, '0123456789', '०१२३४५६७८९') WHEN 7 THEN '-.5e3' ELSE 'abc' END AS s FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 6 THEN CAST(o_orderkey AS DOUBLE) WHEN trim(s) NOT IN ('', '..', '...', '-', 'NA', 'N/A') THEN TRY_CAST(trim(s) AS DOUBLE) END AS census, CAST(CASE WHEN o_orderkey % 9 = 6 THEN o_orderkey WHEN trim(replace(s, ',', '')) NOT IN ('', '-', '—', 'N/A', 'n/a') THEN TRY_CAST(trim(replace(s, ',', '')) AS DECIMAL(20,2)) END AS DOUBLE) AS amount,
+CASE WHEN o_orderkey % 9 = 6 THEN CAST(o_orderkey AS DOUBLE) ELSE TRY_CAST(trim(s) AS DOUBLE) END AS plain, TRY_CAST(trim(s) AS DOUBLE) IS NOT NULL AS finite FROM x""")
 def numbers(spark, sf_dir):
-    k = F.pmod("o_orderkey", F.lit(5))
-    s = F.when(k == 0, "..").when(k == 1, "N/A").when(k == 2, "1,234.50").when(k == 3, F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" "))).otherwise("abc")
+    k, o = F.pmod("o_orderkey", F.lit(9)), F.col("o_orderkey").cast("string")
+    s = F.when(k == 0, "..").when(k == 1, "N/A").when(k == 2, "1,234.50").when(k == 3, F.concat(F.lit(" "), o, F.lit(" "))).when(k == 4, F.concat(o, F.lit("d"))).when(k == 5, F.concat(o, F.lit("f"))).when(k == 6, X.to_devanagari(o)).when(k == 7, "-.5e3").otherwise("abc")
     d = table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s"))
     c = F.col("s")
     return d.select("o_orderkey", X.census_number(c).alias("census"), X.amount(c).cast("double").alias("amount"), X.plain_number(c).alias("plain"), X.is_finite(F.trim(c)).alias("finite"))
@@ -155,8 +156,8 @@ SELECT o_orderkey, slug, CASE WHEN k = i THEN CAST(v AS DOUBLE) END AS value, CA
 i IN (0, 5, 6) AS end_of_period, CASE WHEN k <> i THEN 'PageLayoutChanged' END AS error FROM x CROSS JOIN s"""
 
 
-@query("rgx1_rgx2_rgx3_narrative_all", NARRATIVE)
 @query("rgx1_rgx2_rgx3_narrative", NARRATIVE)
+@query("rgx1_rgx2_rgx3_narrative_all", NARRATIVE)
 def narrative(spark, sf_dir):
     """Every phrase over all orders, each of which has the text of one phrase or of none; marks of provisional figures right after the figure, or too far from it."""
     from factloom.operators.extract import extract

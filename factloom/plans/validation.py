@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import calendar as C
 from factloom.operators import quality as Q, tables as T
+from factloom.operators.shared import written
 from factloom.plans.registry import query
 
 MONTH_NAMES = ",".join(C.MONTHS)
@@ -61,7 +62,7 @@ def inputs(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     # The totals by day are read by every branch below, so they are computed once.
     totals, rest = INPUT.split(",\napproved AS", 1)
-    Q.cut(spark.sql(f"WITH {totals} SELECT * FROM daily")).createOrReplaceTempView("daily")
+    written(spark.sql(f"WITH {totals} SELECT * FROM daily")).createOrReplaceTempView("daily")
     return {n: spark.sql(f"WITH approved AS{rest} SELECT * FROM {n}") for n in ("staging", "approved", "indicators", "docs")}
 
 

@@ -1,44 +1,18 @@
-"""Scans of files and documents (SRC-*), link discovery (WIN-4, WIN-7), archive catalogs (SNK-11..13, AGG-7, CHK-11)."""
+"""Scans of files and documents (SRC-2 to SRC-4, SRC-6 to SRC-11; ``delimited`` has SRC-1, ``html`` SRC-5), link discovery (WIN-4, WIN-7), archive catalogs (SNK-11..13, AGG-7, CHK-11)."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from factloom.functions.text import absolute_url, inner_text, is_pdf
+from factloom.functions.text import inner_text
 
 MANIFEST = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("event_type", "url", "category_id", "occurred_at")] + [T.StructField("payload", T.MapType(T.StringType(), T.StringType())), T.StructField("schema_version", T.StringType())]
 )
 
 
-def csv_records(text: Column) -> Column:
-    """The records of a CSV text; a quoted field may hold line ends."""
-    return F.regexp_extract_all(F.concat(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\n")), F.lit(r'((?:[^"\n]++|"(?:[^"]++|"")*+"|")*+)\n'), F.lit(1))
-
-
-def csv_cells(record: Column) -> Column:
-    """The fields of a record; quotes around a field go, doubled ones within are one."""
-    fields = F.regexp_extract_all(record, F.lit(r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*)'), F.lit(1))
-    return F.transform(fields, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-
-
-def two_mode_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: (path, mode, row_idx, cells, error) of small CSV files, one row a record.
-
-    A file whose first line starts with three commas and names a table has five records before its header; the others
-    have none. Marks at the start of the file are taken off; records are padded to the header; an empty header is an error.
-    """
-    f = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("v"))
-    first = F.split_part(F.col("v"), F.lit("\n"), F.lit(1))
-    mode = F.when(first.startswith(",,,") & F.contains(first, F.lit('"Table ')), "A").otherwise("B")
-    f = f.select("path", mode.alias("mode"), csv_records(F.col("v")).alias("lines"))
-    f = f.withColumn("lines", F.slice("lines", F.when(F.col("mode") == "A", 6).otherwise(1), F.size("lines")))
-    f = f.withColumn("header", csv_cells(F.coalesce(F.get("lines", F.lit(0)), F.lit("")))).withColumn("error", F.when(F.array_join("header", "") == "", "empty header"))
-    rows = f.select("path", "mode", "header", "error", F.posexplode("lines").alias("row_idx", "line")).filter("row_idx = 0 or trim(line) <> ''").withColumn("own", csv_cells(F.col("line")))
-    padded = F.concat("own", F.array_repeat(F.lit(""), F.greatest(F.size("header") - F.size("own"), F.lit(0))))
-    return rows.select("path", "mode", "row_idx", padded.alias("cells"), "error")
-
-
 def string_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """SRC-2: a CSV without header, every cell a string, blanks empty strings."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
@@ -64,15 +38,6 @@ def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page", tex
     return out.withColumn("error", F.when(F.trim("text") == "", "empty text"))
 
 
-def links(pages: DataFrame, base: str, html: str, keep=is_pdf, key: str = "page_id") -> DataFrame:
-    """SRC-5, FLT-7: (key, pos, url, text) of anchors that ``keep`` takes, absolute, first of each url within a page."""
-    anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<a\s[^>]*href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>)"), 1)
-    a = pages.select(key, F.col(base).alias("_base"), F.posexplode(anchors).alias("pos", "a"))
-    a = a.withColumn("href", F.regexp_extract("a", r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1)).filter(keep(F.col("href")))
-    a = a.select(key, "pos", absolute_url(F.col("_base"), F.col("href")).alias("url"), inner_text(F.col("a")).alias("text"))
-    return a.withColumn("rn", F.row_number().over(Window.partitionBy(key, "url").orderBy("pos"))).filter("rn = 1").drop("rn")
-
-
 def new_links(found: DataFrame, crawl: str, page: str, pos: str, url: str = "url") -> DataFrame:
     """WIN-4: the first occurrence of each url of a crawl, by page and place."""
     w = Window.partitionBy(crawl, url).orderBy(page, pos)
@@ -80,7 +45,7 @@ def new_links(found: DataFrame, crawl: str, page: str, pos: str, url: str = "url
 
 
 def container_text(html: Column, href: Column, most: int = 200) -> Column:
-    """STR-15: text of the list item or table row around a link, ``most`` characters at most; by splitting at container tags, without a parser."""
+    """STR-15 as an expression: text of the list item or table row around a link, by splitting at container tags; ``html.anchors`` has the exact form."""
     parts = F.split(html, r"(?i)<(?:li|tr|div|p)\b[^>]*>")
     own = F.get(F.filter(parts, lambda x: F.contains(x, href)), F.lit(0))
     return F.substring(inner_text(own), 1, most)
@@ -120,8 +85,14 @@ def decoded(payload: Column, schema: str, required, rules=None) -> Column:
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SRC-9, SRC-10: (path, length, content, sha256, error) of files; empty ones are errors."""
+    """SRC-9, SRC-10: (path, length, content, sha256, error) of files; empty ones are errors.
+
+    Spark's scans leave files without bytes out; its listing, which the driver holds anyway, tells which those are.
+    """
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    every = spark.createDataFrame([(unquote(p).replace(":///", ":/"),) for p in f.inputFiles()], "path string")
+    bare = every.join(f.select(F.replace("path", F.lit(":///"), F.lit(":/")).alias("path")), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    f = f.select("path", "length", "content").unionByName(bare)
     return f.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), F.when(F.col("length") == 0, "empty file").alias("error"))
 
 
