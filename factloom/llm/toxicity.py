@@ -198,12 +198,12 @@ def _witnesses(score: np.ndarray, sure: np.ndarray, bag: np.ndarray) -> np.ndarr
 
 
 def _without_copies(bags: list[tuple], toxic: list[int]) -> tuple[list[tuple], list[int]]:
-    """Bags without near copies of earlier ones (three of four min-hashes as in one of them): a copied text is one witness, not many."""
+    """Bags without near copies of earlier ones of their class (three of four min-hashes as in one of them): a copied text is one witness, not many, but a clean text and its copy with an insult both stay."""
     by: dict[tuple, list[int]] = {}
     kept = []
     for i, bag in enumerate(bags):
         h = mix(np.array([zlib.crc32(u.encode()) for u in bag], np.uint64)) if bag else np.zeros(1, np.uint64)
-        marks = [(k, int(mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for k in range(4)]
+        marks = [(toxic[i], k, int(mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for k in range(4)]
         if max(Counter(j for m in marks for j in by.get(m, ())).values(), default=0) < 3:
             kept.append(i)
         for m in marks:
@@ -291,10 +291,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label_col).alias("y"))
     )
-    sample = []
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+    # Labels of texts that aren't there, or are too long, take no place in the sample; ids alone are shuffled for that.
+    known, sample = known.join(text.select("id").distinct(), "id", "left_semi"), []
     for y in (0, 1):
-        own = known.filter((F.col("y") > 0) == bool(y)).orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE)
-        text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+        own = known.filter((F.col("y") > 0) == bool(y)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         sample += text.join(F.broadcast(own), "id").orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE).collect()
     return fit([r.text for r in sample], [int(r.y > 0) for r in sample])
 

@@ -7,12 +7,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import centroids, infill, quality_rules as quality
+from factloom.llm import centroids, infill, quality_rules as quality, toxicity
 
 
 def sha(x):
@@ -213,3 +214,30 @@ def test_wavelet_matrix(symbols):
     for k in range(4):
         at = wm.locate((1, 2), np.array([k]), np.array([0]), np.array([len(a)]))[0]
         assert at == next((i for i in places if sum(x in (1, 2) for x in symbols[:i]) >= k), len(a))
+
+
+# Toxicity: what its training set is made of
+
+
+def insulted():
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(800)]
+    clean = [" ".join(r.choice(words) for _ in range(60)) for _ in range(100)]
+    return clean, [t.replace(" ", " zqinsultzq ", 1) for t in clean]
+
+
+def test_toxic_copies_of_clean_texts_are_learned_from():
+    clean, bad = insulted()
+    model = toxicity.fit(clean + bad, [0] * 100 + [1] * 100)
+    assert model is not None
+    score = lambda texts: toxicity._margins(pa.array(texts), model, {})
+    assert (score(bad) >= 0.5).mean() > 0.95 and (score(clean) >= 0.5).mean() < 0.05
+
+
+def test_labels_of_missing_texts_take_no_place(spark, monkeypatch):
+    clean, bad = insulted()
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    docs = spark.createDataFrame(list(enumerate(clean + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in range(200)] + [(i, i % 2) for i in range(10_000, 14_000)] + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert model is not None and (toxicity._margins(pa.array(bad), model, {}) >= 0.5).mean() > 0.9
