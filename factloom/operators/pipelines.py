@@ -178,28 +178,26 @@ def banking(cells: DataFrame, fy_start: int, fy_month: int, month: str, docs: Da
     norm = lambda c: F.lower(squash(c))
     stems = F.create_map(*(x for label, stem in BANK_LABELS for x in (norm(F.lit(label)), F.lit(stem))))
     classes = F.create_map(*(F.lit(x) for name, i in BANK_CLASSES for x in (i, name)))
-    own = cells.filter(F.col("sheet") == BANK_SHEET).withColumn("class", F.try_element_at(classes, F.col("col_idx")))
-    line = own.filter((F.col("col_idx") == BANK_LABEL_COLUMN) | F.col("class").isNotNull()).groupBy("doc_id", "row_idx").agg(
-        F.try_element_at(stems, norm(F.max(F.when(F.col("col_idx") == BANK_LABEL_COLUMN, F.col("text"))))).alias("stem"), F.collect_list(F.when(F.col("class").isNotNull() & F.col("text").isNotNull(), F.struct("class", "text"))).alias("values")
+    own = cells.filter(F.col("sheet") == BANK_SHEET).withColumn("class", F.try_element_at(classes, F.col("col_idx"))).withColumn("value", plain_number(squash(F.col("text"))))
+    line = own.groupBy("doc_id", "row_idx").agg(
+        F.try_element_at(stems, norm(F.max(F.when(F.col("col_idx") == BANK_LABEL_COLUMN, F.col("text"))))).alias("stem"), F.collect_list(F.when(F.col("class").isNotNull() & F.col("text").isNotNull(), F.struct("class", "value"))).alias("values")
     )
-    first = line.groupBy("doc_id", "stem").agg(F.min_by("values", "row_idx").alias("values"))
-    sheet = first.groupBy("doc_id").agg(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("stem", "values"))).alias("lines"))
-    every = (docs if docs is not None else cells).select("doc_id").distinct().join(own.select("doc_id", F.lit(True).alias("there")).distinct(), "doc_id", "left").join(sheet, "doc_id", "left")
-    want = F.array(*(F.struct(F.lit(stem).alias("stem"), F.lit(name).alias("class")) for _, stem in BANK_LABELS for name, _ in BANK_CLASSES))
-    of = lambda stem: F.get(F.filter("lines", lambda x: x["stem"] == stem), F.lit(0))
-    text = lambda w: F.get(F.filter(of(w["stem"])["values"], lambda v: v["class"] == w["class"]), F.lit(0))["text"]
-    every = written(every.withColumn("each", F.when(F.col("there"), F.transform(want, lambda w: F.struct(w["stem"].alias("stem"), w["class"].alias("class"), of(w["stem"]).isNotNull().alias("labelled"), text(w).alias("text"), plain_number(squash(text(w))).alias("value"))))))
+    # The first row of each label; rows without one are kept together, as they tell that the sheet is there.
+    first = written(line.groupBy("doc_id", "stem").agg(F.min_by("values", "row_idx").alias("values")))
     mid = mid_month(F.lit(fy_month), F.lit(fy_start))
     row = lambda x: F.struct(
-        x["class"].alias("bank_class"), F.concat(F.lit("bfi-c5-"), F.replace(x["class"], F.lit("_"), F.lit("-")), F.lit("-"), x["stem"]).alias("indicator"), x["value"].alias("value"), F.lit("npr_million").alias("unit"), F.lit("monthly").alias("period_type"),
+        x["class"].alias("bank_class"), F.concat(F.lit("bfi-c5-"), F.replace(x["class"], F.lit("_"), F.lit("-")), F.lit("-"), "stem").alias("indicator"), x["value"].alias("value"), F.lit("npr_million").alias("unit"), F.lit("monthly").alias("period_type"),
         F.lit(f"{month} {fy_start if fy_month <= 9 else fy_start + 1}").alias("period_bs"), F.trunc(mid, "month").alias("ad_start"), mid.alias("ad_end"), label_bs(F.lit(fy_start)).alias("fiscal_year_bs"), F.lit("A").alias("grade"),
     )
-    rows = F.transform(F.filter("each", lambda x: x["value"].isNotNull()), row)
-    lost = F.transform(F.array_distinct(F.transform(F.filter("each", lambda x: ~x["labelled"]), lambda x: x["stem"])), lambda stem: _error(F.lit(True), "RegexMismatch", stem))
-    bad = F.transform(F.filter("each", lambda x: x["labelled"] & x["value"].isNull()), lambda x: _error(F.lit(True), F.when(x["text"].isNull(), "ColumnMissing").otherwise("ValueUnparseable"), F.concat(x["stem"], F.lit("/"), x["class"])))
-    absent = _errors(_error(F.col("there").isNull(), "PageLayoutChanged", f"expected sheet {BANK_SHEET} not present"))
-    items = every.filter("there").select("doc_id", rows.alias("rows"), F.concat(lost, bad).cast(_ERRORS).alias("errors"))
-    return _done(every.select("doc_id", absent.alias("errors")), items)
+    error = lambda name, klass: _error(F.lit(True), klass, F.concat("stem", F.lit("/"), name))
+    bad = F.transform(F.filter("values", lambda x: x["value"].isNull()), lambda x: error(x["class"], "ValueUnparseable"))
+    gone = F.transform(F.array_except(F.array(*(F.lit(name) for name, _ in BANK_CLASSES)), F.col("values.class")), lambda name: error(name, "ColumnMissing"))
+    items = first.filter("stem is not null").select("doc_id", F.transform(F.filter("values", lambda x: x["value"].isNotNull()), row).alias("rows"), F.concat(bad, gone).cast(_ERRORS).alias("errors"))
+    sheet = first.groupBy("doc_id").agg(F.collect_set("stem").alias("stems"))
+    every = (docs if docs is not None else cells).select("doc_id").distinct().join(sheet, "doc_id", "left")
+    absent = _errors(_error(F.col("stems").isNull(), "PageLayoutChanged", f"expected sheet {BANK_SHEET} not present"))
+    lost = F.transform(F.array_except(F.array(*(F.lit(stem) for _, stem in BANK_LABELS)), F.col("stems")), lambda stem: _error(F.lit(True), "RegexMismatch", stem))
+    return _done(every.select("doc_id", F.coalesce(lost.cast(_ERRORS), absent).alias("errors")), items)
 
 
 def ingested(extract_: Extract, entities: DataFrame, target: DataFrame, key, entity: str = "federal_code", kind: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
