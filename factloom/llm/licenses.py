@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
-Rules are made from a table of license families and sentence forms (``rules()``: some hundreds of regexes), each with
-keywords that gate it (a form's, and one for each of the family's names), a label, a weight and a priority. A text whose lowered bytes hold no gate word at all is done
+Rules are notices and mentions written by hand, and those of a table of license families and sentence forms
+(``rules()``: some hundreds of regexes in all), each with keywords that gate it (a form's, and one for each of the
+family's names), a label, a weight and a priority. A text whose lowered bytes hold no gate word at all is done
 after its words are counted. Others are normalised to words joined by single spaces, the rules whose keyword occurs
 are applied, and detections are taken in order of priority, longer first: one that lies within an interval already
 taken is suppressed. The base phrases are counted besides, and their labels always stay.
@@ -101,8 +102,136 @@ NOTICES = (
     ("public-domain", "domain", "(?:released|dedicated|placed) (?:in)?to the public domain|in the public domain", 0.7),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 0.3),
 )
+#: Mentions by identifier, abbreviation or name alone, written by hand: label, gate word, regex, weight.
+MENTIONS = (
+    ("gpl-1.0", "gpl", "(?:gnu )?gpl ?(?:v|version )?1(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:v|version )?2(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:v|version )?3(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("gpl", "gpl", "gnu gpl(?: licen[sc]ed?)?", 0.72),
+    ("gpl", "gpl", "gpl (?:licen[sc]ed?|compatible|compliant|software|code|terms)", 0.65),
+    ("gpl", "gpl", "(?:under|of|by)(?: the terms of)? the gpl(?! (?:v|version )?[123])", 0.65),
+    ("gpl", "gpl", "(?:released|licen[sc]ed|distributed|available|published)(?: under)?(?: the)? gpl(?! (?:v|version )?[123])", 0.65),
+    ("lgpl-2.0", "lgpl", "(?:gnu )?lgpl ?(?:v|version )?2(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?(?:v|version )?2 1(?: only| or later| or newer)?", 0.83),
+    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?(?:v|version )?3(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("lgpl", "lgpl", "(?:gnu |the )?lgpl(?: licen[sc]ed?)?", 0.7),
+    ("lgpl-2.0", "library general", "(?:gnu )?library general public licen[sc]e", 0.82),
+    ("lgpl-2.1", "lesser general", "(?:gnu )?lesser general public licen[sc]e (?:as published by the free software foundation )?(?:v|version )?2 1", 0.86),
+    ("agpl-1.0", "agpl", "(?:gnu )?agpl ?(?:v|version )?1(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("agpl-3.0", "agpl", "(?:gnu )?agpl ?(?:v|version )?3(?: 0)?(?: only| or later| or newer)?", 0.82),
+    ("agpl", "agpl", "(?:gnu |the )?agpl(?: licen[sc]ed?)?", 0.7),
+    ("fdl-1.1", "fdl", "(?:gnu )?g?fdl ?(?:v|version )?1 1", 0.82),
+    ("fdl-1.2", "fdl", "(?:gnu )?g?fdl ?(?:v|version )?1 2", 0.82),
+    ("fdl-1.3", "fdl", "(?:gnu )?g?fdl ?(?:v|version )?1 3", 0.82),
+    ("fdl", "fdl", "gnu fdl", 0.7),
+    ("fdl", "fdl", "the gfdl", 0.7),
+    ("fdl", "fdl", "gfdl licen[sc]ed?", 0.7),
+    ("gpl-2.0", "either version", "either version 2 of the licen[sc]e or (?:at your option )?any later version", 0.9),
+    ("gpl-3.0", "either version", "either version 3 of the licen[sc]e or (?:at your option )?any later version", 0.9),
+    ("classpath-exception-2.0", "classpath", "(?:with )?(?:the )?classpath exception(?: 2 0)?", 0.82),
+    ("mit", "mit", "mit licen[sc]ed", 0.82),
+    ("mit", "mit", "(?:licen[sc]ed|released|distributed|available|published) under(?: the)? mit", 0.7),
+    ("mit", "mit", "licen[sc]e (?:is )?mit", 0.7),
+    ("mit", "x11", "(?:mit )?x11 licen[sc]ed?", 0.8),
+    ("mit", "expat", "expat licen[sc]ed?", 0.8),
+    ("mit-0", "mit", "mit 0 licen[sc]ed?", 0.83),
+    ("apache-1.1", "apache", "apache(?: licen[sc]e)? (?:v|version )?1 1", 0.81),
+    ("apache-2.0", "apache", "apache ?2 0(?: licen[sc]ed?)?", 0.81),
+    ("apache-2.0", "apache", "apache ?v2(?: 0)?(?: licen[sc]ed?)?", 0.81),
+    ("apache-2.0", "apache", "apache(?: software)? licen[sc]e (?:v|version )?2(?: 0)?", 0.84),
+    ("apache-2.0", "asl", "asl ?(?:v|version )?2 0", 0.8),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0(?: txt)?", 0.92),
+    ("apache", "apache", "apache licen[sc]ed", 0.75),
+    ("bsd-2-clause", "bsd", "bsd 2 clause(?: licen[sc]ed?)?", 0.84),
+    ("bsd-2-clause", "bsd", "(?:2|two) clause bsd(?: licen[sc]ed?)?", 0.84),
+    ("bsd-3-clause", "bsd", "bsd 3 clause(?: licen[sc]ed?)?", 0.84),
+    ("bsd-3-clause", "bsd", "(?:3|three) clause bsd(?: licen[sc]ed?)?", 0.84),
+    ("bsd-4-clause", "bsd", "bsd 4 clause(?: licen[sc]ed?)?", 0.84),
+    ("bsd-4-clause", "bsd", "(?:4|four) clause bsd(?: licen[sc]ed?)?", 0.84),
+    ("0bsd", "bsd", "0bsd", 0.83),
+    ("0bsd", "bsd", "bsd 0 clause", 0.83),
+    ("0bsd", "bsd", "bsd zero clause", 0.83),
+    ("bsd", "bsd", "bsd(?: style| type| like)? licen[sc]ed?", 0.72),
+    ("bsd", "bsd", "(?:licen[sc]ed|released|distributed|available|published) under(?: the terms of)?(?: the| a)? bsd(?! [0234])", 0.7),
+    ("mpl-1.0", "mpl", "mpl ?(?:v|version )?1 0", 0.82),
+    ("mpl-1.1", "mpl", "mpl ?(?:v|version )?1 1", 0.82),
+    ("mpl-2.0", "mpl", "mpl ?(?:v|version )?2(?: 0)?", 0.82),
+    ("mpl-2.0", "mozilla", "mozilla public licen[sc]e (?:v|version )?2(?: 0)?", 0.85),
+    ("mpl-1.1", "mozilla", "mozilla public licen[sc]e (?:v|version )?1 1", 0.85),
+    ("epl-1.0", "epl", "epl ?(?:v|version )?1 0", 0.82),
+    ("epl-2.0", "epl", "epl ?(?:v|version )?2 0", 0.82),
+    ("eupl-1.1", "eupl", "eupl ?(?:v|version )?1 1", 0.82),
+    ("eupl-1.2", "eupl", "eupl ?(?:v|version )?1 2", 0.82),
+    ("cddl-1.0", "cddl", "cddl(?: ?(?:v|version )?1(?: 0)?)?", 0.78),
+    ("cddl-1.1", "cddl", "cddl ?(?:v|version )?1 1", 0.82),
+    ("cc-by-2.0", "cc by", "cc by 2 0", 0.84),
+    ("cc-by-2.0", "commons", "creative commons attribution 2 0", 0.84),
+    ("cc-by-2.5", "cc by", "cc by 2 5", 0.84),
+    ("cc-by-2.5", "commons", "creative commons attribution 2 5", 0.84),
+    ("cc-by-3.0", "cc", "cc by 3 0(?: [a-z]{2})?", 0.84),
+    ("cc-by-3.0", "commons", "creative commons attribution 3 0(?: unported)?", 0.84),
+    ("cc-by-4.0", "cc", "cc by 4 0", 0.84),
+    ("cc-by-4.0", "commons", "creative commons attribution 4 0(?: international)?", 0.84),
+    ("cc-by", "commons", "creative commons attribution(?: licen[sc]e)?", 0.7),
+    ("cc-by", "cc", "cc by licen[sc]ed?", 0.7),
+    ("cc-by", "cc", "(?:under|licen[sc]ed?)(?: a| the)? cc by", 0.7),
+    ("cc-by-sa-2.5", "cc", "cc by sa 2 5", 0.86),
+    ("cc-by-sa-3.0", "cc", "cc by sa 3 0(?: [a-z]{2})?", 0.86),
+    ("cc-by-sa-3.0", "commons", "creative commons attribution share ?alike 3 0(?: unported)?", 0.86),
+    ("cc-by-sa-4.0", "cc", "cc by sa 4 0", 0.86),
+    ("cc-by-sa-4.0", "commons", "creative commons attribution share ?alike 4 0(?: international)?", 0.86),
+    ("cc-by-sa", "cc", "cc by sa(?: licen[sc]ed?)?", 0.75),
+    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: licen[sc]e)?", 0.75),
+    ("cc-by-nc-3.0", "cc", "cc by nc 3 0(?: [a-z]{2})?", 0.86),
+    ("cc-by-nc-4.0", "cc", "cc by nc 4 0", 0.86),
+    ("cc-by-nc-4.0", "commons", "creative commons attribution non ?commercial 4 0(?: international)?", 0.86),
+    ("cc-by-nc", "cc", "cc by nc(?: licen[sc]ed?)?", 0.75),
+    ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: licen[sc]e)?", 0.75),
+    ("cc-by-nd-4.0", "cc", "cc by nd 4 0", 0.86),
+    ("cc-by-nd-4.0", "commons", "creative commons attribution no ?deriv(?:ative|ativ|s)?(?:e?s)?(?: works)? 4 0(?: international)?", 0.86),
+    ("cc-by-nd", "cc", "cc by nd(?: licen[sc]ed?)?", 0.75),
+    ("cc-by-nc-sa-3.0", "cc", "cc by nc sa 3 0(?: [a-z]{2})?", 0.88),
+    ("cc-by-nc-sa-4.0", "cc", "cc by nc sa 4 0", 0.88),
+    ("cc-by-nc-sa-4.0", "commons", "creative commons attribution non ?commercial share ?alike 4 0(?: international)?", 0.88),
+    ("cc-by-nc-sa", "cc", "cc by nc sa(?: licen[sc]ed?)?", 0.78),
+    ("cc-by-nc-nd-4.0", "cc", "cc by nc nd 4 0", 0.88),
+    ("cc-by-nc-nd-4.0", "commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)? 4 0(?: international)?", 0.88),
+    ("cc-by-nc-nd", "cc", "cc by nc nd(?: licen[sc]ed?)?", 0.78),
+    ("cc0-1.0", "cc", "cc0(?: 1 0)?(?: universal)?", 0.84),
+    ("cc0-1.0", "cc", "cc zero", 0.84),
+    ("cc0-1.0", "commons", "creative commons zero(?: v?1 0)?(?: universal)?", 0.84),
+    ("cc-by-4.0", "creativecommons", "creativecommons org licenses by 4 0", 0.92),
+    ("cc-by-3.0", "creativecommons", "creativecommons org licenses by 3 0", 0.92),
+    ("cc-by-sa-4.0", "creativecommons", "creativecommons org licenses by sa 4 0", 0.92),
+    ("cc-by-sa-3.0", "creativecommons", "creativecommons org licenses by sa 3 0", 0.92),
+    ("cc-by-nc-4.0", "creativecommons", "creativecommons org licenses by nc 4 0", 0.92),
+    ("cc-by-nc-sa-4.0", "creativecommons", "creativecommons org licenses by nc sa 4 0", 0.92),
+    ("cc-by-nc-nd-4.0", "creativecommons", "creativecommons org licenses by nc nd 4 0", 0.92),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0", 0.92),
+    ("isc", "isc", "isc licen[sc]ed?", 0.8),
+    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]ed?", 0.8),
+    ("unlicense", "unlicense", "unlicense org", 0.84),
+    ("unlicense", "unlicense", "the unlicense", 0.84),
+    ("wtfpl", "wtfpl", "wtfpl(?: ?v?2)?", 0.84),
+    ("bsl-1.0", "bsl", "bsl 1 0", 0.82),
+    ("bsl-1.0", "boost", "boost software licen[sc]e(?: 1 0)?", 0.82),
+    ("busl-1.1", "bu", "busl 1 1", 0.82),
+    ("busl-1.1", "bu", "business source licen[sc]e(?: 1 1)?", 0.82),
+    ("ofl-1.1", "ofl", "(?:sil )?ofl(?: ?v?1 1)?", 0.78),
+    ("osl-3.0", "osl", "osl ?v?3(?: 0)?", 0.8),
+    ("afl-3.0", "afl", "afl ?v?3(?: 0)?", 0.8),
+    ("sspl-1.0", "sspl", "sspl(?: ?v?1(?: 0)?)?", 0.82),
+    ("ms-pl", "ms", "ms pl licen[sc]ed?", 0.8),
+    ("ms-pl", "microsoft", "microsoft public licen[sc]e", 0.8),
+    ("ms-rl", "ms", "ms rl licen[sc]ed?", 0.8),
+    ("ms-rl", "microsoft", "microsoft reciprocal licen[sc]e", 0.8),
+    ("artistic-1.0", "artistic", "artistic licen[sc]e 1 0", 0.82),
+    ("artistic-2.0", "artistic", "artistic (?:licen[sc]e )?2 0", 0.82),
+    ("odbl-1.0", "odbl", "odbl(?: ?v?1 0)?", 0.82),
+    ("psf-2.0", "psf", "psf licen[sc]e(?: v?2(?: 0)?)?", 0.82),
+)
 #: A text with none of these holds no rule's keywords; each lies within a word, as other characters than spaces may part words.
-GATES = (b"licen", b"spdx", b"permission", b"warrant", b"redistribut", b"endorse", b"reserved", b"proprietary", b"confidential", b"domain", b"copyright", b"gnu", b"under", b"granted")
+GATES = (b"licen", b"spdx", b"permission", b"warrant", b"redistribut", b"endorse", b"reserved", b"proprietary", b"confidential", b"domain", b"copyright", b"gnu", b"under", b"granted", b"gpl", b"fdl", b"x11", b"apache", b"asl", b"bsd", b"mpl", b"epl", b"eupl", b"cddl", b"cc", b"commons", b"wtfpl", b"bsl", b"busl", b"ofl", b"osl", b"afl", b"sspl", b"artistic", b"odbl", b"classpath", b"0bsd")
 
 
 def _keyword(name: str) -> str:
@@ -121,8 +250,8 @@ def rules() -> list[tuple]:
             ident = re.escape(label.replace("-", " ").replace(".", " "))
             own = () if "{id}" in form else (tuple(map(_keyword, names)),)
             out.append((label, ((gate,), *own), form.format(name=name, id=ident), weight))
-    out += [(label, ((word,),), pattern, weight) for label, word, pattern, weight in NOTICES]
-    return [(i, label, gates, re.compile(rf"(?<!\S){pattern}(?!\S)"), weight) for i, (label, gates, pattern, weight) in enumerate(sorted(out, key=lambda r: -r[3]))]
+    out += [(label, ((word,),), pattern, weight) for label, word, pattern, weight in (*NOTICES, *MENTIONS)]
+    return [(i, label, gates, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), weight) for i, (label, gates, pattern, weight) in enumerate(sorted(out, key=lambda r: -r[3]))]
 
 
 _RULES: list = []
