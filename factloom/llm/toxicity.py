@@ -7,12 +7,13 @@ subsequences of ``ORDER`` letters, each weighted by ``DECAY`` for every letter i
 missing letters thus lower a match a little instead of losing it. Landmarks map units to a finite feature space,
 where a squared-hinge machine is trained on labelled sentences: those of toxic documents are bags of which the
 best units are witnesses (chosen again in every round), all units of the others are negative, hard ones first.
-A document scores the logistic of its best unit's margin.
+A document scores the logistic of its best unit's margin, or that of its best phrase (``phrases``: the kernel over the
+words of a sentence) where toxic texts that no unit explains teach one, whichever is higher.
 
 Labels are learned from a sample of at most ``SAMPLE`` labelled rows a class (by hash of the id, texts of up to
 ``TRAIN_CHARS`` characters); that bounds what the driver holds. Every text is scored whole.
 
-Defined results: null and empty texts score as one without any unit; repeated rows are scored one by one; several
+Defined results: null and empty texts score as one without any unit or phrase; repeated rows are scored one by one; several
 labels of an id count as toxic if one does, null labels as none; without labels of both classes all scores are 0.
 """
 
@@ -27,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.llm import phrases
 from factloom.llm._common import mix
 
 ORDER, DECAY, LONGEST = 3, 0.6, 24
 SAMPLE, TRAIN_CHARS, LANDMARKS, ROUNDS, COST = 1000, 20_000, 72, 4, 1000.0
 #: Witnesses of a toxic bag besides its best unit, and the least z-score of those.
 WITNESSES, SIGNIFICANT = 4, 3.0
+#: Share of clean texts that units alone may flag where phrases help them.
+STRICT = 0.002
 #: Units whose margin a Python worker keeps.
 CACHE_UNITS = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -159,6 +163,7 @@ class Model:
 
     def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float, slope: float, shift: float):
         self.landmarks, self.beta, self.bias, self.slope, self.shift = landmarks, beta, bias, slope, shift
+        self.phrases: phrases.Phrases | None = None
         letters = sorted({ord(c) for c in "\1" + "".join(landmarks)})
         self.letters = np.array(letters, np.int32)
         self.size = len(letters) + 1
@@ -197,8 +202,8 @@ def _witnesses(score: np.ndarray, sure: np.ndarray, bag: np.ndarray) -> np.ndarr
     return np.union1d(bag[:1], bag[sure[bag]][:WITNESSES])
 
 
-def _without_copies(bags: list[tuple], toxic: list[int]) -> tuple[list[tuple], list[int]]:
-    """Bags without near copies of earlier ones of their class (three of four min-hashes as in one of them): a copied text is one witness, not many, but a clean text and its copy with an insult both stay."""
+def _without_copies(bags: list[tuple], toxic: list[int]) -> list[int]:
+    """Places of bags, without near copies of earlier ones of their class (three of four min-hashes as in one of them): a copied text is one witness, not many, but a clean text and its copy with an insult both stay."""
     by: dict[tuple, list[int]] = {}
     kept = []
     for i, bag in enumerate(bags):
@@ -208,14 +213,15 @@ def _without_copies(bags: list[tuple], toxic: list[int]) -> tuple[list[tuple], l
             kept.append(i)
         for m in marks:
             by.setdefault(m, []).append(i)
-    return [bags[i] for i in kept], [toxic[i] for i in kept]
+    return kept
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """Train on labelled texts; None if a class has no text with units."""
     bags = [tuple(sorted(set().union(*(units(s) for s in _SENTENCE.split(t))))) for t in texts]
-    bags, toxic = _without_copies(bags, toxic)
-    pos, neg = [b for b, y in zip(bags, toxic) if y and b], [b for b, y in zip(bags, toxic) if not y and b]
+    kept = [i for i in _without_copies(bags, toxic) if bags[i]]
+    texts, bags, toxic = [texts[i] for i in kept], [bags[i] for i in kept], [toxic[i] for i in kept]
+    pos, neg = [b for b, y in zip(bags, toxic) if y], [b for b, y in zip(bags, toxic) if not y]
     if not pos or not neg:
         return None
     vocabulary = sorted(set().union(*map(set, bags)))
@@ -260,19 +266,36 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         if turn < ROUNDS - 1:
             kernel = add(plain[np.argsort(-score[plain], kind="stable")], LANDMARKS // 6, 0.9)
     best = lambda own: np.array([score[[at[u] for u in b]].max() for b in own])
-    high, low = np.sort(best(pos)), np.sort(best(neg))
+    found, other = best(pos), best(neg)
+    shift, cost = _cut(found, other)
+    model = Model(list(marks), beta, bias, 6.0, shift)
+    # Phrases learn from what units find at a strict cut only; they are kept where both together err less.
+    strict = max(shift, float(np.quantile(other, 1 - STRICT)) + 1e-6)
+    mine, theirs = [t for t, y in zip(texts, toxic) if y], [t for t, y in zip(texts, toxic) if not y]
+    extra = phrases.fit([t for t, v in zip(mine, found) if v < strict], theirs, _machine, len(pos))
+    if extra is not None:
+        missed = (found < strict) & (extra.margins(mine) < extra.shift)
+        wrong = (other >= strict) | (extra.margins(theirs) >= extra.shift)
+        if missed.mean() + 3 * wrong.mean() < cost:
+            model.phrases, model.shift = extra, strict
+    return model
+
+
+def _cut(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
+    """The margin that loses the fewest of ``high``, a flagged one of ``low`` counted thrice; and its cost."""
+    high, low = np.sort(high), np.sort(low)
     each = np.unique(np.concatenate([high, low, [low.max() + 1]]))
     cost = np.searchsorted(high, each) / len(high) + 3 * (len(low) - np.searchsorted(low, each)) / len(low)
     i = int(cost.argmin())
-    shift = (each[i] + (each[i - 1] if i else each[i] - 1)) / 2
-    return Model(list(marks), beta, bias, 6.0, float(shift))
+    return float((each[i] + (each[i - 1] if i else each[i] - 1)) / 2), float(cost[i])
 
 
 def _margins(column: pa.Array, model: Model | None, cache: dict) -> np.ndarray:
     """Scores of texts."""
     out = []
     for at in range(0, len(column), 512):
-        own = [units(t or "") for t in column.slice(at, 512).to_pylist()]
+        texts = [t or "" for t in column.slice(at, 512).to_pylist()]
+        own = [units(t) for t in texts]
         if model is None:
             out += [0.0] * len(own)
             continue
@@ -280,7 +303,8 @@ def _margins(column: pa.Array, model: Model | None, cache: dict) -> np.ndarray:
             cache.clear()
         new = list(set().union(*own) - cache.keys())
         cache.update(zip(new, model.margins(new).tolist()))
-        out += [float(model.score(np.float64(max(map(cache.__getitem__, u))))) if u else 0.0 for u in own]
+        score = np.array([float(model.score(np.float64(max(map(cache.__getitem__, u))))) if u else 0.0 for u in own])
+        out += (score if model.phrases is None else np.maximum(score, model.phrases.scores(texts))).tolist()
     return np.array(out)
 
 
