@@ -27,11 +27,13 @@ MIN_TOKEN, WINDOW = 20, 20
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 #: Bits a character; a window of 20 random characters of the class has about 3.3 and 4.1.
 HEX_BITS, MIXED_BITS = 3.0, 3.8
-#: Strings that look random but are known not to be secret: UUIDs, one repeated or counted run, placeholders, words joined by - or _, paths.
+#: A word: capitals only, or small letters after at most one capital, then parts of capitals and two small letters or more.
+_WORD = "(?:[A-Z]?[a-z]+(?:[A-Z]+[a-z]{2,})*+[A-Z]*|[A-Z]+)"
+#: Strings that look random but are known not to be secret: UUIDs, one repeated or counted run, placeholders, words joined by -, / or _, paths.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
     r"|(?i:example|sample|placeholder|your[_-]|dummy|test[_-]|xxxx|0000|1234567|abcdefg)"
-    r"|^[A-Za-z]+(?:[_/-][A-Za-z]+)*$"
+    rf"|^{_WORD}(?:[_/-]{_WORD})*+$"
     r"|^/?(?:[A-Za-z0-9_-]{1,12}/){2,}[A-Za-z0-9_-]{0,12}$"
 )
 _MARK, _OTHER = "\ue000", "\ue001"
