@@ -11,7 +11,7 @@ repeats the work of another. A document without rows or errors has one error mor
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -236,9 +236,10 @@ def seed_local_levels(entities: DataFrame, dimension: DataFrame, n: int = 753, s
     return T.seeded(entities, batch, ["kind", "slug"], ["name_en", "name_ne", "district_en", "local_level_type"], n, LOCAL_LEVELS if split is None else split, "local_level_type")
 
 
-def probed(cells: DataFrame, rows: int = 6, columns: int = 16) -> tuple[DataFrame, DataFrame]:
-    """PIPE-11: (documents with the signature of their sheets' dimensions; excerpt of each sheet's top)."""
-    return R.signatures(cells), R.excerpt(cells.withColumn("doc_id", F.concat_ws("/", "doc_id", "sheet")), rows, columns)
+def probed(cells: DataFrame, rows: int = 6, columns: int = 16, more: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PIPE-11: (groups of documents by their sheets' dimensions, largest first, with aggregates ``more``; each document with its signature; excerpt of each sheet's top)."""
+    members = R.signatures(cells)
+    return R.signature_groups(members, *more), members, R.excerpt(cells.withColumn("doc_id", F.concat_ws("/", "doc_id", "sheet")), rows, columns)
 
 
 def ingest(files: DataFrame, catalog: DataFrame, read: Callable[[DataFrame], Extract], approved: DataFrame, indicators: DataFrame, run_id: str, **checks) -> dict[str, DataFrame]:

@@ -132,9 +132,12 @@ def signatures(cells: DataFrame) -> DataFrame:
     return dims.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "sheet", F.concat_ws("x", "r", "c")))), "|").alias("signature"))
 
 
-def signature_groups(members: DataFrame) -> DataFrame:
-    """RSH-10: (signature, n, first_doc) of ``signatures``, largest group first. Who is in a group is told by ``members``, not by a list in one row."""
-    return members.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "signature")
+def signature_groups(members: DataFrame, *more: Column) -> DataFrame:
+    """RSH-10: (signature, n, first_doc) of ``signatures``, largest group first, then aggregates ``more`` of each group.
+
+    Who is in a group is told by ``members``, not by a list in one row, unless ``more`` asks for one.
+    """
+    return members.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), *more).orderBy(F.desc("n"), "signature")
 
 
 def excerpt(cells: DataFrame, rows: int = 6, columns: int = 16) -> DataFrame:

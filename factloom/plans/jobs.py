@@ -171,14 +171,16 @@ def registry_gate(spark, sf_dir):
     return T.registry_gate(r, s.filter("s_suppkey % 2 = 1").select("source_id"), stored)
 
 
-@query("pipe11_probe", "WITH x AS (SELECT 'n' || s_nationkey AS doc_id, 'C5:' || (COUNT(*) + 1) || 'x4|C6:1x1' AS signature FROM supplier GROUP BY s_nationkey) SELECT signature, doc_id FROM x")
+@query("pipe11_probe", "WITH x AS (SELECT 'n' || s_nationkey AS doc_id, 'C5:' || (COUNT(*) + 1) || 'x4|C6:1x1' AS signature FROM supplier GROUP BY s_nationkey) SELECT signature, COUNT(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM x GROUP BY signature")
 def probe(spark, sf_dir):
     from pyspark.sql import Window
 
     s = table(spark, sf_dir, "supplier").withColumn("doc_id", F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).withColumn("row_idx", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
-    c = cells(s, (0, F.lit("a")), (3, F.col("s_name"))).withColumn("sheet", F.lit("C5"))
+    # A supplier without a name has an empty cell, so that the sheet's width doesn't hang on names.
+    c = cells(s, (0, F.lit("a")), (3, F.coalesce("s_name", F.lit("")))).withColumn("sheet", F.lit("C5"))
     more = s.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("x").alias("text"), F.lit("C6").alias("sheet"))
-    return P.probed(c.unionByName(more))[0]
+    docs = F.expr("string_agg(doc_id, ',') WITHIN GROUP (ORDER BY doc_id)").alias("docs")
+    return P.probed(c.unionByName(more), more=[docs])[0].select("signature", "n", "docs")
 
 
 @query("pipe1_ingest", """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 3 THEN 'conflict' WHEN o_orderkey % 4 = 2 THEN 'reuse' ELSE 'new' END AS status, CASE WHEN o_orderkey % 4 < 3 AND o_orderkey % 3 > 0 THEN CASE WHEN o_orderkey % 3 = 2 THEN 'block' ELSE 'promote' END END AS decision FROM orders""")

@@ -329,6 +329,24 @@ def test_groups_of_signatures_are_rows(spark):
     assert m.count() == 50 and [tuple(r) for r in R.signature_groups(m).collect()] == [("C5:3x2|C6:1x2", 49, 0), ("C5:3x2|C6:2x2", 1, 7)]
 
 
+def test_probe_groups_documents_by_signature(spark):
+    c = spark.createDataFrame([(d, "C5", i, 0, "x") for d in range(5) for i in range(1 + (d == 0))], "doc_id int, sheet string, row_idx int, col_idx int, text string")
+    groups, members, top = P.probed(c, more=[F.array_sort(F.collect_list("doc_id")).alias("docs")])
+    assert [tuple(r) for r in groups.collect()] == [("C5:1x1", 4, 1, [1, 2, 3, 4]), ("C5:2x1", 1, 0, [0])]
+    assert members.count() == 5 and top.count() == 6
+
+
+def test_probe_query_lists_the_documents_of_each_group(spark, tmp_path):
+    """Nations of one and of two suppliers, one without any name, and suppliers without a nation."""
+    import __spark_entry__ as entry
+
+    rows = [(1, "a", 10), (2, "b", 9), (3, None, 8), (4, "d", 7), (5, "e", 7), (6, "f", None), (7, "g", None)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    df = entry.queries()["pipe11_probe"](spark, str(tmp_path))
+    assert df.columns == ["signature", "n", "docs"]
+    assert sorted(tuple(r) for r in df.collect()) == [("C5:2x4|C6:1x1", 3, "n10,n8,n9"), ("C5:3x4|C6:1x1", 2, "n7")]
+
+
 # STM-2, STM-3
 
 
