@@ -172,7 +172,22 @@ def missing(wanted: DataFrame, have: DataFrame, key, mode: str | None = None) ->
 def registry_index(registry: DataFrame) -> DataFrame:
     """SRT-3: sources by tier (those without one last, as Reference), then id."""
     label = F.coalesce(F.concat(F.lit("Tier "), F.col("tier").cast("string")), F.lit("Reference"))
-    return registry.withColumn("tier_label", label).orderBy(F.asc_nulls_last("tier"), "source_id")
+    return registry.withColumn("tier_label", label).orderBy(F.asc_nulls_last("tier"), F.asc_nulls_last("source_id"))
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """SRT-3: a sorted table with each row's place in it, from 1.
+
+    Places within a partition are added to the sizes of the partitions before it, so that no window holds all rows. The
+    sorted rows are written before they are counted: a sort that runs once more cuts its partitions elsewhere.
+    """
+    from factloom.operators.shared import written
+
+    p = written(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    size = p.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_before") + 1
+    return p.join(F.broadcast(before), "_part").select(*ordered.columns, place.alias(name))
 
 
 def registry_gate(registry: DataFrame, profiles: DataFrame, stored: DataFrame) -> DataFrame:

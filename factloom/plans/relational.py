@@ -180,11 +180,7 @@ def top(spark, sf_dir):
 def registry(spark, sf_dir):
     tier = F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4)
     p = T.registry_index(table(spark, sf_dir, "part").select("p_partkey", tier.alias("tier"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("source_id")))
-    # Places within a partition of the sorted rows are added to the sizes of the partitions before it, so that no window holds all rows.
-    p = p.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    size = p.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return p.join(F.broadcast(before), "part").select("p_partkey", (F.col("at") - F.shiftleft(F.col("part").cast("long"), 33) + F.col("before") + 1).alias("pos"), F.col("tier_label").alias("label"))
+    return T.numbered(p.select("p_partkey", F.col("tier_label").alias("label")), "pos").select("p_partkey", "pos", "label")
 
 
 @query("srt4_agg3_groups_by_size", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey")

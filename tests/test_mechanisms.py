@@ -347,6 +347,36 @@ def test_probe_query_lists_the_documents_of_each_group(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("C5:2x4|C6:1x1", 3, "n10,n8,n9"), ("C5:3x4|C6:1x1", 2, "n7")]
 
 
+# SRT-3
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranked_registry_numbers_each_row_once(spark, tmp_path, adaptive):
+    """More rows than a sort samples, in partitions that are merged by their sizes; one key and one size are null."""
+    import __spark_entry__ as entry
+
+    n = 20_000
+    rows = [(k, f"{k % 50}" * 20, k % 50 + 1) for k in range(n)] + [(None, "x", 5), (n, "y", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").repartition(8, "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    conf = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [tuple(r) for r in entry.queries()["srt3_ranked_registry"](spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tier = lambda r: (r[2] or 0) % 4 or 4
+    want = sorted(rows, key=lambda r: (tier(r), r[0] is None, r[0] or 0))
+    assert sorted(got, key=lambda r: r[1]) == [(r[0], i, f"Tier {tier(r)}" if tier(r) < 4 else "Reference") for i, r in enumerate(want, 1)]
+
+
+def test_numbers_of_no_rows(spark):
+    none = spark.createDataFrame([], "tier int, source_id string")
+    assert T.numbered(T.registry_index(none), "pos").collect() == []
+
+
 # STM-2, STM-3
 
 
