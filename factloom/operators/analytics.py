@@ -61,9 +61,9 @@ def by_year(df: DataFrame, part: str, year: str, value: str, years) -> DataFrame
 
 
 def pipeline_by_status(df: DataFrame, party: str, status: str, value: str) -> DataFrame:
-    """ANL-9: a donor's amounts by status, and their share of all of that status."""
+    """ANL-9: a donor's amounts by status, and their share of all of that status, a double: a quotient of decimals has too few places for small shares."""
     g = df.groupBy(party, status).agg(F.sum(value).alias("amount"), F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.try_divide("amount", F.sum("amount").over(Window.partitionBy(status))))
+    return g.withColumn("share", F.try_divide(F.col("amount").cast("double"), F.sum("amount").over(Window.partitionBy(status)).cast("double")))
 
 
 def profile(places: DataFrame, key: str, measures: dict[str, DataFrame]) -> DataFrame:

@@ -389,7 +389,7 @@ def per_head(spark, sf_dir):
 @query("anl9_donor_pipeline", f"WITH g AS (SELECT o_custkey, o_orderstatus, {MONEY.format('o_totalprice')} AS amount, COUNT(*) AS n FROM orders GROUP BY 1, 2) SELECT o_custkey, o_orderstatus, amount, n, ROUND(amount / SUM(amount) OVER (PARTITION BY o_orderstatus), 9) AS share FROM g")
 def donor_pipeline(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice").cast("decimal(18,2)"))
-    return A.pipeline_by_status(o, "o_custkey", "o_orderstatus", "v").select("o_custkey", "o_orderstatus", F.col("amount").cast("double").alias("amount"), "n", F.round(F.col("share").cast("double"), 9).alias("share"))
+    return A.pipeline_by_status(o, "o_custkey", "o_orderstatus", "v").select("o_custkey", "o_orderstatus", F.col("amount").cast("double").alias("amount"), "n", F.round("share", 9).alias("share"))
 
 
 @query("win10_depreciation", f"WITH m AS (SELECT event_type, CAST(ts AS DATE) AS d, {MONEY.format('value')} AS v FROM events GROUP BY 1, 2) SELECT event_type, d, ROUND(AVG(v) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 6) AS rolling, ROUND((v - LAG(v, 12) OVER w) / LAG(v, 12) OVER w, 8) AS depreciation FROM m WINDOW w AS (PARTITION BY event_type ORDER BY d)")

@@ -377,6 +377,20 @@ def test_numbers_of_no_rows(spark):
     assert T.numbered(T.registry_index(none), "pos").collect() == []
 
 
+# ANL-9
+
+
+def test_small_shares_of_a_status_are_rounded_once(spark, tmp_path):
+    """1.47 and 2.49 of a milliard are 1 and 2 of the last place, not 2 and 3 by way of a tenth place; unknown amounts give no share."""
+    import __spark_entry__ as entry
+
+    rows = [(1, "O", 1.47), (2, "O", 2.4), (2, "O", 0.09), (3, "O", 999_999_996.04), (1, "F", 5.0), (1, None, 1.0), (2, None, 3.0), (4, "O", None), (4, "P", None)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.o_custkey, r.o_orderstatus): (r.amount, r.n, r.share) for r in entry.queries()["anl9_donor_pipeline"](spark, str(tmp_path)).collect()}
+    whole = {(1, "F"): (5.0, 1, 1.0), (1, None): (1.0, 1, 0.25), (2, None): (3.0, 1, 0.75), (4, "O"): (None, 1, None), (4, "P"): (None, 1, None)}
+    assert got == whole | {(1, "O"): (1.47, 1, 1e-9), (2, "O"): (2.49, 2, 2e-9), (3, "O"): (999_999_996.04, 1, 0.999999996)}
+
+
 # STM-2, STM-3
 
 
